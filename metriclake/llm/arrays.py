@@ -6,8 +6,11 @@ borders are passed as offsets, so there is no Python loop over words or bytes.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 #: Odd multiplier and its inverse modulo 2**64, for prefix-sum rolling hashes.
@@ -57,6 +60,20 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def slices(batches: Iterable[pa.RecordBatch], text: int = 1, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about `limit` bytes of the text column, one row at least: bounds the memory
+    of vectorised work, whose arrays are many times as large as the texts."""
+    for batch in batches:
+        column = batch.column(text)
+        lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(lengths, dtype=np.int64)
+        i = 0
+        while i < len(ends):
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + limit, "right")))
+            yield batch.slice(i, j - i)
+            i = j
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, first word of each document and the total) of the words between ASCII white space."""
     inside = ~SPACE[data]
@@ -110,12 +127,12 @@ def segments(codes: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> d
     Each window of `width` codes inside a document is represented by its smallest gram of `gram` codes
     (the first of equals), so equal windows have equal grams at the same place. Windows that share one
     gram occurrence form a segment: doc (index in the batch), first (code index of its first window in
-    the document), count (windows), anchor (hash of the gram), whole (hash of all its codes and where
+    the document), count (windows), anchor_at and anchor (the gram's place in the document and hash), whole (hash of all its codes and where
     the gram lies in them).
     """
     lengths = np.diff(offsets)
     n = len(codes) - width + 1
-    none = {k: np.zeros(0, np.int64) for k in ("doc", "first", "count")} | {k: np.zeros(0, U) for k in ("anchor", "whole")}
+    none = {k: np.zeros(0, np.int64) for k in ("doc", "first", "count", "anchor_at")} | {k: np.zeros(0, U) for k in ("anchor", "whole")}
     if n <= 0 or not (lengths >= width).any():
         return none
     grams = window_hashes(codes, gram)
@@ -133,7 +150,7 @@ def segments(codes: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> d
     count = np.diff(np.append(at, len(start)))
     begin, anchor = start[at], chosen[at]
     whole = span_hashes(codes, begin, begin + count + width - 1)
-    return {"doc": doc_of[at], "first": begin - offsets[doc_of[at]], "count": count, "anchor": grams[anchor], "whole": mix(whole + (anchor - begin).astype(U) * U(MULT))}
+    return {"doc": doc_of[at], "first": begin - offsets[doc_of[at]], "count": count, "anchor_at": anchor - offsets[doc_of[at]], "anchor": grams[anchor], "whole": mix(whole + (anchor - begin).astype(U) * U(MULT))}
 
 
 def signed(x: np.ndarray) -> np.ndarray:
