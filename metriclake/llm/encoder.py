@@ -1,7 +1,8 @@
 """Token ids of whole batches with the tokenizers library, each distinct chunk of a text encoded once.
 
 Both public BPE vocabularies split a text before merging, and never merge across the border between a
-word and the white space before it. A text is therefore cut there into chunks, the library encodes each
+word and the white space before it, or between an ASCII letter and a mark beside it. A text is therefore cut
+there into chunks, the library encodes each
 chunk that is new to this Python worker, and numpy gathers the ids of all chunks of a batch. Texts with
 white space outside ASCII, where the two vocabularies' patterns look across such a border, go to the
 library whole.
@@ -16,12 +17,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from metriclake.llm.arrays import BYTE_CODES, span_hashes, utf8, words
+from metriclake.llm.arrays import BYTE_CODES, LOWER, SPACE, U, span_hashes, utf8, words
 
 #: White space that the byte-level pattern knows besides the six ASCII characters (fixed values of Unicode).
 OTHER_SPACE = "[\x1c-\x1f\u0085   -     　]"
+#: 1 for an ASCII letter, 2 for an ASCII mark but the apostrophe, which begins contractions; else 0.
+LETTER_OR_MARK = np.array([1 if chr(i).isalpha() and i < 128 else 2 if 32 < i < 127 and not chr(i).isalnum() and i != 39 else 0 for i in range(256)], dtype=np.uint8)
 #: Chunks kept per worker before the cache starts anew; bounds memory, not results.
-CACHE_CHUNKS = 1_000_000
+CACHE_CHUNKS = 1_500_000
+SLOTS = 1 << 22
 
 
 class Encoder:
@@ -47,16 +51,46 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.at: dict[int, int] = {}
+        self.keys = np.zeros(SLOTS, dtype=U)  # an open-addressed table: hash of a chunk (0: free), then its number
+        self.numbers = np.zeros(SLOTS, dtype=np.int32)
+        self.known = 0
         self.ids = np.zeros(1 << 16, dtype=np.uint32)
         self.first = np.zeros(1 << 15, dtype=np.int64)
         self.count = np.zeros(1 << 15, dtype=np.int64)
         self.used = 0
 
-    def _learn(self, keys: list[int], texts: list[str]) -> None:
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of chunks by their hashes, -1 for new ones."""
+        out = np.full(len(hashes), -1, dtype=np.int64)
+        todo = np.arange(len(hashes))
+        slot = (hashes & U(SLOTS - 1)).astype(np.int64)
+        while len(todo):
+            held = self.keys[slot]
+            hit = held == hashes[todo]
+            out[todo[hit]] = self.numbers[slot[hit]]
+            on = ~hit & (held != 0)
+            todo, slot = todo[on], (slot[on] + 1) & (SLOTS - 1)
+        return out
+
+    def _insert(self, hashes: np.ndarray) -> None:
+        """Give different new hashes the next numbers."""
+        todo = np.arange(len(hashes))
+        slot = (hashes & U(SLOTS - 1)).astype(np.int64)
+        while len(todo):
+            free = np.flatnonzero(self.keys[slot] == 0)
+            _, one = np.unique(slot[free], return_index=True)
+            won = free[one]
+            self.keys[slot[won]] = hashes[todo[won]]
+            self.numbers[slot[won]] = self.known + todo[won]
+            on = np.ones(len(todo), dtype=bool)
+            on[won] = False
+            todo, slot = todo[on], (slot[on] + 1) & (SLOTS - 1)
+        self.known += len(hashes)
+
+    def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
         got = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         lengths = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
-        n, total = len(self.at), int(lengths.sum())
+        n, total = self.known, int(lengths.sum())
         while len(self.ids) < self.used + total:
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while len(self.first) < n + len(got):
@@ -64,16 +98,21 @@ class Encoder:
         self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(got), dtype=np.uint32, count=total)
         self.first[n : n + len(got)] = self.used + np.cumsum(lengths) - lengths
         self.count[n : n + len(got)] = lengths
-        self.at.update(zip(keys, range(n, n + len(got)), strict=True))
+        self._insert(hashes)
         self.used += total
 
     def _chunks(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, end, document) of the chunks in order."""
         start, end, first = words(data, offsets)
+        kinds = LETTER_OR_MARK[data]
+        turn = np.flatnonzero(kinds[1:] * kinds[:-1] == 2) + 1  # a letter meets a mark
+        turn = turn[offsets[np.searchsorted(offsets, turn)] != turn]
+        start, end = np.sort(np.concatenate([start, turn])), np.sort(np.concatenate([end, turn]))
+        first = np.searchsorted(start, offsets)
         doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
         if not self.leading:
             return start, end, doc
-        begin = start - (start > offsets[doc])  # what stands before a word inside its document is white space
+        begin = start - ((start > offsets[doc]) & SPACE[data[start - 1]])  # with the white space before a word
         before = offsets[doc].copy()
         same = np.zeros(len(doc), dtype=bool)
         same[1:] = doc[1:] == doc[:-1]
@@ -106,20 +145,24 @@ class Encoder:
 
     def _encode_chunks(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         data, offsets = utf8(column)
+        if not self.leading:
+            data = LOWER[data]  # this vocabulary knows no capitals
         start, end, doc = self._chunks(data, offsets)
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(len(column) + 1, np.int64)
         hashes = span_hashes(BYTE_CODES[data], start, end)
-        keys, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.at) + len(keys) > CACHE_CHUNKS and self.at:
-            self._forget()
-        known = list(map(self.at.get, keys.tolist()))
-        new = [i for i, x in enumerate(known) if x is None]
-        if new:
-            raw = data.tobytes()
-            self._learn(keys[new].tolist(), [raw[a:b].decode() for a, b in zip(start[at[new]].tolist(), end[at[new]].tolist(), strict=True)])
-            known = list(map(self.at.get, keys.tolist()))
-        index = np.array(known, dtype=np.int64)[inverse]
+        hashes[hashes == 0] = 1  # 0 marks a free slot
+        index = self._find(hashes)
+        new = np.flatnonzero(index < 0)
+        if len(new):
+            keys, at = np.unique(hashes[new], return_index=True)
+            if self.known + len(keys) > CACHE_CHUNKS and self.known:
+                self._forget()
+                new = np.arange(len(hashes))
+                keys, at = np.unique(hashes, return_index=True)
+            raw, at = data.tobytes(), new[at]
+            self._learn(keys, [raw[a:b].decode() for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)])
+            index[new] = self._find(hashes[new])
         first, count = self.first[index], self.count[index]
         total = np.cumsum(count)
         ids = self.ids[np.repeat(first - (total - count), count) + np.arange(total[-1])]

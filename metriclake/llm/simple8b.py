@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from metriclake.llm.arrays import U
+from metriclake.llm.arrays import U, slices
 from metriclake.llm.encoder import Encoder, with_end
 from metriclake.llm.shared import new_path, shuffle_partitions
 
@@ -125,7 +125,7 @@ def write_ids(documents: DataFrame, path: str, tokenizer: str, end_id: int, lead
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 5]
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
-        for batch in batches:
+        for batch in slices(batches):
             ids, offsets = with_end(*encoder.encode(batch.column(1)), end_id)
             doc = batch.column(0).to_numpy(zero_copy_only=False)
             i = 0
