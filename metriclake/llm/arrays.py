@@ -33,6 +33,17 @@ BYTE_CODES = mix(np.arange(1, 257, dtype=U) * U(0xD6E8FEB86659FD93))
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
+#: Bytes that are no part of a folded word: all ASCII but letters and digits.
+NOT_FOLDED = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
+LOWER = np.array([i + 32 if 65 <= i <= 90 else i for i in range(256)], dtype=np.uint8)
+
+
+def folded_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the words without case (A-Z) and marks, first word of each document and the total)."""
+    data, offsets = utf8(column)
+    start, end, first = words(data, offsets, NOT_FOLDED)
+    return span_hashes(BYTE_CODES[LOWER[data]], start, end), first
+
 
 _POWERS: dict[int, np.ndarray] = {}
 
@@ -74,9 +85,9 @@ def slices(batches: Iterable[pa.RecordBatch], text: int = 1, limit: int = 1 << 2
             i = j
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, first word of each document and the total) of the words between ASCII white space."""
-    inside = ~SPACE[data]
+def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, first word of each document and the total) of the words between bytes of one kind."""
+    inside = ~between[data]
     before = np.zeros(len(data), dtype=bool)
     before[1:] = inside[:-1]
     borders = offsets[:-1][offsets[:-1] < len(data)]
