@@ -184,3 +184,17 @@ def near_duplicates(documents: DataFrame, distance: int = 2, shingle: int = 3) -
     of = joined.join(least, "component").select("fingerprint", "component_id")
     out = prints.join(of, "fingerprint")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(documents: DataFrame, distance: int = 2, shingle: int = 3) -> DataFrame:
+    """documents with one row of each group of near-duplicates: that of the smallest doc_id (a null counts
+    as largest; then by a hash of the text). All columns stay; a row that is repeated whole stays once."""
+    keyed = documents.withColumn("_near_key", F.xxhash64(F.col("doc_id").cast("string"), "text"))
+    hashed = fingerprints(keyed.select(F.col("_near_key").alias("doc_id"), "text"), shingle).withColumnRenamed("doc_id", "key")
+    ids = keyed.select(F.col("_near_key").alias("key"), F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    prints = written(hashed.distinct().join(ids, "key"), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key")
+    each = written(prints.groupBy("fingerprint").agg(F.min(order).alias("least")), "prints")
+    joined = with_components(each, links(each.select("fingerprint"), distance), "fingerprint")
+    keep = joined.groupBy("component").agg(F.min("least").alias("least")).select(F.col("least.key").alias("_near_key"))
+    return keyed.join(keep, "_near_key", "left_semi").dropDuplicates(["_near_key"]).drop("_near_key")
