@@ -15,7 +15,7 @@ DAILY = """daily AS (SELECT site_id, route, day, source, search_type, SUM(value)
  CASE WHEN bool_or(completeness = 'provisional') THEN 'provisional' ELSE 'final' END AS completeness, MAX(observed_at) AS observed_at, COUNT(*) AS n_facts FROM facts GROUP BY ALL) """
 CATALOG = "catalog AS (SELECT site_id, route, MIN(day) AS first_seen, MAX(day) AS last_seen, list_sort(list(DISTINCT source)) AS sources FROM facts GROUP BY ALL) "
 WINDOW = "day BETWEEN DATE '2024-01-05' AND DATE '2024-01-20' AND (source <> 'search' OR search_type = 'web')"
-SUMS = "CAST(SUM(pageviews) AS DOUBLE) AS pageviews, CAST(SUM(clicks) AS DOUBLE) AS clicks, CAST(SUM(impressions) AS DOUBLE) AS impressions, round(SUM(position * impressions::DOUBLE), 2) AS position_weight"
+SUMS = "CAST(SUM(pageviews) AS DOUBLE) AS pageviews, CAST(SUM(clicks) AS DOUBLE) AS clicks, CAST(SUM(impressions) AS DOUBLE) AS impressions, round(SUM(position * impressions::DOUBLE), 3) AS position_weight"
 METRICS = f"{DAILY}, {CATALOG}, metrics AS (SELECT c.site_id, c.route, s.pageviews, s.clicks, s.impressions, s.position_weight, s.clicks / NULLIF(s.impressions, 0) AS ctr FROM catalog c LEFT JOIN (SELECT site_id, route, {SUMS} FROM daily WHERE {WINDOW} GROUP BY ALL) s ON s.site_id = c.site_id AND s.route = c.route) "
 
 
@@ -25,13 +25,13 @@ def daily(t: Tables):
 
 def metrics(t: Tables):
     out = ops.page_metrics(ops.page_catalog(t.facts), daily(t), "2024-01-05", "2024-01-20", "web")
-    return ops.with_ratios(out.withColumn("position_weight", F.round("position_weight", 2))).drop("page_id")
+    return ops.with_ratios(out.withColumn("position_weight", F.round("position_weight", 3))).drop("page_id")
 
 
-@query("page_daily_materialize", DAILY + "SELECT site_id, route, day, source, search_type, CAST(pageviews AS DOUBLE) AS pageviews, CAST(clicks AS DOUBLE) AS clicks, CAST(impressions AS DOUBLE) AS impressions, round(position * impressions::DOUBLE, 2) AS position_weight, completeness, observed_at, n_facts FROM daily", "facts")
+@query("page_daily_materialize", DAILY + "SELECT site_id, route, day, source, search_type, CAST(pageviews AS DOUBLE) AS pageviews, CAST(clicks AS DOUBLE) AS clicks, CAST(impressions AS DOUBLE) AS impressions, round(position * impressions::DOUBLE, 3) AS position_weight, completeness, observed_at, n_facts FROM daily", "facts")
 def _(t: Tables):
     casts = {c: F.col(c).cast("double") for c in ("pageviews", "clicks", "impressions")}
-    return daily(t).withColumns(casts | {"position_weight": F.round(F.col("position_weight").cast("double"), 2)})
+    return daily(t).withColumns(casts | {"position_weight": F.round(F.col("position_weight").cast("double"), 3)})
 
 
 @query("page_catalog_build", CATALOG + "SELECT site_id, route, first_seen, last_seen, array_to_string(sources, ',') AS sources, sha256(site_id || chr(0) || route) AS page_id FROM catalog", "facts")
@@ -41,7 +41,7 @@ def _(t: Tables):
 
 @query("page_metric_pivot", DAILY + f"SELECT site_id, route, {SUMS} FROM daily GROUP BY ALL", "facts")
 def _(t: Tables):
-    return ops.page_pivot(daily(t), "site_id", "route").withColumn("position_weight", F.round("position_weight", 2))
+    return ops.page_pivot(daily(t), "site_id", "route").withColumn("position_weight", F.round("position_weight", 3))
 
 
 @query("page_window_left_join", METRICS + "SELECT site_id, route, pageviews, clicks, impressions, position_weight FROM metrics", "facts")
