@@ -1,0 +1,40 @@
+"""Queries that run the streaming jobs over the event files."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from metriclake.plans.registry import query
+from metriclake.sources.derived import Tables
+from metriclake.streaming import jobs
+
+
+def events(t: Tables):
+    return jobs.read_files(t.spark, t.folder, "events.parquet")
+
+
+@query("stream_upsert_facts", "SELECT user_id, event_type, MAX(event_id) AS event_id FROM events GROUP BY ALL")
+def _(t: Tables):
+    return jobs.upsert(events(t), ["user_id", "event_type"], "event_id").select("user_id", "event_type", "event_id")
+
+
+@query("stream_dedup", "SELECT event_type, COUNT(*) AS n FROM events GROUP BY event_type")
+def _(t: Tables):
+    twice = events(t).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    return jobs.dedup(twice, "event_id", "ts", "1 hour").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("stream_watermark", "SELECT user_id, MAX(ts) AS completed_through FROM events GROUP BY user_id")
+def _(t: Tables):
+    return jobs.completed_through(events(t), "user_id", "ts")
+
+
+@query("stream_provisional_revision", "SELECT user_id, completeness, event_id FROM (SELECT *, CASE WHEN event_id % 3 = 0 THEN 'final' ELSE 'provisional' END AS completeness, row_number() OVER (PARTITION BY user_id ORDER BY event_id % 3 <> 0, event_id DESC) AS k FROM events) WHERE k = 1")
+def _(t: Tables):
+    rows = events(t).withColumn("completeness", F.when(F.col("event_id") % 3 == 0, "final").otherwise("provisional"))
+    return jobs.revise(rows, ["user_id"], "completeness", "event_id").select("user_id", "completeness", "event_id")
+
+
+@query("stream_daily_rollup", "SELECT event_type, CAST(ts AS DATE) AS day, COUNT(*) AS n, CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM events GROUP BY ALL")
+def _(t: Tables):
+    return jobs.daily_rollup(events(t), ["event_type"], "ts", "value").withColumn("total", F.col("total").cast("double"))
