@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from metriclake.functions import text as fn
+from metriclake.operators.coverage import trend_state
+from metriclake.operators.facts import point_key
 from metriclake.plans.registry import query
 from metriclake.sources.derived import Tables
 
@@ -236,3 +238,66 @@ def _(t: Tables):
     rows = t.base("pages").select("page_id", line.alias("line")).filter("NOT startswith(trim(line), '#') AND trim(line) <> ''").withColumn("p", parts)
     ok = F.size("p").between(2, 3)
     return rows.select("page_id", F.when(ok, F.get("p", F.lit(0))).alias("source"), F.when(ok, F.get("p", F.lit(1))).alias("target"), F.when(ok, F.coalesce(F.get("p", F.lit(2)).try_cast("int"), F.lit(301))).alias("code"))
+
+
+def picked(t: Tables, normalise, *values: str):
+    """A normaliser over five spellings, dealt to the events by user."""
+    value = F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("user_id") % 5).cast("int") + 1)
+    return t.hits.groupBy(normalise(value).alias("value")).agg(F.count("*").alias("n"))
+
+
+def picked_sql(*values: str | None) -> str:
+    shown = ", ".join("NULL" if v is None else f"'{v}'" for v in values)
+    return f"SELECT [{shown}][1 + CAST(user_id % 5 AS INTEGER)] AS value, COUNT(*) AS n FROM hits GROUP BY 1"
+
+
+@query("country_code", picked_sql("DE", None, "FR", None, None), "hits")
+def _(t: Tables):
+    return picked(t, fn.country_code, " de", "usa", "FR", "XX", "1")
+
+
+@query("region_code", picked_sql("US-CA", None, None, None, "GB-ENG"), "hits")
+def _(t: Tables):
+    return picked(t, fn.region_code, "us-ca", "ca", "x", "", "gb-eng ")
+
+
+@query("language_tag", picked_sql("en", "pt-BR", "zh-Hant", None, "de"), "hits")
+def _(t: Tables):
+    return picked(t, fn.language_tag, "EN", "pt_br", "zh-hant", "???", "De")
+
+
+@query("screen_size", picked_sql("1920x1080", None, None, "800x600", None), "hits")
+def _(t: Tables):
+    return picked(t, fn.screen_size, "1920 x 1080", "0x5", "wide", "800X600", "1x1")
+
+
+@query("device_class", picked_sql("desktop", "mobile", "other", "tablet", "desktop"), "hits")
+def _(t: Tables):
+    return picked(t, fn.device_class, "Laptop", "phone", "tv", "Tablet", "desktop")
+
+
+@query("integral_count", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN CAST(event_id AS DOUBLE) END AS whole FROM events")
+def _(t: Tables):
+    shown = F.expr("CASE event_id % 3 WHEN 0 THEN CAST(event_id AS STRING) WHEN 1 THEN concat(event_id, '.5') ELSE concat(event_id, 'x') END")
+    return t.base("events").select("event_id", fn.bounded_number(shown, integral=True).cast("double").alias("whole"))
+
+
+@query("distance_bucket", "SELECT CASE WHEN k % 7 = 6 AND k % 2 = 0 THEN 'menu-only' WHEN k % 7 = 6 THEN 'unreachable' WHEN k % 7 = 0 THEN 'goal' WHEN k % 7 <= 3 THEN CAST(k % 7 AS VARCHAR) ELSE '4+' END AS bucket, COUNT(*) AS n FROM hits GROUP BY 1", "hits")
+def _(t: Tables):
+    distance = F.when(F.col("k") % 7 == 6, -1).otherwise(F.col("k") % 7)
+    return t.hits.groupBy(fn.distance_bucket(distance, F.col("k") % 2 == 0).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query("trend_state", "SELECT site_id, day, CASE WHEN a IS NULL OR b IS NULL THEN 'unknown' WHEN b = 0 AND a <> 0 THEN 'new' WHEN a > b THEN 'better' WHEN a < b THEN 'worse' ELSE 'same' END AS trend FROM pair", "pair")
+def _(t: Tables):
+    return t.pair.select("site_id", "day", trend_state(F.col("a"), F.col("b")).alias("trend"))
+
+
+@query("digest_fields", "SELECT user_id, sha256(length(event_type) || ':' || event_type || length(CAST(user_id AS VARCHAR)) || ':' || user_id) AS digest FROM events GROUP BY ALL")
+def _(t: Tables):
+    return t.base("events").select("user_id", point_key("event_type", "user_id").alias("digest")).distinct()
+
+
+@query("dims_get", "SELECT route, search_type, COUNT(*) AS n FROM facts GROUP BY ALL", "facts")
+def _(t: Tables):
+    return t.facts.groupBy(F.col("dims")["route"].alias("route"), F.col("dims")["search_type"].alias("search_type")).agg(F.count("*").alias("n"))
