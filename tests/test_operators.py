@@ -82,12 +82,12 @@ def test_local_days_of_23_and_25_hours(spark):
         ("/secret/x", None),
         ("", None),
         (None, None),
-        ("/caf%C3%A9 bar", "/caf%C3%A9%20bar"),
+        ("/caf%C3%A9 bar+x", "/caf%C3%A9%20bar+x"),
     ],
 )
 def test_normalize_route(spark, url, route):
     got = column(spark, [url], lambda c: fn.normalize_route(c, "a.org", ("a", "b"), ("/secret",)))[0]
-    assert (got or "").replace("+", "%20") == (route or "")
+    assert got == route
 
 
 def test_canonical_route_classes(spark):
