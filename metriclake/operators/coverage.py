@@ -18,10 +18,16 @@ def days_of(start: Column, end: Column) -> Column:
     return F.sequence(F.to_date(start), last)
 
 
-def expected_cells(sites: DataFrame, metrics: DataFrame, first: str, last: str) -> DataFrame:
-    """Every site x metric x day: small tables times a spine of days made without a join."""
+def each_of(rows: DataFrame, options: list[dict]) -> DataFrame:
+    """Every row with every option of a fixed list, its keys as columns; no join."""
+    structs = [F.struct(*[F.lit(v).alias(k) for k, v in option.items()]) for option in options]
+    return rows.withColumn("_option", F.explode(F.array(*structs))).select("*", "_option.*").drop("_option")
+
+
+def expected_cells(sites: DataFrame, options: list[dict], first: str, last: str) -> DataFrame:
+    """Every site with every option (source, metric) and day of the window: a spine made without a join."""
     spine = F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("day")
-    return sites.join(F.broadcast(metrics), F.lit(True)).select("*", spine)  # the catalog is a fixed small table
+    return each_of(sites, options).select("*", spine)
 
 
 def covered_cells(cells: DataFrame, runs: DataFrame) -> DataFrame:

@@ -253,5 +253,5 @@ def sum_collisions(rows: DataFrame, *keys: str, digits: int = 15) -> DataFrame:
 def geo_rollup(rows: DataFrame, code: str, threshold: int) -> DataFrame:
     """Totals of each code of at least the threshold, and how many were withheld."""
     totals = rows.filter(F.col(code) != "").groupBy(F.col(code).alias("code")).agg(F.sum("value").alias("value"))
-    withheld = totals.agg(F.count_if(F.col("value") < threshold).alias("n_withheld"))
-    return totals.filter(F.col("value") >= threshold).crossJoin(F.broadcast(withheld))  # one row
+    withheld = totals.agg(F.count_if(F.col("value") < threshold)).scalar()
+    return totals.filter(F.col("value") >= threshold).withColumn("n_withheld", withheld)

@@ -57,9 +57,9 @@ def authority(nodes: DataFrame, edges: DataFrame, rounds: int = 30, damping: flo
     nodes = materialised(nodes.join(out.select(F.col("src").alias("node"), F.lit(False).alias("dangling")), "node", "left").na.fill({"dangling": True}))
     score = materialised(nodes.withColumn("score", F.lit(1.0 / n)))
     for k in range(1, rounds + 1):
-        lost = score.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("score"))), F.lit(0.0)).alias("lost"))  # one row
+        lost = score.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("score"))), F.lit(0.0))).scalar()
         given = score.join(links, F.col("node") == F.col("src")).groupBy("dst").agg(F.sum(F.col("score") / F.col("degree")).alias("got"))
-        new = nodes.join(given, F.col("node") == F.col("dst"), "left").crossJoin(F.broadcast(lost))
+        new = nodes.join(given, F.col("node") == F.col("dst"), "left").withColumn("lost", lost)
         score = new.select("node", "dangling", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("score"))
         if k % write_every == 0 or k == rounds:
             score = materialised(score)
@@ -129,7 +129,7 @@ def component_edges(components: DataFrame, edges: DataFrame) -> DataFrame:
 
 def two_hop(edges: DataFrame, page) -> DataFrame:
     """Nodes within two undirected steps of a page."""
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    both = materialised(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     one = both.filter(F.col("src") == F.lit(page)).select(F.col("dst").alias("node"))
     two = both.join(one.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"))
     return one.unionByName(two).distinct().filter(F.col("node") != F.lit(page))

@@ -116,6 +116,6 @@ def ranked_sites(rows: DataFrame, value: str) -> DataFrame:
 
 def heatmap_levels(cells: DataFrame, value: str, levels: int = 5) -> DataFrame:
     """cells with level: null stays null, zero is 0, others 1 to `levels` relative to the largest value."""
-    top = F.broadcast(cells.agg(F.max(value).alias("_top")))  # one row
+    rows = cells.withColumn("_top", cells.agg(F.max(value)).scalar())
     level = F.when(F.col(value).isNull(), None).when((F.col(value) <= 0) | (F.col("_top") <= 0), 0).otherwise(F.greatest(F.lit(1), F.ceil(levels * F.col(value) / F.col("_top")).cast("int")))
-    return cells.crossJoin(top).withColumn("level", level).drop("_top")
+    return rows.withColumn("level", level).drop("_top")

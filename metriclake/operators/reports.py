@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from metriclake.operators.coverage import percent_change
+from metriclake.operators.coverage import each_of, percent_change
 
 
 def summary_totals(current: DataFrame, previous: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -93,7 +93,7 @@ def evaluate_goals(goals: DataFrame, values: DataFrame) -> DataFrame:
     return out.withColumn("state", state).select("goal", "site_id", "value", "state")
 
 
-def evaluate_alerts(days: DataFrame, rules: DataFrame, baseline_days: int = 7) -> DataFrame:
+def evaluate_alerts(days: DataFrame, rules: list[dict], baseline_days: int = 7) -> DataFrame:
     """Rules (rule, kind, threshold) for daily values (series, day, value or null, complete).
 
     Kinds: above, below (the value), drop_percent, rise_percent (against the mean of the complete days of the
@@ -103,7 +103,7 @@ def evaluate_alerts(days: DataFrame, rules: DataFrame, baseline_days: int = 7) -
     seconds = F.datediff("day", F.lit("1970-01-01").cast("date"))
     before = Window.partitionBy("series").orderBy(seconds).rangeBetween(-baseline_days, -1)
     known = F.when(F.col("complete"), F.col("value"))
-    rows = days.withColumn("_n", F.count(known).over(before)).withColumn("_mean", F.avg(known).over(before)).join(F.broadcast(rules), F.lit(True))  # rules are few and fixed
+    rows = each_of(days.withColumn("_n", F.count(known).over(before)).withColumn("_mean", F.avg(known).over(before)), rules)
     relative = F.col("kind").isin("drop_percent", "rise_percent")
     change = (F.col("value") - F.col("_mean")) / F.col("_mean") * 100
     fired = (

@@ -20,12 +20,11 @@ MATRIX = (
 
 
 def spine(t: Tables):
-    sources = t.spark.createDataFrame([("search",), ("web",)], "source string")
-    return ops.expected_cells(t.hits.select("site_id").distinct(), sources, "2024-01-01", "2024-01-30")
+    return ops.expected_cells(t.hits.select("site_id").distinct(), [{"source": "search"}, {"source": "web"}], "2024-01-01", "2024-01-30")
 
 
 def matrix(t: Tables):
-    metrics = catalog.metric_catalog(t.spark).filter("metric IN ('search.impressions', 'search.clicks', 'web.pageviews')").select("metric", "source")
+    metrics = [{"metric": m, "source": s} for m, s, *_ in catalog.METRICS if m in ("search.impressions", "search.clicks", "web.pageviews")]
     expected = ops.expected_cells(t.hits.select("site_id").distinct(), metrics, "2024-01-01", "2024-01-30")
     present = t.facts.filter("value >= 2").withColumn("day", F.to_date("start_ts"))
     return ops.coverage(expected, present, ops.covered_cells(spine(t), t.runs))
@@ -109,8 +108,8 @@ def _(t: Tables):
 
 @query("operations_health", "SELECT binding_key, run_id, CASE WHEN run_id IS NULL THEN 'never_run' ELSE status END AS state FROM (SELECT site_id || '|' || source AS binding_key FROM (SELECT DISTINCT site_id FROM hits), (SELECT unnest(['search', 'web', 'shop']) AS source)) LEFT JOIN (SELECT binding_key, MAX(run_id) AS run_id, arg_max(status, run_id) AS status FROM runs GROUP BY 1) USING (binding_key)", "runs")
 def _(t: Tables):
-    sources = t.spark.createDataFrame([("search",), ("web",), ("shop",)], "source string")
-    bound = t.hits.select("site_id").distinct().join(F.broadcast(sources), F.lit(True)).select(F.concat_ws("|", "site_id", "source").alias("binding_key"))
+    sites = t.hits.select("site_id").distinct()
+    bound = ops.each_of(sites, [{"source": s} for s in ("search", "web", "shop")]).select(F.concat_ws("|", "site_id", "source").alias("binding_key"))
     return bound.join(ops.latest_sync_status(t.runs).select("binding_key", "run_id", "status"), "binding_key", "left").select("binding_key", "run_id", F.coalesce("status", F.lit("never_run")).alias("state"))
 
 

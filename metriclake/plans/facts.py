@@ -63,9 +63,9 @@ def _(t: Tables):
 )
 def _(t: Tables):
     some = t.facts.filter("site_id = 'site-2' AND source = 'search' AND metric = 'search.clicks'").filter(F.col("dims")["route"].startswith("/s3/"))
-    total = some.agg(F.count("*").alias("n_total"))
+    total = some.agg(F.count("*")).scalar()
     rows = some.select(F.to_date("start_ts").alias("day"), F.col("dims")["route"].alias("route"), F.col("dims")["search_type"].alias("search_type"), "metric", F.col("value").cast("double").alias("value"))
-    return rows.orderBy("day", "route", "search_type").limit(500).drop("search_type").crossJoin(F.broadcast(total))
+    return rows.orderBy("day", "route", "search_type").limit(500).drop("search_type").withColumn("n_total", total)
 
 
 def flawed(t: Tables):

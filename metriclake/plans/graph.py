@@ -138,14 +138,16 @@ def _(t: Tables):
 
 @query(
     "menu_dependent",
-    FIND.split(" SELECT 'true_orphan'")[0] + " SELECT node FROM wf EXCEPT SELECT node FROM wm",
+    "f AS (SELECT DISTINCT src, dst FROM route_edges WHERE value > 150), m AS (SELECT DISTINCT src, dst FROM route_edges WHERE value > 150 AND layer <> 'menu'), s AS (SELECT MIN(src) AS node FROM f WHERE src IN (SELECT src FROM route_edges WHERE value > 150 AND layer = 'menu')),"
+    " wf AS (SELECT node FROM s UNION SELECT dst FROM wf JOIN f ON src = node), wm AS (SELECT node FROM s UNION SELECT dst FROM wm JOIN m ON src = node) SELECT node FROM wf EXCEPT SELECT node FROM wm",
     "route_edges",
     recursive=True,
 )
 def _(t: Tables):
-    links = t.route_edges.filter("value > 90 AND dst NOT LIKE '/s3/%3'")
-    full = ops.distances(ops.build_graph(links), roots(t, ROOT)).select("node")
-    return full.subtract(ops.distances(ops.build_graph(links.filter("layer <> 'menu'")), roots(t, ROOT)).select("node"))
+    links = t.route_edges.filter("value > 150")
+    start = links.filter("layer = 'menu'").agg(F.min("src").alias("node"))
+    full = ops.distances(ops.build_graph(links), start).select("node")
+    return full.subtract(ops.distances(ops.build_graph(links.filter("layer <> 'menu'")), start).select("node"))
 
 
 @query("two_hop_neighborhood", "b AS (SELECT src, dst FROM part_edges UNION SELECT dst, src FROM part_edges), o AS (SELECT dst AS node FROM b WHERE src = (SELECT MIN(src) FROM part_edges)) SELECT DISTINCT node FROM (SELECT node FROM o UNION ALL SELECT dst FROM b JOIN o ON src = node) WHERE node <> (SELECT MIN(src) FROM part_edges)", "part_edges")
@@ -183,8 +185,8 @@ def _(t: Tables):
     "route_edges",
 )
 def _(t: Tables):
-    top = ops.nodes_of(t.route_edges).orderBy("node").limit(12)
-    pairs = top.select(F.col("node").alias("src")).crossJoin(top.select(F.col("node").alias("dst")))  # 12 x 12
+    top = ops.nodes_of(t.route_edges).orderBy("node").limit(12).agg(F.collect_list("node").alias("nodes"))
+    pairs = top.select("nodes", F.explode("nodes").alias("src")).select("src", F.explode("nodes").alias("dst"))
     counts = t.route_edges.groupBy("src", "dst").agg(F.count("*").alias("n"))
     return pairs.join(counts, ["src", "dst"], "left").na.fill(0, ["n"])
 
@@ -342,9 +344,9 @@ def _(t: Tables):
 @query("core_projection_summary", LANES + "SELECT (SELECT COUNT(*) FROM lanes) AS n_candidates, COUNT(*) AS n_entities, COUNT(*) FILTER (state = 'contradicted') AS n_contradicted, (SELECT COUNT(DISTINCT src || dst) FROM route_edges WHERE layer IN ('contextual', 'related')) AS n_relationships FROM c", "lanes", "route_edges")
 def _(t: Tables):
     entities = reconciled(t).agg(F.count("*").alias("n_entities"), F.count_if(F.col("state") == "contradicted").alias("n_contradicted"))
-    counted = t.lanes.agg(F.count("*").alias("n_candidates"))
-    edges = ops.build_graph(t.route_edges, ("contextual", "related")).agg(F.count("*").alias("n_relationships"))
-    return entities.crossJoin(counted).crossJoin(edges)  # one row each
+    counted = t.lanes.agg(F.count("*")).scalar()
+    edges = ops.build_graph(t.route_edges, ("contextual", "related")).agg(F.count("*")).scalar()
+    return entities.withColumn("n_candidates", counted).withColumn("n_relationships", edges)
 
 
 @query(

@@ -161,11 +161,11 @@ def _(t: Tables):
 @query("top_gaps", "SELECT source, COUNT(*) AS n_missing FROM (SELECT source, day FROM (SELECT DISTINCT site_id, source FROM runs), (SELECT DISTINCT day FROM hits) EXCEPT ALL SELECT source, day FROM runs) GROUP BY source ORDER BY n_missing DESC, source LIMIT 3", "runs")
 def _(t: Tables):
     bound = t.runs.select("site_id", "source").distinct()
-    cells = bound.crossJoin(t.hits.select("day").distinct())  # bindings by days: the spine of cells itself
+    cells = coverage.expected_cells(bound, [{"metric": "any"}], "2024-01-01", "2024-01-30")
     missing = cells.join(t.runs.select("site_id", "source", F.to_date("window_start").alias("day")), ["site_id", "source", "day"], "left_anti")
     return missing.groupBy("source").agg(F.count("*").alias("n_missing")).orderBy(F.desc("n_missing"), "source").limit(3)
 
 
-@query("date_gaps_of_exports", None)
+@query("date_gaps_of_exports", "SELECT site_id, MIN(day) AS first_day, MAX(day) AS last_day, COUNT(*) AS n_days FROM (SELECT site_id, day, day - CAST(row_number() OVER (PARTITION BY site_id ORDER BY day) AS INTEGER) AS g FROM (SELECT DISTINCT site_id, data_date AS day FROM bulk)) GROUP BY site_id, g", "bulk")
 def _(t: Tables):
     return coverage.date_ranges(t.bulk.select("site_id", F.col("data_date").alias("day")), "site_id")

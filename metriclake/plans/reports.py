@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from metriclake import catalog
 from metriclake.operators import facts, reports as ops
+from metriclake.operators.coverage import each_of
 from metriclake.plans.registry import query
 from metriclake.sources.derived import Tables
 
@@ -91,8 +92,9 @@ def _(t: Tables):
 )
 def _(t: Tables):
     cells = values(t).withColumn("expected", F.lit(10)).withColumn("covered", F.when(F.col("status") == "complete", 10).otherwise(5))
-    goals = t.spark.createDataFrame([("views", "web.pageviews", None, 250.0, 0.8), ("ctr", "search.clicks", "search.impressions", 1.0, 0.8)], "goal string, metric string, denominator string, target double, minimum_coverage double")
-    per_site = F.broadcast(goals).join(cells.select("site_id").distinct(), F.lit(True))
+    names = ("goal", "metric", "denominator", "target", "minimum_coverage")
+    goals = [("views", "web.pageviews", None, 250.0, 0.8), ("ctr", "search.clicks", "search.impressions", 1.0, 0.8)]
+    per_site = each_of(cells.select("site_id").distinct(), [dict(zip(names, g, strict=True)) for g in goals])
     return ops.evaluate_goals(per_site, cells).withColumn("value", F.round("value", 9))
 
 
@@ -104,7 +106,7 @@ def _(t: Tables):
 )
 def _(t: Tables):
     days = t.pair.select(F.col("site_id").alias("series"), "day", F.col("a").cast("double").alias("value"), (F.dayofmonth("day") % 11 != 0).alias("complete"))
-    rules = t.spark.createDataFrame([("high", "above", 12.0), ("fall", "drop_percent", 30.0), ("gone", "missing", 0.0)], "rule string, kind string, threshold double")
+    rules = [{"rule": r, "kind": k, "threshold": x} for r, k, x in (("high", "above", 12.0), ("fall", "drop_percent", 30.0), ("gone", "missing", 0.0))]
     return ops.evaluate_alerts(days, rules, baseline_days=4)
 
 
