@@ -28,6 +28,7 @@ NO_ID = -(1 << 63)
 #: A sample with more different blocks than this is compared window by window over all tasks.
 MANY_BLOCKS = 1024
 SAMPLES = "anchor long, whole long, doc long, place long"
+NEIGHBOURS = "anchor long, whole long, doc long, places array<long>, weight int"
 
 
 @dataclass(frozen=True)
@@ -39,6 +40,10 @@ class Kind:
     gram: int
     earlier: bool  # True: a window in a smaller doc_id makes it a repeat; False: any other occurrence does
 
+    def __post_init__(self) -> None:
+        if not 0 < self.gram <= self.width or self.width - self.gram > 254:
+            raise ValueError("a sample has 1 to width units, and at least width - 254")
+
     def codes(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(codes, borders of the documents among them, the codes' first bytes)."""
         data, offsets = utf8(column)
@@ -70,7 +75,7 @@ def samples(rows: DataFrame, kind: Kind) -> DataFrame:
                 continue
             at = borders[found["doc"]] + found["anchor_at"]
             leading = np.zeros(len(at), dtype=U)
-            for i in range(4):
+            for i in range(min(4, kind.gram)):
                 leading = (leading << U(8)) | lead[at + i].astype(U)
             anchor = (leading << U(32)) | (found["anchor"] >> U(32))
             place = (text_key(batch.column(1))[found["doc"]] << 40) | (found["first"] << 8) | found["count"]
@@ -80,36 +85,67 @@ def samples(rows: DataFrame, kind: Kind) -> DataFrame:
     return rows.mapInArrow(blocks, SAMPLES)
 
 
-def neighbours(sampled: DataFrame) -> DataFrame:
-    """The samples that are not alone, and at most the first and last of each sorted bucket besides."""
+def neighbours(sampled: DataFrame, kind: Kind) -> DataFrame:
+    """What sorted buckets tell of samples that are not alone: a row per document and block, with its
+    places and `weight`.
+
+    Weight 0: the block is a repeat for certain, by what stands in its own bucket. Weight 1 or 2: the block
+    stands for all equal blocks of its bucket (2: for several), to be compared with other buckets and with
+    other blocks of its sample. So equal blocks, however many, leave one such row a bucket. Samples that
+    are alone in a bucket fall away, but for its first and last, whose equals may lie across the border.
+    """
+
+    def judged(table: pa.Table, begins: bool, ends: bool) -> pa.RecordBatch:
+        table = table.combine_chunks()
+        anchor, whole, doc = (table.column(i).to_numpy() for i in range(3))
+        n = len(anchor)
+        new_anchor, new_block = np.ones(n, dtype=bool), np.ones(n, dtype=bool)
+        new_anchor[1:] = anchor[1:] != anchor[:-1]
+        new_block[1:] = new_anchor[1:] | (whole[1:] != whole[:-1])
+        several = ~(new_anchor & np.append(new_anchor[1:], True))
+        if begins:
+            several |= anchor == anchor[0]
+        if ends:
+            several |= anchor == anchor[-1]
+        new_run = new_block.copy()  # of equal blocks in one document
+        new_run[1:] |= doc[1:] != doc[:-1]
+        start, run = np.flatnonzero(new_block), np.flatnonzero(new_run)
+        block, places = np.cumsum(new_block)[run] - 1, np.diff(np.append(run, n))
+        first = run == start[block]
+        sure = ~first if kind.earlier else (np.diff(np.append(start, n)) > 1)[block]
+        standing = np.where(sure, 2, 1) if not kind.earlier else np.ones(len(run))
+        sure, stands = np.flatnonzero(sure & several[run]), np.flatnonzero(first & several[run])
+        chosen = np.concatenate([sure, stands])
+        counts = np.concatenate([places[sure], places[stands] if kind.earlier else np.ones(len(stands), dtype=np.int64)])
+        offsets = np.concatenate([[0], np.cumsum(counts)])
+        at = np.repeat(run[chosen] - offsets[:-1], counts) + np.arange(offsets[-1])
+        lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), table.column(3).combine_chunks().take(pa.array(at)))
+        weight = np.concatenate([np.zeros(len(sure)), standing[stands]]).astype(np.int32)
+        taken = table.select([0, 1, 2]).take(pa.array(run[chosen]))
+        return pa.RecordBatch.from_arrays([*[taken.column(i).combine_chunks() for i in range(3)], lists, pa.array(weight)], names=["anchor", "whole", "doc", "places", "weight"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.RecordBatch | None = None  # the last row, whose successor is not known yet
-        held_kept, start = False, True
+        held: list[pa.RecordBatch] = []  # rows from the start of the last anchor on
+        begins = True
         for batch in batches:
             if not batch.num_rows:
                 continue
-            anchor = batch.column(0).to_numpy()
-            same = anchor[1:] == anchor[:-1]
-            keep = np.zeros(len(anchor), dtype=bool)
-            keep[1:] |= same
-            keep[:-1] |= same
-            if start:
-                keep[0], start = True, False
-            elif held is not None:
-                equal = held.column(0)[0].as_py() == anchor[0]
-                keep[0] |= equal
-                if held_kept or equal:
-                    yield held
-            held, held_kept = batch.slice(len(anchor) - 1), bool(keep[-1])
-            keep[-1] = False
-            if keep.any():
-                yield batch.filter(pa.array(keep))
-        if held is not None:
-            yield held
+            anchor = batch.column(0)
+            last = anchor[len(anchor) - 1].as_py()
+            cut = int(np.searchsorted(anchor.to_numpy(), last))
+            if held and held[0].column(0)[0].as_py() == last:
+                held.append(batch)
+                continue
+            done = [*held, batch.slice(0, cut)]
+            if sum(x.num_rows for x in done):
+                yield judged(pa.Table.from_batches(done), begins, False)
+                begins = False
+            held = [batch.slice(cut)]
+        if held:
+            yield judged(pa.Table.from_batches(held), begins, True)
 
     dealt = sampled.repartitionByRange(2 * shuffle_partitions(sampled.sparkSession), "anchor", "whole", "doc", "place")
-    return dealt.sortWithinPartitions("anchor", "whole", "doc", "place").mapInArrow(compare, SAMPLES)
+    return dealt.sortWithinPartitions("anchor", "whole", "doc", "place").mapInArrow(compare, NEIGHBOURS)
 
 
 def _asked(batches: Iterator[pa.RecordBatch], kind: Kind) -> Iterator[pa.RecordBatch]:
@@ -180,18 +216,20 @@ def spans(documents: DataFrame, kind: Kind) -> tuple[DataFrame, DataFrame]:
 
     The rows are the plan's only shuffle of texts; joined again by doc, it is reused.
     """
-    spark = documents.sparkSession
     rows = rows_of(documents)
-    repeated = written(neighbours(samples(rows, kind)), "samples")
-    blocks = repeated.groupBy("anchor", "whole").agg(F.min(F.struct("doc", "place")).alias("rep"), F.count("*").alias("n"))
+    repeated = written(neighbours(samples(rows, kind), kind), "samples")
+    standing = repeated.filter("weight > 0")  # a row per block and bucket
+    blocks = standing.groupBy("anchor", "whole").agg(F.min(F.struct("doc", F.col("places")[0].alias("place"))).alias("rep"), F.sum("weight").alias("n"))
     anchors = blocks.groupBy("anchor").agg(F.count("*").alias("blocks"))
-    known = repeated.join(blocks, ["anchor", "whole"]).join(anchors, "anchor")
-    sure = F.col("doc") > F.col("rep.doc") if kind.earlier else F.col("n") > 1
+    known = standing.join(blocks, ["anchor", "whole"]).join(anchors, "anchor")
     first, width = F.expr("(place >> 8) & 4294967295"), kind.width
-    whole = known.filter(sure).select("doc", F.expr("place >> 40").alias("text_key"), first.alias("first"), (first + F.expr("place & 255") + (width - 1)).alias("last"))
-    one = F.col("doc") == F.col("rep.doc") if kind.earlier else F.struct("doc", "place") == F.col("rep")
+    span = ["doc", F.expr("place >> 40").alias("text_key"), first.alias("first"), (first + F.expr("place & 255") + (width - 1)).alias("last")]
+    across = F.col("doc") > F.col("rep.doc") if kind.earlier else (F.col("n") > 1) & (F.col("weight") == 1)
+    certain = repeated.filter("weight = 0").select("doc", F.explode("places").alias("place"))
+    whole = certain.unionByName(known.filter(across).select("doc", F.explode("places").alias("place"))).select(*span)
+    one = (F.col("doc") == F.col("rep.doc")) if kind.earlier else (F.col("doc") == F.col("rep.doc")) & (F.col("places")[0] == F.col("rep.place"))
     weight = F.when(F.col("n") > 1, 2).otherwise(1)
-    asked = known.filter((F.col("blocks") > 1) & one).groupBy("doc").agg(F.collect_list(F.struct("anchor", "place", weight.alias("weight"), (F.col("blocks") > MANY_BLOCKS).alias("many"))).alias("asked"))
+    asked = known.filter((F.col("blocks") > 1) & one).select("doc", "anchor", "n", "blocks", F.explode("places").alias("place")).groupBy("doc").agg(F.collect_list(F.struct("anchor", "place", weight.alias("weight"), (F.col("blocks") > MANY_BLOCKS).alias("many"))).alias("asked"))
     dealt = rows.repartition("doc")
     schema = "anchor long, doc long, place long, weight int, many boolean, windows binary"
     windows = dealt.join(asked, "doc").select("doc", "text", "asked").mapInArrow(lambda it: _asked(it, kind), schema)

@@ -42,7 +42,7 @@ def dedup(documents: DataFrame, width: int = 50) -> DataFrame:
 
 
 def _parsed(documents: DataFrame, width: int, schema: str, judge) -> DataFrame:
-    kind = Kind("words", width, min(GRAM, width), earlier=True)
+    kind = Kind("words", width, max(min(GRAM, width), width - 254), earlier=True)
     rows, found = spans(documents, kind)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -31,7 +31,7 @@ def dedup(documents: DataFrame, width: int = 200) -> DataFrame:
     of itself. A null doc_id stays null. What is kept may end inside a character, so it is binary.
     Other columns are not read.
     """
-    kind = Kind("bytes", width, max(4, int(width * GRAM_SHARE)), earlier=False)
+    kind = Kind("bytes", width, max(1, int(width * GRAM_SHARE), width - 254), earlier=False)
     rows, found = spans(documents, kind)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
