@@ -210,7 +210,7 @@ DIVERGENCE = """sums AS (SELECT site_id, half, COUNT(*) FILTER (pairing = 'paire
 
 @query("divergence_state", PAIRING + ", " + DIVERGENCE, "pair")
 def _(t: Tables):
-    pairs = ops.pair_dates(t.pair).withColumn("half", F.dayofmonth("day") % 9 % 4)
+    pairs = ops.pair_dates(t.pair).withColumn("half", (F.dayofmonth("day") % 9 % 4).cast("long"))
     return ops.divergence(pairs, "site_id", "half", low=20)
 
 

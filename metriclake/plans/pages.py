@@ -188,7 +188,7 @@ def _(t: Tables):
 def _(t: Tables):
     rows = metrics(t).groupBy("site_id").agg(F.sum("impressions").alias("impressions"), F.sum("clicks").alias("clicks"))
     ranked = Window.orderBy(F.desc("impressions"), "site_id")  # a row per site
-    return rows.withColumn("ctr", F.round(F.col("clicks") / F.col("impressions"), 9)).withColumn("position", F.row_number().over(ranked))
+    return rows.withColumn("ctr", F.round(F.col("clicks") / F.col("impressions"), 9)).withColumn("position", F.row_number().over(ranked).cast("long"))
 
 
 @query("duplicate_label_disambiguation", "r AS (SELECT DISTINCT route, split_part(route, '/', 3) AS short FROM facts UNION SELECT DISTINCT '/x' || route, split_part(route, '/', 3) FROM facts WHERE route LIKE '%7') SELECT route, CASE WHEN COUNT(*) OVER (PARTITION BY short) > 1 THEN short || ' (' || regexp_extract(route, '^(.*)/', 1) || ')' ELSE short END AS label FROM r", "facts")
