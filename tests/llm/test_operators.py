@@ -512,3 +512,32 @@ def test_pipeline(spark):
     assert all(i == c for i, c in linked(prints).items())
     assert {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()} == set(kept)
     assert docs.select(F.count("*")).first()[0] == len(kept)
+
+
+def test_stages_on_odd_rows(spark, odd, empty):
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES:
+        kept, none = stage(spark, odd, SF), stage(spark, empty, SF)
+        assert none.count() == 0, name
+        if name == "best_fit_packing":
+            assert_gapless(kept.collect())
+            continue
+        assert kept.columns == none.columns == odd.columns, name
+        assert 0 < kept.count() <= len(ODD), name
+
+
+def test_queries_say_which_rows_their_sql_gives(spark):
+    import duckdb
+
+    from metriclake.llm.queries import oracle_sql
+
+    connection = duckdb.connect()
+    for name in ("documents", "pages"):
+        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{SF}/{name}.parquet')")
+    for name, sql in oracle_sql().items():
+        df = queries()[name](spark, SF)
+        found = connection.execute(sql)
+        columns = [c[0] for c in found.description]
+        assert sorted(columns) == sorted(df.columns)
+        assert Counter(tuple(r[c] for c in columns) for r in df.collect()) == Counter(found.fetchall()), name
