@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from metriclake import catalog
+from metriclake.functions.geo import US_STATES, us_state
 from metriclake.operators import facts as ops
 from metriclake.plans.registry import query
 from metriclake.sources.derived import Tables
@@ -317,20 +318,22 @@ def _(t: Tables):
     return ops.geo_rollup(rows, "n_name", 58)
 
 
-#: Codes of the first states by alphabet (fixed values).
-STATES = ("AL", "AK", "AZ", "AR", "CA", "CO", "CT", "DE", "FL", "GA")
+CODES, NAMES = list(US_STATES), list(US_STATES.values())
 
 
 @query(
     "geo_us_state_rollup",
-    f"totals AS (SELECT {list(STATES)!r}[1 + CAST(c_custkey % 10 AS INTEGER)] AS code, COUNT(*) AS value FROM customer WHERE c_nationkey < 12 GROUP BY 1) " + GEO.format(k=70),
+    f"totals AS (SELECT {CODES!r}[1 + CAST(c_custkey % 51 AS INTEGER)] AS code, COUNT(*) AS value FROM customer WHERE c_custkey % 7 <> 0 GROUP BY 1) " + GEO.format(k=25),
 )
 def _(t: Tables):
-    code = F.element_at(F.array(*[F.lit(s) for s in STATES]), (F.col("c_custkey") % 10).cast("int") + 1)
-    raw = t.base("customer").filter("c_nationkey < 12").select(F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("US-"), code)).otherwise(F.lower(code)).alias("region"))
-    rows = raw.select(F.upper(F.regexp_replace("region", "^US-", "")).alias("code"), F.lit(1).alias("value"))
-    known = t.spark.createDataFrame([(s,) for s in STATES], "code string")
-    return ops.geo_rollup(rows.join(F.broadcast(known), "code", "left_semi"), "code", 70)
+    def pick(values: list[str]):
+        return F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("c_custkey") % 51).cast("int") + 1)
+
+    # codes with and without the country, names in capitals, and codes that are none
+    kind = F.col("c_custkey") % 7
+    code = F.when(kind == 0, "XX").when(kind == 1, F.concat(F.lit("US-"), pick(CODES))).when(kind == 2, F.lower(pick(CODES))).when(kind == 3, "").when(kind > 4, pick(CODES))
+    rows = t.base("customer").select(us_state(code, F.upper(pick(NAMES))).alias("code"), F.lit(1).alias("value"))
+    return ops.geo_rollup(rows, "code", 25)
 
 
 @query("hourly_provisional_flag", "SELECT site_id, h, n, h >= first_bad AS provisional FROM (SELECT site_id, date_trunc('hour', ts) AS h, COUNT(*) AS n FROM hits GROUP BY ALL) JOIN (SELECT site_id, MIN(date_trunc('hour', ts)) AS first_bad FROM hits WHERE event_type = 'error' AND day >= DATE '2024-01-20' GROUP BY ALL) USING (site_id)", "hits")
