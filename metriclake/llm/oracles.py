@@ -14,6 +14,18 @@ kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text FROM (SELECT do
 SELECT d.doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, COUNT(*) AS n FROM gone GROUP BY doc_id) USING (doc_id)"""
 
+BYTES = r"""
+WITH d AS (SELECT doc_id, hex(coalesce(text, '')) AS x FROM documents),
+chunks AS (SELECT doc_id, c, substr(x, 400 * c + 1, 800) AS y FROM (SELECT doc_id, x, unnest(range(0, length(x) // 400 + 1)) AS c FROM d)),
+windows AS (SELECT doc_id, 200 * c + j AS i, md5(substr(y, 2 * j + 1, 400)) AS h FROM (SELECT doc_id, c, y, unnest(range(0, least(200, greatest(length(y) // 2 - 199, 0)))) AS j FROM chunks)),
+again AS (SELECT doc_id, i FROM windows SEMI JOIN (SELECT h FROM windows GROUP BY h HAVING COUNT(*) > 1) USING (h)),
+runs AS (SELECT doc_id, MIN(i) AS a, MAX(i) + 200 AS b FROM (SELECT *, SUM(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM
+ (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS fresh FROM again)) GROUP BY doc_id, g),
+pieces AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS s, a AS e FROM runs UNION ALL SELECT doc_id, MAX(b), 1000000000 FROM runs GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(substr(x, 2 * s + 1, 2 * (e - s)), '' ORDER BY s) AS y FROM pieces JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, length(x) // 2 AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, coalesce(k, 0) AS n_spans, sha256(unhex(coalesce(y, x))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, SUM(b - a) AS n, COUNT(*) AS k FROM runs GROUP BY doc_id) USING (doc_id)"""
+
 PAGES = r"""
 WITH parts AS (SELECT page_id, url, unnest(string_split_regex(a, '</?(?:p|h1)>')) AS part, unnest(range(len(string_split_regex(a, '</?(?:p|h1)>')))) AS k
  FROM (SELECT page_id, url, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS a FROM pages)),
@@ -42,4 +54,4 @@ def secret_scan() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": SUBSTRINGS.strip(), "op7_secret_scan": secret_scan(), "op10_html_extraction": PAGES.strip()}
+    return {"op1_substring_dedup": SUBSTRINGS.strip(), "op4_suffix_array_dedup": BYTES.strip(), "op7_secret_scan": secret_scan(), "op10_html_extraction": PAGES.strip()}
