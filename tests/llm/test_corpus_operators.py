@@ -541,3 +541,56 @@ def test_queries_say_which_rows_their_sql_gives(spark):
         columns = [c[0] for c in found.description]
         assert sorted(columns) == sorted(df.columns)
         assert Counter(tuple(r[c] for c in columns) for r in df.collect()) == Counter(found.fetchall()), name
+
+
+def shingles(text):
+    w = (text or "").encode().lower().split()
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, min(1, len(w)))))
+
+
+def one_of_each_group(rows):
+    """Smallest ids of the groups linked by Jaccard similarity, by all pairs."""
+    sets = [(i, shingles(t)) for i, t in sorted(rows)]
+    parent = {i: i for i, _ in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for n, (i, a) in enumerate(sets):
+        for j, b in sets[:n]:
+            if a == b or 9 * len(a & b) >= 4 * (len(a) + len(b)):
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    return sorted(i for i in parent if find(i) == i)
+
+
+def near_copy_rows():
+    """A crowd of near copies, chains that only their middles connect, crowds below the limit, short texts."""
+    rng = np.random.default_rng(5)
+    plain = lambda n: [f"w{x}" for x in rng.integers(0, 3000, n)]
+    texts = []
+    for words, copies, edits in ((80, 120, 1), (120, 40, 2), (90, 60, 4), (60, 30, 3), (300, 30, 12)):
+        base = plain(words)
+        for _ in range(copies):
+            w = list(base)
+            for k in rng.integers(0, words, int(rng.integers(0, edits + 1))):
+                w[k] = f"e{rng.integers(0, 10**6)}"
+            texts.append(" ".join(w))
+    chain = plain(200)
+    texts += [" ".join(chain[k : k + 100]).upper() for k in range(0, 100, 7)]
+    passage = plain(60)
+    texts += [" ".join(passage + plain(int(k))) for k in rng.integers(3, 25, 40)]
+    texts += [" ".join(plain(60)) for _ in range(40)] + ["", " ", "a b", "A  b", "a b c d", "one two three four five", "one two three four six"]
+    return [(i, t) for i, t in enumerate(texts)] + [(1000, None)]
+
+
+def test_near_copies_equal_brute_force(spark, documents, texts):
+    import corpus_pipeline
+
+    rows = near_copy_rows()
+    hand = spark.createDataFrame(rows, "doc_id long, text string")
+    for table, pairs in ((documents, texts.items()), (hand, rows)):
+        kept = corpus_pipeline.drop_near_copies(spark, table, SF)
+        assert sorted(r.doc_id for r in kept.collect()) == one_of_each_group(pairs)
