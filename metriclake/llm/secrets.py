@@ -56,6 +56,15 @@ ADDED = (
     Rule("bearer", (("bearer ",), "[A-Za-z0-9._~+/-]{20,}=*"), any_case=True),
     Rule("url_login", (("://",), "[A-Za-z0-9._-]+:[^\\x20\\x09-\\x0D@/]{3,}@")),
 )
+#: What follows the first line of a private key: all to its END line or, without one, header lines and the base64
+#: lines after them (lines may be parted by blanks or a written-out \\n; no key has 1,000 of them).
+_BREAK = r"(?:\s|\\[nr]){0,8}"
+KEY_BODY = (
+    r"(?:(?:[^-]*+-{1,4}+(?!-)){0,40}[^-]*+-----END [A-Z ]{0,20}PRIVATE KEY-----"
+    rf"|(?:(?:{_BREAK}[A-Za-z][A-Za-z-]{{0,30}}:\x20[^\r\n\\]*+){{0,8}}(?:{_BREAK}[A-Za-z0-9+/]{{40,}}+={{0,2}}){{1,1000}}(?:(?:\r?\n|\\n)[A-Za-z0-9+/]++={{0,2}}(?=[\r\n\\]|\z))?)?)"
+)
+#: For redaction a private key is the whole key; the scan reports its first line, as the SQL does.
+REDACTED = tuple(Rule(r.kind, (*r.parts, KEY_BODY)) if r.kind == "private_key" else r for r in ADDED)
 
 
 def trigram_query(rule: Rule) -> list[list[frozenset[str]]]:
@@ -181,7 +190,7 @@ def digests(documents: DataFrame) -> DataFrame:
 
 def redact(documents: DataFrame) -> DataFrame:
     """The same rows and columns with each run of matched characters in text replaced by [SECRET]; a null
-    text stays null. Overlapping matches are replaced together."""
+    text stays null. Overlapping matches are replaced together; a private key is replaced to its end."""
     ends = F.aggregate(
         "found",
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
@@ -193,5 +202,5 @@ def redact(documents: DataFrame) -> DataFrame:
     )
     text = F.when(F.size("found") > 0, ends).otherwise(F.col("text"))
     named = {c: f"_scan_in_{c}" if c == "found" else c for c in documents.columns}
-    out = scan(documents.withColumnsRenamed(named))
+    out = scan(documents.withColumnsRenamed(named), REDACTED)
     return out.select(*[(text if c == "text" else F.col(new)).alias(c) for c, new in named.items()])
