@@ -21,13 +21,16 @@ from metriclake.llm.shared import written
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 CLASS = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 #: Tags by how they are read (fixed values of HTML).
-RAW = frozenset("script style noscript template iframe textarea title object svg math".split())
+RAW = frozenset("script style noscript template iframe textarea title svg".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i img ins kbd label mark q s samp small span strong sub sup time tt u var wbr br".split())
+INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i img ins kbd label mark q s samp small span strong sub sup time tt u var wbr br math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics annotation".split())
 CONTAINERS = frozenset("article main section div td body".split())
 DROPPED = frozenset("nav header footer aside form script style noscript template iframe button select menu dialog figcaption".split())
 CLOSED_BY = {"p": frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "tr": frozenset(["tr"]), "option": frozenset(["option"])}
-#: Words of class, id or role that mark what is not the article.
+#: Tags that are never left out by their names, and those whose wrapper can be the page's frame.
+NEVER_ASIDE = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
+FRAMES = frozenset("form dialog".split())
+#: Words of class, id or role (whole, or all parts of a hyphenated one) that mark what is not the article.
 ASIDE_WORDS = frozenset(
     "ad ads adv advert advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer"
     " header hidden login masthead menu modal nav navbar navigation navi newsletter notice notification pager pagination popup promo promotion"
@@ -43,11 +46,42 @@ class Page:
         self.parents: list[int] = [-1]
         self.tags: list[str] = ["body"]
         self.blocks: list[tuple[int, str, int]] = []  # container, text, characters in links
+        # elements left out: the next one around each (-1: none), whether it may be the page's frame
+        self.asides: list[tuple[int, bool]] = []
+        self._outs: list[int] = []  # of each block, the innermost element left out around it
+        self._starts: list[int] = []  # the same of each start of the article (h1, main, article)
         self._read(html)
+        self._leave_out()
+
+    def _leave_out(self) -> None:
+        """Drop the blocks in elements left out, but for an element that holds most of the page's unlinked text
+        and the first start of its article, or all of a page that shows no start."""
+        held = [0] * len(self.asides)
+        total = 0
+        for (_, text, linked), out in zip(self.blocks, self._outs, strict=True):
+            worth = max(0, len(text) - linked)
+            total += worth
+            while out >= 0:
+                held[out] += worth
+                out = self.asides[out][0]
+        first: set[int] | None = None
+        for out in self._starts:
+            around = []
+            while out >= 0:
+                around.append(out)
+                out = self.asides[out][0]
+            if all(self.asides[x][1] for x in around):
+                first = set(around)
+                break
+        gone: list[bool] = []
+        for i, (parent, frame) in enumerate(self.asides):  # outer ones come first
+            kept = frame and 2 * held[i] > total and (first is None or i in first)
+            gone.append(not kept or (parent >= 0 and gone[parent]))
+        self.blocks = [block for block, out in zip(self.blocks, self._outs, strict=True) if out < 0 or not gone[out]]
 
     def _read(self, html: str) -> None:
-        # of each open element: tag, its container, whether it is no part of an article
-        stack: list[tuple[str, int, bool]] = [("", 0, False)]
+        # of each open element: tag, its container, the innermost element left out around it (-1: none)
+        stack: list[tuple[str, int, int]] = [("", 0, -1)]
         pieces: list[str] = []
         linked = links = 0
         at, n = 0, len(html)
@@ -56,8 +90,9 @@ class Page:
             nonlocal linked
             if pieces:
                 text = " ".join("".join(pieces).split())
-                if text and not stack[-1][2]:
+                if text:
                     self.blocks.append((stack[-1][1], text, linked))
+                    self._outs.append(stack[-1][2])
                 pieces.clear()
             linked = 0
 
@@ -113,9 +148,14 @@ class Page:
             links = sum(x[0] == "a" for x in stack)
             container, out = stack[-1][1], stack[-1][2]
             names = [(a.lower(), (b or c or d).lower()) for a, b, c, d in CLASS.findall(found[3])]
-            words = {w for _, value in names for w in re.split(r"[^a-z]+", value)}
+            named = tag not in NEVER_ASIDE and any(ASIDE_WORDS.issuperset(re.split("[-_]+", w)) for _, value in names for w in value.split())
             inside = any(x[0] in ("article", "main") for x in stack)
-            out = out or (tag in DROPPED and not (tag in ("header", "figcaption") and inside)) or bool(words & ASIDE_WORDS)
+            dropped = tag in DROPPED and not (tag in ("header", "figcaption") and inside)
+            if dropped or named:
+                self.asides.append((out, not dropped or tag in FRAMES))
+                out = len(self.asides) - 1
+            if tag in ("h1", "main", "article"):
+                self._starts.append(out)
             if tag in CONTAINERS and tag != "body":
                 classes = sorted({re.sub(r"\d+", "", w) for a, value in names if a == "class" for w in value.split()})
                 self.paths.append(f"{self.paths[container]}>{'.'.join([tag, *classes])}")
@@ -127,7 +167,7 @@ class Page:
         flush()
 
     @staticmethod
-    def _imply(stack: list[tuple[str, int, bool]], tag: str) -> None:
+    def _imply(stack: list[tuple[str, int, int]], tag: str) -> None:
         """End the elements that a start of this tag ends, with the inline ones open in them."""
         for i in range(len(stack) - 1, 0, -1):
             name = stack[i][0]

@@ -614,3 +614,19 @@ def test_whole_private_keys_are_redacted(spark):
     rows = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
     got = {r.doc_id: r.text for r in secrets.redact(rows).collect()}
     assert got == dict(enumerate(cases.values()))
+
+
+@pytest.mark.parametrize(
+    ("page", "wanted"),
+    [
+        ('<html class="no-sidebar"><body class="no-sidebar search"><article class="post comments-open comments"><h1>A</h1><p>Some text.</p></article></body></html>', "A\n\nSome text."),
+        ('<body><div id="content" class="with-sidebar"><h2 id="related-work">Related work</h2><p id="notice-1">Some text.</p></div></body>', "Related work\n\nSome text."),
+        ('<article><h2 id="share-price">Price</h2><p>Text.</p><div class="cookie-notice">Cookies</div><div class="share">Share</div></article>', "Price\n\nText."),
+        ('<body><form id="aspnetForm"><header><h1>Site</h1></header><div class="a"><h1>A</h1><p>The whole page is in a form.</p></div></form></body>', "A\n\nThe whole page is in a form."),
+        ('<body><div class="modal"><main><p>All of the text of this page.</p></main></div><footer>Imprint</footer></body>', "All of the text of this page."),
+        ('<body><main><h1>A</h1><p>Short.</p><div class="comments"><p>A comment that is longer than all of the page.</p></div></main></body>', "A\n\nShort."),
+        ("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be.<p>Next<object data=x>fall back</article>", "Let x=1 be.\n\nNext\n\nfall back"),
+    ],
+)
+def test_op10_keeps_what_only_looks_aside(page, wanted):
+    assert html_text.Page(page).text(None) == wanted
