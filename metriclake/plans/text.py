@@ -230,6 +230,12 @@ def _(t: Tables):
     return lines.select("doc_id", F.explode(links).alias("link")).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
+@query("source_links")
+def _(t: Tables):
+    lines = t.base("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    return fn.source_links(lines)
+
+
 @query("redirect_rules", "SELECT page_id, CASE WHEN page_id % 5 = 0 THEN NULL ELSE '/old/' || page_id END AS source, CASE WHEN page_id % 5 = 0 THEN NULL ELSE '/new/' || page_id END AS target, CASE WHEN page_id % 5 = 0 THEN NULL WHEN page_id % 2 = 0 THEN 302 ELSE 301 END AS code FROM pages WHERE page_id % 7 <> 0")
 def _(t: Tables):
     n = F.col("page_id").cast("string")

@@ -166,3 +166,23 @@ def test_globs_match_like_shell_patterns_without_classes(glob, name):
         return bool(n) and (g[0] in ("?", n[0])) and match(g[1:], n[1:])
 
     assert bool(re.match(fn.glob_to_regex(glob), name)) == match(glob, name)
+
+
+def test_source_links_of_whole_texts(spark):
+    from metriclake.functions.text import source_links
+
+    lines = [
+        """<Link href="/a">x</Link> <Form action={'/b'} to=`/c`> <a data-x="/no">""",
+        """{ path: "/no", slug: "/no", href: '/d', url: "https://e.example/" , to : " /f " }""",
+        """router.push("/g"); redirect('/h'); permanentRedirect( `/i` ); push(name)""",
+        "see [the guide](/j) and [](/k \"t\"), [the guide](/j) again",
+        """href="/mixed' no links here""",
+    ]
+    rows = spark.createDataFrame([(1, i, x) for i, x in enumerate(lines)], "doc_id long, line int, text string")
+    got = sorted((r.line, r.source, r.value, r.label) for r in source_links(rows).collect())
+    assert got == sorted(
+        [(0, "jsx-literal", v, "") for v in ("/a", "/b", "/c")]
+        + [(1, "object-field", v, "") for v in ("/d", "https://e.example/", "/f")]
+        + [(2, "router-literal", v, "") for v in ("/g", "/h", "/i")]
+        + [(3, "markdown", "/j", "the guide"), (3, "markdown", "/k", "")]
+    )
