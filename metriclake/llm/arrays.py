@@ -1,7 +1,11 @@
-"""Vectorised work on whole Arrow batches of texts: bytes, words, rolling hashes, sampled segments.
+"""Vectorised work on whole Arrow batches of texts: bytes, words, hashes of words and windows.
 
 All functions take numpy arrays that cover a whole batch (many documents laid end to end); document
-borders are passed as offsets, so there is no Python loop over words or bytes.
+borders are passed as offsets, so there is no Python loop over bytes, and none over words but the long ones.
+
+Hashes are of 64 bits and mix after every step, so no structure of a text cancels out as it does in a
+polynomial modulo 2**64. Two contents still share one by chance once in 2**64 pairs; where results depend on
+content, whoever uses a hash compares the content too.
 """
 
 from __future__ import annotations
@@ -13,9 +17,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-#: Odd multiplier and its inverse modulo 2**64, for prefix-sum rolling hashes.
-MULT = 0x9E3779B97F4A7C15
-INVERSE = pow(MULT, -1, 1 << 64)
+#: Odd multipliers (of the golden ratio and of public finalisers).
+MULT, OTHER, THIRD = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93), U(0xBF58476D1CE4E5B9)
+#: Words up to so many bytes are hashed from their bytes as two integers at once.
+SHORT = 16
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -29,7 +34,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-BYTE_CODES = mix(np.arange(1, 257, dtype=U) * U(0xD6E8FEB86659FD93))
+BYTE_CODES = mix(np.arange(1, 257, dtype=U) * OTHER)
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
@@ -42,19 +47,7 @@ def folded_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of the words without case (A-Z) and marks, first word of each document and the total)."""
     data, offsets = utf8(column)
     start, end, first = words(data, offsets, NOT_FOLDED)
-    return span_hashes(BYTE_CODES[LOWER[data]], start, end), first
-
-
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; the longest array so far is kept."""
-    if base not in _POWERS or len(_POWERS[base]) < n:
-        out = np.full(max(n, 1 << 16), base, dtype=U)
-        out[0] = 1
-        _POWERS[base] = np.multiply.accumulate(out)
-    return _POWERS[base][:n]
+    return word_hashes(LOWER[data], start, end), first
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,25 +94,56 @@ def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE) ->
     return start, end, np.searchsorted(start, offsets)
 
 
-def span_hashes(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of codes[start:end] for each pair, the same wherever the span lies."""
-    sums = np.zeros(len(codes) + 1, dtype=U)
-    np.cumsum(codes * powers(MULT, len(codes)), out=sums[1:])
-    back = powers(INVERSE, len(codes) + 1)
-    return mix((sums[end] - sums[start]) * back[start] + (end - start).astype(U))
+MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=U)
+
+
+def content(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first 16 bytes of each span as two integers; with the length they are the content of short spans."""
+    padded = np.concatenate([data, np.zeros(16, np.uint8)])
+    at = np.ndarray((len(data) + 9,), "<u8", padded, strides=(1,))  # the eight bytes from each place
+    n = end - start
+    return at[start] & MASKS[np.minimum(n, 8)], at[np.minimum(start + 8, len(data))] & MASKS[np.clip(n - 8, 0, 8)]
 
 
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return span_hashes(BYTE_CODES[data], start, end)
+    """Hash of data[start:end] for each pair: of the two integers of a short word, XXH64 of a longer one."""
+    from xxhash import xxh64_intdigest
+
+    low, high = content(data, start, end)
+    n = (end - start).astype(U)
+    out = mix(mix(low ^ OTHER) + mix(high + n * MULT))
+    long = np.flatnonzero(n > SHORT)
+    if len(long):
+        raw = data.tobytes()
+        out[long] = np.fromiter((xxh64_intdigest(raw[a:b]) for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)), dtype=U, count=len(long))
+    return out
+
+
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of each pair of hashes, in that order."""
+    x = a * MULT
+    x ^= x >> U(32)
+    x += b
+    x *= THIRD
+    x ^= x >> U(29)
+    return x
 
 
 def window_hashes(codes: np.ndarray, width: int) -> np.ndarray:
-    """Hash of each run of `width` codes, by its start; border-crossing ones are the caller's to leave out."""
-    n = len(codes) - width + 1
-    if n <= 0:
+    """Hash of each run of `width` codes, by its start; border-crossing ones are the caller's to leave out.
+
+    Runs of 1, 2, 4, ... codes are joined from their halves, and the parts of `width` from those.
+    """
+    if len(codes) < width:
         return np.zeros(0, dtype=U)
-    start = np.arange(n)
-    return span_hashes(codes, start, start + width)
+    level, size, out, done = mix(codes), 1, None, 0
+    while True:
+        if width & size:
+            out = level if out is None else joined(out[: len(level) - done], level[done:])
+            done += size
+        if done == width:
+            return out
+        level, size = joined(level[: len(level) - size], level[size:]), 2 * size
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -160,8 +184,9 @@ def segments(codes: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> d
     at = np.flatnonzero(new)
     count = np.diff(np.append(at, len(start)))
     begin, anchor = start[at], chosen[at]
-    whole = span_hashes(codes, begin, begin + count + width - 1)
-    return {"doc": doc_of[at], "first": begin - offsets[doc_of[at]], "count": count, "anchor_at": anchor - offsets[doc_of[at]], "anchor": grams[anchor], "whole": mix(whole + (anchor - begin).astype(U) * U(MULT))}
+    hashed = window_hashes(codes, width)  # a block's first and last window hold all its codes
+    whole = joined(joined(hashed[begin], hashed[begin + count - 1]), count.astype(U) << U(32) | (anchor - begin).astype(U))
+    return {"doc": doc_of[at], "first": begin - offsets[doc_of[at]], "count": count, "anchor_at": anchor - offsets[doc_of[at]], "anchor": grams[anchor], "whole": mix(whole)}
 
 
 def signed(x: np.ndarray) -> np.ndarray:

@@ -2,22 +2,23 @@
 
 Both public BPE vocabularies split a text before merging, and never merge across the border between a
 word and the white space before it, or between an ASCII letter and a mark beside it. A text is therefore cut
-there into chunks, the library encodes each
-chunk that is new to this Python worker, and numpy gathers the ids of all chunks of a batch. Texts with
-white space outside ASCII, where the two vocabularies' patterns look across such a border, go to the
-library whole.
+there into chunks, the library encodes each chunk that is new to this Python worker, and numpy gathers the ids
+of all chunks of a batch. Known chunks are found by their bytes, not by a hash of them. Texts that hold a special
+token's name, and those with white space outside ASCII, where the byte-level pattern looks across such a
+border, go to the library whole.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from metriclake.llm.arrays import BYTE_CODES, LOWER, SPACE, U, span_hashes, utf8, words
+from metriclake.llm.arrays import LOWER, MULT, SHORT, SPACE, U, content, mix, utf8, words
 
 #: White space that the byte-level pattern knows besides the six ASCII characters (fixed values of Unicode).
 OTHER_SPACE = "[\x1c-\x1f\u0085   -     　]"
@@ -46,60 +47,92 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.leading = leading
+        #: Texts in which this is found are encoded whole.
+        names = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.apart = "|".join([*names, *([OTHER_SPACE] if leading else [])])
         self._forget()
 
     def _forget(self) -> None:
-        self.keys = np.zeros(SLOTS, dtype=U)  # an open-addressed table: hash of a chunk (0: free), then its number
-        self.numbers = np.zeros(SLOTS, dtype=np.int32)
+        self.slots = np.zeros(SLOTS, dtype=np.int32)  # an open-addressed table: 1 + the number of a chunk (0: free)
+        self.low, self.high = np.zeros(1 << 15, dtype=U), np.zeros(1 << 15, dtype=U)  # content of the chunks
+        self.bytes = np.zeros(1 << 15, dtype=np.int64)
+        self.long: dict[bytes, int] = {}  # numbers of chunks over 16 bytes
         self.known = 0
         self.ids = np.zeros(1 << 16, dtype=np.uint32)
         self.first = np.zeros(1 << 15, dtype=np.int64)
         self.count = np.zeros(1 << 15, dtype=np.int64)
         self.used = 0
 
-    def _find(self, hashes: np.ndarray) -> np.ndarray:
-        """Numbers of chunks by their hashes, -1 for new ones."""
-        out = np.full(len(hashes), -1, dtype=np.int64)
-        todo = np.arange(len(hashes))
-        slot = (hashes & U(SLOTS - 1)).astype(np.int64)
+    @staticmethod
+    def _slot(low: np.ndarray, high: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return (mix(low + mix(high + n.astype(U) * MULT)) & U(SLOTS - 1)).astype(np.int64)
+
+    def _find(self, low: np.ndarray, high: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Numbers of chunks of at most 16 bytes by their content, -1 for new ones."""
+        out = np.full(len(n), -1, dtype=np.int64)
+        todo, slot = np.arange(len(n)), self._slot(low, high, n)
         while len(todo):
-            held = self.keys[slot]
-            hit = held == hashes[todo]
-            out[todo[hit]] = self.numbers[slot[hit]]
-            on = ~hit & (held != 0)
+            held = self.slots[slot] - 1  # of a free slot -1: the last row, which is not asked below
+            hit = (held >= 0) & (self.low[held] == low[todo]) & (self.high[held] == high[todo]) & (self.bytes[held] == n[todo])
+            out[todo[hit]] = held[hit]
+            on = ~hit & (held >= 0)
             todo, slot = todo[on], (slot[on] + 1) & (SLOTS - 1)
         return out
 
-    def _insert(self, hashes: np.ndarray) -> None:
-        """Give different new hashes the next numbers."""
-        todo = np.arange(len(hashes))
-        slot = (hashes & U(SLOTS - 1)).astype(np.int64)
+    def _insert(self, low: np.ndarray, high: np.ndarray, n: np.ndarray, numbers: np.ndarray) -> None:
+        """Enter different new chunks of at most 16 bytes under their numbers."""
+        self.low[numbers], self.high[numbers], self.bytes[numbers] = low, high, n
+        todo, slot = np.arange(len(n)), self._slot(low, high, n)
         while len(todo):
-            free = np.flatnonzero(self.keys[slot] == 0)
+            free = np.flatnonzero(self.slots[slot] == 0)
             _, one = np.unique(slot[free], return_index=True)
             won = free[one]
-            self.keys[slot[won]] = hashes[todo[won]]
-            self.numbers[slot[won]] = self.known + todo[won]
+            self.slots[slot[won]] = numbers[todo[won]] + 1
             on = np.ones(len(todo), dtype=bool)
             on[won] = False
             todo, slot = todo[on], (slot[on] + 1) & (SLOTS - 1)
-        self.known += len(hashes)
 
-    def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
+    def _learn(self, texts: list[str]) -> np.ndarray:
+        """Encode new chunks; their numbers."""
         got = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         lengths = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
         n, total = self.known, int(lengths.sum())
         while len(self.ids) < self.used + total:
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while len(self.first) < n + len(got):
-            self.first, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count))
+            for name in ("first", "count", "low", "high", "bytes"):
+                old = getattr(self, name)
+                setattr(self, name, np.concatenate([old, np.zeros_like(old)]))
         self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(got), dtype=np.uint32, count=total)
         self.first[n : n + len(got)] = self.used + np.cumsum(lengths) - lengths
         self.count[n : n + len(got)] = lengths
-        self._insert(hashes)
         self.used += total
+        self.known += len(got)
+        return np.arange(n, self.known)
+
+    def _numbers(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The number of each chunk; new ones are learned."""
+        low, high = content(data, start, end)
+        n, raw = end - start, data.tobytes()
+        short, long = np.flatnonzero(n <= SHORT), np.flatnonzero(n > SHORT)
+        out = np.full(len(n), -1, dtype=np.int64)
+        out[short] = self._find(low[short], high[short], n[short])
+        keys = [raw[a:b] for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)]
+        out[long] = [self.long.get(k, -1) for k in keys]
+        new = short[out[short] < 0]
+        if len(new):
+            order = new[np.lexsort((n[new], high[new], low[new]))]
+            same = (low[order][1:] == low[order][:-1]) & (high[order][1:] == high[order][:-1]) & (n[order][1:] == n[order][:-1])
+            one = order[np.concatenate([[True], ~same])]
+            numbers = self._learn([raw[a:b].decode() for a, b in zip(start[one].tolist(), end[one].tolist(), strict=True)])
+            self._insert(low[one], high[one], n[one], numbers)
+            out[new] = self._find(low[new], high[new], n[new])
+        fresh = dict.fromkeys(k for k, i in zip(keys, out[long].tolist(), strict=True) if i < 0)
+        if fresh:
+            self.long.update(zip(fresh, self._learn([k.decode() for k in fresh]).tolist(), strict=True))
+            out[long] = [self.long[k] for k in keys]
+        return out
 
     def _chunks(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, end, document) of the chunks in order."""
@@ -131,8 +164,8 @@ class Encoder:
         """(ids of all texts end to end, offsets); a null has no ids."""
         column = column.cast(pa.large_string()).fill_null("")
         whole = np.zeros(len(column), dtype=bool)
-        if self.leading:
-            whole = pc.match_substring_regex(column, OTHER_SPACE).to_numpy(zero_copy_only=False).astype(bool)
+        if self.apart:
+            whole = pc.match_substring_regex(column, self.apart).to_numpy(zero_copy_only=False).astype(bool)
         rest = pc.if_else(pa.array(whole), "", column) if whole.any() else column
         ids, offsets = self._encode_chunks(rest)
         if not whole.any():
@@ -150,24 +183,17 @@ class Encoder:
         start, end, doc = self._chunks(data, offsets)
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(len(column) + 1, np.int64)
-        hashes = span_hashes(BYTE_CODES[data], start, end)
-        hashes[hashes == 0] = 1  # 0 marks a free slot
-        index = self._find(hashes)
-        new = np.flatnonzero(index < 0)
-        if len(new):
-            keys, at = np.unique(hashes[new], return_index=True)
-            if self.known + len(keys) > CACHE_CHUNKS and self.known:
+        parts, counts = [], []
+        for i in range(0, len(start), CACHE_CHUNKS):  # one part but for a very long text
+            if self.known > CACHE_CHUNKS or len(self.ids) > 8 * CACHE_CHUNKS:
                 self._forget()
-                new = np.arange(len(hashes))
-                keys, at = np.unique(hashes, return_index=True)
-            raw, at = data.tobytes(), new[at]
-            self._learn(keys, [raw[a:b].decode() for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)])
-            index[new] = self._find(hashes[new])
-        first, count = self.first[index], self.count[index]
-        total = np.cumsum(count)
-        ids = self.ids[np.repeat(first - (total - count), count) + np.arange(total[-1])]
-        per = np.bincount(doc, weights=count, minlength=len(column)).astype(np.int64)
-        return ids, np.concatenate([[0], np.cumsum(per)])
+            index = self._numbers(data, start[i : i + CACHE_CHUNKS], end[i : i + CACHE_CHUNKS])
+            first, count = self.first[index], self.count[index]
+            total = np.cumsum(count)
+            parts.append(self.ids[np.repeat(first - (total - count), count) + np.arange(total[-1])])
+            counts.append(count)
+        per = np.bincount(doc, weights=np.concatenate(counts), minlength=len(column)).astype(np.int64)
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum(per)])
 
 
 def with_end(ids: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metriclake.llm.arrays import BYTE_CODES, U, segments, signed, slices, span_hashes, utf8, window_hashes, word_hashes, words
+from metriclake.llm.arrays import BYTE_CODES, U, segments, signed, slices, utf8, window_hashes, word_hashes, words
 from metriclake.llm.shared import shuffle_partitions, written
 
 #: A null doc_id counts as smaller than any other.
@@ -55,8 +55,9 @@ class Kind:
 
 def text_key(column: pa.Array) -> np.ndarray:
     """23 bits of each text's hash, which tell rows with one doc_id apart."""
-    data, offsets = utf8(column)
-    return (span_hashes(BYTE_CODES[data], offsets[:-1], offsets[1:]) >> U(41)).astype(np.int64)
+    from xxhash import xxh64_intdigest
+
+    return np.array([xxh64_intdigest(x or b"") >> 41 for x in column.cast(pa.large_binary()).to_pylist()], dtype=np.int64)
 
 
 def rows_of(documents: DataFrame) -> DataFrame:

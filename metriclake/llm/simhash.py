@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from metriclake.llm.arrays import U, signed, slices
 from metriclake.llm.components import with_components
-from metriclake.llm.shared import written
+from metriclake.llm.shared import row_key, written
 
 SEED = 42
 #: Fingerprints in the sample that bit groups and thresholds are chosen on; the choice never changes results.
@@ -29,8 +29,8 @@ SAMPLE = 4096
 CROWD = 64
 
 
-def fingerprints(documents: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id, fingerprint long of each row of documents (doc_id, text).
+def fingerprints(documents: DataFrame, shingle: int = 3, carried: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The carried columns (as long) and fingerprint long of each row of documents (these, text).
 
     A bit is set if it is set in over half of the XXH64 of the shingles, repeats included. Fewer words than
     a shingle count as one shingle; a text without words, or null, has fingerprint 0.
@@ -39,9 +39,9 @@ def fingerprints(documents: DataFrame, shingle: int = 3) -> DataFrame:
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
-        for batch in slices(batches):
+        for batch in slices(batches, text=0):
             values, counts = [], []
-            for text in batch.column(1).cast(pa.large_binary()).to_pylist():
+            for text in batch.column(0).cast(pa.large_binary()).to_pylist():
                 w = (text or b"").lower().split()
                 grams = map(b" ".join, zip(*(w[i:] for i in range(shingle)), strict=False)) if len(w) >= shingle else [b" ".join(w)] * bool(w)
                 n = max(len(w) - shingle + 1, min(1, len(w)))
@@ -55,9 +55,10 @@ def fingerprints(documents: DataFrame, shingle: int = 3) -> DataFrame:
                 starts = (np.cumsum(n) - n)[some]
                 ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
                 out[some] = np.packbits(2 * ones > n[some][:, None], axis=1, bitorder="little").view("<u8")[:, 0]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed(out))], names=["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(signed(out))], names=[*carried, "fingerprint"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(hashed, "doc_id long, fingerprint long")
+    rows = documents.select(F.col("text").cast("string").alias("text"), *[F.col(c).cast("long").alias(c) for c in carried])
+    return rows.mapInArrow(hashed, ", ".join(f"{c} long" for c in (*carried, "fingerprint")))
 
 
 def bit_groups(sample: np.ndarray, parts: int) -> list[list[int]]:
@@ -188,13 +189,11 @@ def near_duplicates(documents: DataFrame, distance: int = 2, shingle: int = 3) -
 
 def one_of_each(documents: DataFrame, distance: int = 2, shingle: int = 3) -> DataFrame:
     """documents with one row of each group of near-duplicates: that of the smallest doc_id (a null counts
-    as largest; then by a hash of the text). All columns stay; a row that is repeated whole stays once."""
-    keyed = documents.withColumn("_near_key", F.xxhash64(F.col("doc_id").cast("string"), "text"))
-    hashed = fingerprints(keyed.select(F.col("_near_key").alias("doc_id"), "text"), shingle).withColumnRenamed("doc_id", "key")
-    ids = keyed.select(F.col("_near_key").alias("key"), F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    prints = written(hashed.distinct().join(ids, "key"), "fingerprints")
-    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key")
+    as largest; then by a hash of the row). All columns stay; of rows with one doc_id and text one stays."""
+    keyed = row_key(documents)
+    prints = fingerprints(keyed.select("doc_id", "text", "_k1", "_k2"), shingle, ("doc_id", "_k1", "_k2"))
+    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "_k1", "_k2")
     each = written(prints.groupBy("fingerprint").agg(F.min(order).alias("least")), "prints")
     joined = with_components(each, links(each.select("fingerprint"), distance), "fingerprint")
-    keep = joined.groupBy("component").agg(F.min("least").alias("least")).select(F.col("least.key").alias("_near_key"))
-    return keyed.join(keep, "_near_key", "left_semi").dropDuplicates(["_near_key"]).drop("_near_key")
+    keep = joined.groupBy("component").agg(F.min("least").alias("least")).select("least._k1", "least._k2")
+    return keyed.join(keep, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).drop("_k1", "_k2")
