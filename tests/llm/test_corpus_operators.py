@@ -353,13 +353,32 @@ def folded(text):
     return re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
 
-def contained(rows, items):
-    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
-    out = set()
+def contained(rows, items, share=0.8):
+    """Pairs of a row and an item that some run of 1.5 times the item's words holds by share of its shingles, and
+    by half of those of its question and of its answer."""
+    out, split = set(), {}
+    for i, text in items:
+        w = folded(text)
+        if w:
+            q = folded(decontamination.split_item(text)[0])
+            grams = [tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))]
+            split[i, text] = (len(w), [set(grams), set(grams[: max(0, len(q) - 4)]), set(grams[len(q) :])])
     for d, t in rows:
         w = folded(t)
-        held = {tuple(w[i : i + n]) for n in range(1, 6) for i in range(len(w) - n + 1)}
-        out |= {(d, i) for i, text in items if grams(folded(text)) and len(grams(folded(text)) & held) >= 0.8 * len(grams(folded(text)))}
+        at = defaultdict(list)
+        for k in range(len(w)):
+            for n in range(1, 6):
+                at[tuple(w[k : k + n])].append(k) if k + n <= len(w) else None
+        for (i, _), (n, (whole, *parts)) in split.items():
+            size = len(next(iter(whole)))
+            places = sorted((k, g) for g in whole for k in at.get(g, ()))
+            if len({g for _, g in places}) < share * len(whole):
+                continue
+            for k, _ in places:
+                held = {g for j, g in places if k <= j <= k + max(int(1.5 * n), size) - size}
+                if len(held) >= share * len(whole) and all(2 * len(p & held) >= len(p) for p in parts):
+                    out.add((d, i))
+                    break
     return out
 
 
@@ -379,7 +398,7 @@ def test_op9_equals_brute_force(spark):
 
 def test_op9_partial_short_and_odd_items(spark, odd, empty, monkeypatch):
     words = [f"q{i}" for i in range(40)]
-    items = [(1, " ".join(words[:30]) + ". " + " ".join(words[30:])), (2, "tiny item"), (3, ""), (4, None), (5, "Same Same."), (5, "Same Same.")]
+    items = [(1, " ".join(words[:30]) + ". " + " ".join(words[30:])), (2, "tiny item"), (3, ""), (4, None), (5, "Same Same."), (5, "Same Same."), (6, "?! ... --")]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     changed = words.copy()
     changed[0] = "other"
@@ -390,12 +409,42 @@ def test_op9_partial_short_and_odd_items(spark, odd, empty, monkeypatch):
     found = Counter((r.doc_id, r.item_id) for r in decontamination.find(df, benchmark).collect())
     assert found == {(1, 1): 1, (3, 2): 1, (4, 5): 2, (None, 1): 1}
     monkeypatch.setattr(decontamination, "ITEMS", 2)
+    monkeypatch.setattr(decontamination, "INDEXES", 1)
     assert Counter((r.doc_id, r.item_id) for r in decontamination.find(df, benchmark).collect()) == found
     assert sorted(r.doc_id for r in decontamination.without_leaks(df, benchmark).collect()) == [2, 6]
     assert decontamination.without_leaks(odd, benchmark).columns == odd.columns
     assert decontamination.find(empty, benchmark).count() == 0 and decontamination.find(odd, benchmark.limit(0)).count() == 0
 
 
+def test_op9_depends_on_no_other_item(spark, monkeypatch):
+    """An item parted by 400 words is not found, one parted by a few is, alone, beside a long item, in any index."""
+    words, long = [f"q{i}" for i in range(60)], " ".join(f"l{i}" for i in range(900))
+    wide = words[:30] + [f"n{i}" for i in range(400)] + words[30:]
+    near = words[:30] + [f"n{i}" for i in range(9)] + words[30:]
+    rows = [(1, " ".join(wide)), (2, " ".join(near)), (3, f"a b {long} c d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    item = (1, " ".join(words))
+    for items in ([item], [item, (2, long)]):
+        for size in (1, 2048):
+            monkeypatch.setattr(decontamination, "ITEMS", size)
+            found = [tuple(r) for r in decontamination.find(df, spark.createDataFrame(items, "item_id long, text string")).collect()]
+            assert {f[:2] for f in found} == contained(rows, items) == {(2, 1)} | ({(3, 2)} if len(items) > 1 else set())
+            assert {f[3:] for f in found if f[0] == 2} == {(52 / 56, 52 / 56, 1.0, 0)}
+
+
+def test_op9_wand_retrieves_all_over_their_thresholds():
+    rng = np.random.default_rng(2)
+    items = [decontamination.Item(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.3, 20) % 60)) for i in range(150)]
+    terms, df = np.unique(np.concatenate([np.unique(x.words) for x in items]), return_counts=True)
+    index = decontamination.Index(items, 32, dict(zip(terms.tolist(), df.tolist(), strict=True)), len(items), 20.0)
+    for _ in range(60):
+        query = sorted(set(rng.integers(0, len(index.terms), int(rng.integers(1, 50))).tolist()))
+        scores = np.zeros(len(items))
+        for t in query:
+            scores[index.number[index.first[t] : index.first[t + 1]]] += index.weight[index.first[t] : index.first[t + 1]]
+        assert {k for k, _ in index.wand(query)} == set(np.flatnonzero(scores >= np.array(index.least)).tolist())
+
+
 def test_op10_equals_a_plain_reading(spark):
     def text(page):
         inner = re.search(r"<article>(.*?)</article>", page, re.S)[1]
