@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 from metriclake.llm.arrays import slices
 from metriclake.llm.shared import written
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+TAG = re.compile(r"</?([A-Za-z][^\s/>]*)")
+#: The rest of a tag: quotes count after an equals sign only, and only if they are closed.
+REST = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+>""")
 CLASS = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 #: Tags by how they are read (fixed values of HTML).
 RAW = frozenset("script style noscript template iframe textarea title svg".split())
@@ -30,21 +32,39 @@ CLOSED_BY = {"p": frozenset("address article aside blockquote div dl fieldset fo
 #: Tags that are never left out by their names, and those whose wrapper can be the page's frame.
 NEVER_ASIDE = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
 FRAMES = frozenset("form dialog".split())
-#: Words of class, id or role (whole, or all parts of a hyphenated one) that mark what is not the article.
+#: Words of class, id or role that mark what is not the article: the whole, or all parts of a hyphenated one
+#: (then with place words beside them, if it isn't a header's).
 ASIDE_WORDS = frozenset(
     "ad ads adv advert advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer"
     " header hidden login masthead menu modal nav navbar navigation navi newsletter notice notification pager pagination popup promo promotion"
     " recommended related search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar topbar widget contentinfo complementary".split()
 )
+PLACE_WORDS = frozenset("area bar block bottom box container form global group inner items left links list outer panel reader right section site thread top user wrap wrapper".split())
+
+
+def is_aside(names: list[str]) -> bool:
+    """Whether one of the words of class, id or role marks what is not the article."""
+    for word in names:
+        parts = set(re.split("[-_]+", word))
+        marks = parts & ASIDE_WORDS
+        if marks == parts or (marks - {"header", "footer"} and parts <= ASIDE_WORDS | PLACE_WORDS):
+            return True
+    return False
 
 
 class Page:
-    """Blocks of text of a page, each with its nearest container; containers with paths and parents."""
+    """Blocks of text of a page, each with its nearest container; containers with paths and parents.
+
+    The page is read once from start to end; of open elements only blocks are stacked, each with a count of the
+    inline ones open in it, and paths are numbers, so that broken or deeply nested pages take linear time too.
+    """
 
     def __init__(self, html: str) -> None:
-        self.paths: list[str] = ["body"]
         self.parents: list[int] = [-1]
         self.tags: list[str] = ["body"]
+        self.path_of: list[int] = [0]  # of each container, the number of its path
+        self.steps: dict[tuple[int, str], int] = {}  # (path, last step) -> path
+        self.labels: list[tuple[int, str]] = [(-1, "body")]  # of each path, the path before and the last step
         self.blocks: list[tuple[int, str, int]] = []  # container, text, characters in links
         # elements left out: the next one around each (-1: none), whether it may be the page's frame
         self.asides: list[tuple[int, bool]] = []
@@ -53,6 +73,23 @@ class Page:
         self._read(html)
         self._leave_out()
 
+    def path(self, container: int) -> str:
+        """The steps of a container's path from body on, joined by >."""
+        found, at = [], self.path_of[container]
+        while at >= 0:
+            at, label = self.labels[at]
+            found.append(label)
+        return ">".join(reversed(found))
+
+    def _with_path(self, path: str | None) -> set[int]:
+        """The containers with this path."""
+        at = 0
+        for label in (path or "").split(">")[1:]:
+            if (at, label) not in self.steps:
+                return set()
+            at = self.steps[at, label]
+        return {i for i, p in enumerate(self.path_of) if p == at} if path else set()
+
     def _leave_out(self) -> None:
         """Drop the blocks in elements left out, but for an element that holds most of the page's unlinked text
         and the first start of its article, or all of a page that shows no start."""
@@ -61,30 +98,36 @@ class Page:
         for (_, text, linked), out in zip(self.blocks, self._outs, strict=True):
             worth = max(0, len(text) - linked)
             total += worth
-            while out >= 0:
+            if out >= 0:
                 held[out] += worth
-                out = self.asides[out][0]
+        for i in range(len(held) - 1, -1, -1):  # inner ones come last
+            if self.asides[i][0] >= 0:
+                held[self.asides[i][0]] += held[i]
+        frames: list[bool] = []  # whether an element and all left out around it may be frames
+        for parent, frame in self.asides:
+            frames.append(frame and (parent < 0 or frames[parent]))
         first: set[int] | None = None
         for out in self._starts:
-            around = []
-            while out >= 0:
-                around.append(out)
-                out = self.asides[out][0]
-            if all(self.asides[x][1] for x in around):
-                first = set(around)
+            if out < 0 or frames[out]:
+                first = set()
+                while out >= 0:
+                    first.add(out)
+                    out = self.asides[out][0]
                 break
         gone: list[bool] = []
-        for i, (parent, frame) in enumerate(self.asides):  # outer ones come first
+        for i, (parent, frame) in enumerate(self.asides):
             kept = frame and 2 * held[i] > total and (first is None or i in first)
             gone.append(not kept or (parent >= 0 and gone[parent]))
         self.blocks = [block for block, out in zip(self.blocks, self._outs, strict=True) if out < 0 or not gone[out]]
 
     def _read(self, html: str) -> None:
-        # of each open element: tag, its container, the innermost element left out around it (-1: none)
-        stack: list[tuple[str, int, int]] = [("", 0, -1)]
+        # of each open block element: tag, its container, the innermost element left out around it (-1: none),
+        # and how many inline elements of each tag are open in it
+        stack: list[tuple[str, int, int, dict[str, int]]] = [("", 0, -1, {})]
+        opened: dict[str, int] = {}  # block elements by tag
         pieces: list[str] = []
-        linked = links = 0
-        at, n = 0, len(html)
+        linked = links = 0  # characters in links of this block; links open now
+        at, n, broken = 0, len(html), False
 
         def flush() -> None:
             nonlocal linked
@@ -96,60 +139,87 @@ class Page:
                 pieces.clear()
             linked = 0
 
-        while at < n:
-            found = TOKEN.search(html, at)
-            begin = found.start() if found else n
-            if begin > at:
-                text = unescape(html[at:begin])
+        def leave() -> None:
+            nonlocal links
+            tag, _, _, inline = stack.pop()
+            opened[tag] -= 1
+            links -= inline.get("a", 0)
+
+        def show(raw: str) -> None:
+            nonlocal linked
+            if raw:
+                text = unescape(raw)
                 pieces.append(text)
-                if links:
+                if links > 0:
                     linked += len(text)
+
+        shown = 0  # up to here the page is read
+        while (at := html.find("<", at)) >= 0:
+            found = TAG.match(html, at)
             if not found:
-                break
-            at = found.end()
-            if not found[2]:
+                if html.startswith(("<!", "<?"), at):
+                    show(html[shown:at])
+                    end = html.find("-->", at + 4) + 2 if html.startswith("<!--", at) else html.find(">", at)
+                    at = shown = end + 1 if end > at else n
+                else:
+                    at += 1  # a mark of the text
                 continue
-            tag = found[2].lower()
-            if found[1]:
-                if tag in VOID or all(x[0] != tag for x in stack[1:]):
-                    if tag == "p":
-                        flush()
+            show(html[shown:at])
+            closing, tag = html[at + 1] == "/", found[1].lower()
+            rest = None if broken else REST.match(html, found.end())
+            if not rest:  # all later > are in quotes: from here on quotes don't count
+                broken = True
+            end = rest.end() if rest else html.find(">", found.end()) + 1
+            if not end:
+                shown = n
+                break
+            attributes = html[found.end() : end - 1]
+            at = shown = end
+            if closing:
+                if tag in INLINE:  # an inline end closes in the nearest block only
+                    inline = stack[-1][3]
+                    if tag not in VOID and inline.get(tag):
+                        inline[tag] -= 1
+                        links -= tag == "a"
                     continue
-                if tag not in INLINE:
+                if tag == "p":
                     flush()
-                    while stack[-1][0] != tag:
-                        stack.pop()
-                    stack.pop()
-                else:  # an inline end closes up to the nearest block only
-                    for i in range(len(stack) - 1, 0, -1):
-                        if stack[i][0] == tag:
-                            del stack[i]
-                            break
-                        if stack[i][0] not in INLINE:
-                            break
-                links = sum(x[0] == "a" for x in stack)
+                if tag in VOID or not opened.get(tag):
+                    continue
+                flush()
+                while stack[-1][0] != tag:
+                    leave()
+                leave()
                 continue
+            ended = attributes.rstrip().endswith("/")
             if tag in RAW:
-                end = re.compile(rf"</{re.escape(tag)}\s*[^>]*>", re.I).search(html, at)
-                at = end.end() if end and not found[3].endswith("/") else n if not found[3].endswith("/") else at
+                if not ended:
+                    close = re.compile(rf"</{re.escape(tag)}(?![^\s/>])[^>]*>", re.I).search(html, at)
+                    at = shown = close.end() if close else n
                 continue
             if tag in VOID:
-                if tag in ("br", "wbr", "img"):
-                    pieces.append(" " if tag == "br" else "")
+                if tag == "br":
+                    pieces.append(" ")
                 elif tag == "hr":
                     flush()
                 continue
             if tag in INLINE:
-                stack.append((tag, stack[-1][1], stack[-1][2]))
+                inline = stack[-1][3]
+                inline[tag] = inline.get(tag, 0) + 1
                 links += tag == "a"
                 continue
             flush()
-            self._imply(stack, tag)
-            links = sum(x[0] == "a" for x in stack)
+            for depth in (1, 2):  # the elements that a start of this tag ends
+                if len(stack) > depth and tag in CLOSED_BY.get(stack[-depth][0], ()):
+                    for _ in range(depth):
+                        leave()
+                    break
+                if stack[-1][0] != "p":
+                    break
             container, out = stack[-1][1], stack[-1][2]
-            names = [(a.lower(), (b or c or d).lower()) for a, b, c, d in CLASS.findall(found[3])]
-            named = tag not in NEVER_ASIDE and any(ASIDE_WORDS.issuperset(re.split("[-_]+", w)) for _, value in names for w in value.split())
-            inside = any(x[0] in ("article", "main") for x in stack)
+            names = [(a.lower(), (b or c or d).lower()) for a, b, c, d in CLASS.findall(attributes)]
+            named = tag not in NEVER_ASIDE and is_aside([w for _, value in names for w in value.split()])
+            inside = opened.get("article", 0) + opened.get("main", 0) > 0
             dropped = tag in DROPPED and not (tag in ("header", "figcaption") and inside)
             if dropped or named:
                 self.asides.append((out, not dropped or tag in FRAMES))
@@ -157,30 +227,25 @@ class Page:
             if tag in ("h1", "main", "article"):
                 self._starts.append(out)
             if tag in CONTAINERS and tag != "body":
-                classes = sorted({re.sub(r"\d+", "", w) for a, value in names if a == "class" for w in value.split()})
-                self.paths.append(f"{self.paths[container]}>{'.'.join([tag, *classes])}")
+                classes = sorted({re.sub(r"[\d>]+", "", w) for a, value in names if a == "class" for w in value.split()})
+                step = (self.path_of[container], ".".join([tag, *classes]))
+                if step not in self.steps:
+                    self.steps[step] = len(self.labels)
+                    self.labels.append(step)
+                self.path_of.append(self.steps[step])
                 self.parents.append(container)
                 self.tags.append(tag)
-                container = len(self.paths) - 1
-            if not found[3].rstrip().endswith("/") or tag not in ("div", "p"):
-                stack.append((tag, container, out))
+                container = len(self.parents) - 1
+            if not ended or tag not in ("div", "p"):
+                stack.append((tag, container, out, {}))
+                opened[tag] = opened.get(tag, 0) + 1
+        show(html[shown:])
         flush()
 
-    @staticmethod
-    def _imply(stack: list[tuple[str, int, int]], tag: str) -> None:
-        """End the elements that a start of this tag ends, with the inline ones open in them."""
-        for i in range(len(stack) - 1, 0, -1):
-            name = stack[i][0]
-            if tag in CLOSED_BY.get(name, ()):
-                del stack[i:]
-                return
-            if name not in INLINE and name != "p":
-                return
-
     def best(self) -> tuple[int, float]:
         """(container, score): text outside links counts for its nearest container, half for the next; of
         containers inside an article or main element that element stands for all."""
-        scores = [0.0] * len(self.paths)
+        scores = [0.0] * len(self.parents)
         for container, text, linked in self.blocks:
             worth = max(0, len(text) - 2 * linked)
             while container >= 0 and worth > 1:
@@ -198,8 +263,8 @@ class Page:
 
     def text(self, path: str | None) -> str:
         """Blocks of the containers with this path and what is inside them, or of the best container."""
-        chosen = {i for i, p in enumerate(self.paths) if p == path} or {self.best()[0]}
-        inside = [False] * len(self.paths)
+        chosen = self._with_path(path) or {self.best()[0]}
+        inside = [False] * len(self.parents)
         for i, parent in enumerate(self.parents):  # parents come first
             inside[i] = i in chosen or (parent >= 0 and inside[parent])
         return "\n\n".join(text for container, text, _ in self.blocks if inside[container])
@@ -218,7 +283,7 @@ def host_paths(pages: DataFrame) -> DataFrame:
             for html in batch.column(1).to_pylist():
                 page = Page(html or "")
                 node, score = page.best()
-                rows.append((page.paths[node] if score > 0 else None, score))
+                rows.append((page.path(node) if score > 0 else None, score))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64())], names=["host", "path", "score"])
 
     found = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).filter("host IS NOT NULL").mapInArrow(votes, "host string, path string, score double")
