@@ -318,7 +318,49 @@ def test_op7_candidates_lose_no_match(spark):
     hand = spark.createDataFrame(SECRET_ROWS, "doc_id long, text string")
     found = {r.doc_id: r.spans for r in secrets.digests(hand).collect()}
     assert "private_key:0:31" in found[8] and "code_host:32:72" in found[8]
-    assert secrets.trigram_query(secrets.BASE[2]) == [] and secrets.trigram_query(secrets.BASE[1]) == [[frozenset({"aki", "kia"})]]
+
+
+def test_op7_queries_come_from_the_expressions():
+    query = lambda pattern: secrets.trigram_query(secrets.Rule("x", pattern))
+    assert query("[0-9a-f]+") is True and query("ab.*cd") is True and query("(?:abc)*") is True and query("abcd|.") is True
+    assert query("AKIA[A-Z0-9]+") == ("and", frozenset({"aki", "kia"}))
+    assert query("[aA][bB]c") == "abc" and query("(?:abc)+") == "abc" and query("a{2}bc+d") == "abc"
+    assert query("abc|bcd") == ("or", frozenset({"abc", "bcd"})) and query("ab(?:c|de)") == ("or", frozenset({"abc", ("and", frozenset({"abd", "bde"}))}))
+    assert query("x(?:ab|cd).(?:efg)") == ("and", frozenset({"efg", ("or", frozenset({"xab", "xcd"}))}))
+    # spelled-out parts are joined across their borders
+    assert query("ab?cd") == ("or", frozenset({"acd", ("and", frozenset({"abc", "bcd"}))}))
+
+
+@given(st.sampled_from(secrets.BASE + secrets.REDACTED), st.data())
+@settings(max_examples=200, deadline=None)
+def test_op7_every_match_meets_its_query(rule, data):
+    text = data.draw(st.from_regex(rule.pattern, fullmatch=False)).lower()
+
+    def meets(query):
+        return query is True or (query in text if isinstance(query, str) else (all if query[0] == "and" else any)(map(meets, query[1])))
+
+    assert meets(secrets.trigram_query(rule))
+
+
+def test_op7_many_matches_in_one_text(spark):
+    """A megabyte with tens of thousands of matches takes linear time, and every offset is right."""
+    import time
+
+    text = "é password=hunter22 \n" * 50_000
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    row = secrets.digests(df).collect()[0]
+    found = base_spans(text)
+    assert row.n_assign == 50_000 and row.base_sha256 == hashlib.sha256(",".join(f"{f[3]}:{f[0]}:{f[2]}" for f in found).encode()).hexdigest()
+    assert secrets.redact(df).collect()[0].text == "é [SECRET] \n" * 50_000
+    assert time.time() - began < 60
+
+
+def test_running_sums_and_maxima(spark):
+    rows = [(list(range(n)),) for n in (0, 1, 2, 255, 256, 257, 1000)] + [([5, 1, 7, 2],)]
+    out = spark.createDataFrame(rows, "x array<int>").select("x", secrets.running(F.col("x")).alias("s"), secrets.running(F.col("x"), largest=True).alias("m")).collect()
+    for r in out:
+        assert r.s == [sum(r.x[:i]) for i in range(len(r.x))] and r.m == [max([0, *r.x[:i]]) for i in range(len(r.x))]
 
 
 def test_op7_redacts_and_keeps_columns(spark, odd, empty):
