@@ -134,11 +134,13 @@ def learn(x: np.ndarray, bad: np.ndarray, purity: float = 0.9, least: int = 3, c
 def learned(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule]:
     """The list for documents with labels (doc_id, quality: 0 is bad); at most `sample` labelled ids.
 
-    Labels that are null, or of ids without a document, are left out; no labels give no rules.
+    Labels that are null, or of ids without a document, are left out; no labels give no rules. Of rows with one
+    labelled doc_id the first text by order is learned from.
     """
     some = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    stats = statistics(documents.join(F.broadcast(some.select("doc_id")), "doc_id", "left_semi")).join(F.broadcast(some), "doc_id")
+    texts = documents.join(F.broadcast(some.select("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    stats = statistics(texts).join(F.broadcast(some), "doc_id")
     rows = stats.select(*[c.alias(k) for k, c in features().items()], "quality").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
     if not rows:
         return []

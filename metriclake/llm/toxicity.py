@@ -53,14 +53,15 @@ def fit_logistic(x: np.ndarray, extra: np.ndarray, y: np.ndarray, penalty: float
     n = len(y)
     balance = np.where(y, n / (2 * max(1, y.sum())), n / (2 * max(1, n - y.sum())))
     balance = np.minimum(balance, 20.0)
-    w, b, v, vb = np.zeros(full.shape[1]), 0.0, np.zeros(full.shape[1]), 0.0
+    w, b, v, vb = np.zeros(full.shape[1], np.float32), 0.0, np.zeros(full.shape[1], np.float32), 0.0
+    rows = full.T.copy()
     rate = 1.0 / (0.25 * (np.square(full).sum(axis=1) + 1).max() * balance.mean() + penalty / n)
     for t in range(steps):
-        look, look_b = w + v * (t / (t + 3)), b + vb * (t / (t + 3))
-        error = balance * (1 / (1 + np.exp(-np.clip(full @ look + look_b, -30, 30))) - y)
-        new, new_b = look - rate * (full.T @ error / n + penalty / n * look), look_b - rate * error.mean()
+        look, look_b = w + v * np.float32(t / (t + 3)), b + vb * (t / (t + 3))
+        error = (balance * (1 / (1 + np.exp(-np.clip(full @ look + look_b, -30, 30))) - y)).astype(np.float32)
+        new, new_b = look - np.float32(rate) * (rows @ error / np.float32(n) + np.float32(penalty / n) * look), look_b - rate * float(error.mean())
         w, b, v, vb = new, new_b, new - w, new_b - b
-    return w, float(b)
+    return w.astype(float), float(b)
 
 
 def fit_chain(x: np.ndarray, labels: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray, float]], np.ndarray]:
@@ -134,8 +135,9 @@ def _sketches(rows: DataFrame) -> DataFrame:
 def fit(documents: DataFrame, labels: DataFrame, categories: tuple[tuple[str, str], ...] = CATEGORIES, sample: int = SAMPLE, words: int = WORDS) -> Chain:
     """A chain for documents with labels (doc_id and the labels' columns); at most `sample` labelled ids.
 
-    A label that is null counts as negative. An id with several label rows has the first by value. Without
-    labelled documents nothing is toxic.
+    A label that is null counts as negative. An id with several label rows is positive if one of them is; of rows
+    with one labelled doc_id, that of the first text by order is learned from. Without labelled documents
+    nothing is toxic.
     """
     names = tuple(name for name, _ in categories)
     positive = [F.coalesce(F.expr(sql), F.lit(False)).cast("int").alias(f"y{i}") for i, (_, sql) in enumerate(categories)]
@@ -145,9 +147,9 @@ def fit(documents: DataFrame, labels: DataFrame, categories: tuple[tuple[str, st
     spark = documents.sparkSession
     some = spark.createDataFrame(rows, marked.schema)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(some.select("doc_id")), "doc_id", "left_semi")
-    kept_ids, sketches = set(), {}
-    for r in _sketches(texts).collect():  # a row per labelled document of the sample
-        sketches.setdefault(r["doc_id"], r["sketch"])
+    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))  # at most `sample` rows
+    kept_ids = set()
+    sketches = {r["doc_id"]: r["sketch"] for r in _sketches(texts).collect()}
     seen: set[int] = set()
     for r in rows:  # of copies, which would make their own words telling, one is learned from
         if r["doc_id"] in sketches and sketches[r["doc_id"]] not in seen:
@@ -167,11 +169,12 @@ def fit(documents: DataFrame, labels: DataFrame, categories: tuple[tuple[str, st
             top = counts.filter(F.col(f"p{i}") >= max(3, LEAST_SHARE * pos)).select("word", score.alias("score")).orderBy(F.desc("score"), "word").limit(words).collect()
             kept |= {r["word"] for r in top if r["score"] > 2}
     hashes = np.sort(np.array(sorted(kept), dtype=np.int64).view(U))
-    found = _presence(texts, hashes).collect() if len(hashes) else []  # at most sample x kept words
     at = {r["doc_id"]: i for i, r in enumerate(rows)}
     x = np.zeros((len(rows), len(hashes)), dtype=np.float32)
-    for r in found:
-        x[at[r["doc_id"]], np.searchsorted(hashes, np.int64(r["word"]).view(U))] = 1
+    if len(hashes):  # at most sample x kept words, as an Arrow table
+        found = _presence(texts, hashes).toArrow()
+        doc = np.array([at[d] for d in found.column("doc_id").to_pylist()], dtype=np.int64)
+        x[doc, np.searchsorted(hashes, found.column("word").to_numpy().view(U))] = 1
     y = np.array([[r[f"y{i}"] for i in range(len(names))] for r in rows], dtype=bool).reshape(len(rows), len(names))
     if not len(rows) or not y[:, -1].any():
         return Chain(hashes, names, tuple((np.zeros(len(hashes)), np.zeros(i), -30.0) for i in range(len(names))), 0.5)
