@@ -162,12 +162,11 @@ def segments(codes: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> d
     Each window of `width` codes inside a document is represented by its smallest gram of `gram` codes
     (the first of equals), so equal windows have equal grams at the same place. Windows that share one
     gram occurrence form a segment: doc (index in the batch), first (code index of its first window in
-    the document), count (windows), anchor_at and anchor (the gram's place in the document and hash), whole (hash of all its codes and where
-    the gram lies in them).
+    the document), count (windows), anchor_at and anchor (the gram's place in the document and hash).
     """
     lengths = np.diff(offsets)
     n = len(codes) - width + 1
-    none = {k: np.zeros(0, np.int64) for k in ("doc", "first", "count", "anchor_at")} | {k: np.zeros(0, U) for k in ("anchor", "whole")}
+    none = {k: np.zeros(0, np.int64) for k in ("doc", "first", "count", "anchor_at")} | {"anchor": np.zeros(0, U)}
     if n <= 0 or not (lengths >= width).any():
         return none
     grams = window_hashes(codes, gram)
@@ -184,9 +183,7 @@ def segments(codes: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> d
     at = np.flatnonzero(new)
     count = np.diff(np.append(at, len(start)))
     begin, anchor = start[at], chosen[at]
-    hashed = window_hashes(codes, width)  # a block's first and last window hold all its codes
-    whole = joined(joined(hashed[begin], hashed[begin + count - 1]), count.astype(U) << U(32) | (anchor - begin).astype(U))
-    return {"doc": doc_of[at], "first": begin - offsets[doc_of[at]], "count": count, "anchor_at": anchor - offsets[doc_of[at]], "anchor": grams[anchor], "whole": mix(whole)}
+    return {"doc": doc_of[at], "first": begin - offsets[doc_of[at]], "count": count, "anchor_at": anchor - offsets[doc_of[at]], "anchor": grams[anchor]}
 
 
 def signed(x: np.ndarray) -> np.ndarray:

@@ -1,18 +1,15 @@
-"""Runs of units (words or bytes) that stand in more than one place of a corpus: the part that substring
-dedup by Relative Lempel-Ziv factors and by sampled suffixes have in common.
-
-A window is `width` consecutive units. Its sample is its smallest gram, so equal windows hold equal samples
-at equal places, and neighbouring windows with one sample form a block (about one per (width - gram) / 2
-units). Sampled suffixes, each with its block, are range-partitioned by their leading bytes by splitters that
-Spark samples, sorted in each bucket, and compared with their neighbours and across bucket borders; what is
-alone falls away. Equal blocks repeat whole. Different blocks with equal samples are where a repeat begins or
-ends: their windows are compared one by one, among the blocks of one sample, or, for a sample with many
-different blocks, spread over all tasks by window. Nothing is capped and no pair of documents is formed.
+"""Where documents may repeat each other: what substring dedup by Relative Lempel-Ziv factors and by sorted
+suffixes have in common.
+
+A window is `width` consecutive units (words or bytes). Its anchor is its smallest gram, so equal windows hold equal
+anchors at equal places, and neighbouring windows with one anchor form a block. A block whose anchor's hash
+stands nowhere else in the corpus repeats nothing, and is left out before any text moves. What is left is only a
+superset: the two operators decide by content.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,254 +17,132 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metriclake.llm.arrays import BYTE_CODES, U, segments, signed, slices, utf8, window_hashes, word_hashes, words
+from metriclake.llm.arrays import BYTE_CODES, segments, signed, slices, utf8, word_hashes, words
 from metriclake.llm.shared import shuffle_partitions, written
 
 #: A null doc_id counts as smaller than any other.
 NO_ID = -(1 << 63)
-#: A sample with more different blocks than this is compared window by window over all tasks.
-MANY_BLOCKS = 1024
-SAMPLES = "anchor long, whole long, doc long, place long"
-NEIGHBOURS = "anchor long, whole long, doc long, places array<long>, weight int"
+ANCHORS = "anchor long, doc long, h long, place long"
 
 
 @dataclass(frozen=True)
 class Kind:
-    """What a unit is, how long a repeat must be, and which occurrences count."""
+    """What a unit is, how long a repeat must be, and how long an anchor is."""
 
     unit: str  # "words" or "bytes"
     width: int
     gram: int
-    earlier: bool  # True: a window in a smaller doc_id makes it a repeat; False: any other occurrence does
 
     def __post_init__(self) -> None:
         if not 0 < self.gram <= self.width or self.width - self.gram > 254:
-            raise ValueError("a sample has 1 to width units, and at least width - 254")
+            raise ValueError("an anchor has 1 to width units, and at least width - 254")
 
-    def codes(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(codes, borders of the documents among them, the codes' first bytes)."""
+    def codes(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(codes, borders of the documents among them)."""
         data, offsets = utf8(column)
         if self.unit == "bytes":
-            return BYTE_CODES[data], offsets, data
+            return BYTE_CODES[data], offsets
         start, end, first = words(data, offsets)
-        return word_hashes(data, start, end), first, data[start]
+        return word_hashes(data, start, end), first
+
 
+def rows_of(documents: DataFrame) -> DataFrame:
+    """doc, h, text: rows with one doc_id are told apart by h, a hash of their texts."""
+    text = F.col("text").cast("string")
+    return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("h"), text.alias("text"))
 
-def text_key(column: pa.Array) -> np.ndarray:
-    """23 bits of each text's hash, which tell rows with one doc_id apart."""
-    from xxhash import xxh64_intdigest
 
-    return np.array([xxh64_intdigest(x or b"") >> 41 for x in column.cast(pa.large_binary()).to_pylist()], dtype=np.int64)
+def packed(first: np.ndarray, count: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """A block's place in its document: its first window, its windows, and how far its anchor is from the first."""
+    return (first << 16) | (count << 8) | off
 
 
-def rows_of(documents: DataFrame) -> DataFrame:
-    return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.col("text").cast("string").alias("text"))
+def unpacked(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return place >> 16, (place >> 8) & 0xFF, place & 0xFF
 
 
-def samples(rows: DataFrame, kind: Kind) -> DataFrame:
-    """One row per block: anchor (leading bytes, then hash of the sample), whole (hash of the block), doc,
-    place (23 bits text key, 32 bits first window, 8 bits windows)."""
+def anchors(rows: DataFrame, kind: Kind) -> DataFrame:
+    """One row per block of rows (doc, h, text): the hash of its anchor, doc, h, and its place."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            codes, borders, lead = kind.codes(batch.column(1))
-            found = segments(codes, borders, kind.width, kind.gram)
-            if not len(found["doc"]):
-                continue
-            at = borders[found["doc"]] + found["anchor_at"]
-            leading = np.zeros(len(at), dtype=U)
-            for i in range(min(4, kind.gram)):
-                leading = (leading << U(8)) | lead[at + i].astype(U)
-            anchor = (leading << U(32)) | (found["anchor"] >> U(32))
-            place = (text_key(batch.column(1))[found["doc"]] << 40) | (found["first"] << 8) | found["count"]
-            doc = batch.column(0).to_numpy(zero_copy_only=False)[found["doc"]]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (signed(anchor), signed(found["whole"]), doc, place)], names=["anchor", "whole", "doc", "place"])
-
-    return rows.mapInArrow(blocks, SAMPLES)
-
-
-def neighbours(sampled: DataFrame, kind: Kind) -> DataFrame:
-    """What sorted buckets tell of samples that are not alone: a row per document and block, with its
-    places and `weight`.
-
-    Weight 0: the block is a repeat for certain, by what stands in its own bucket. Weight 1 or 2: the block
-    stands for all equal blocks of its bucket (2: for several), to be compared with other buckets and with
-    other blocks of its sample. So equal blocks, however many, leave one such row a bucket. Samples that
-    are alone in a bucket fall away, but for its first and last, whose equals may lie across the border.
+        for batch in slices(batches, text=2):
+            found = segments(*kind.codes(batch.column(2)), kind.width, kind.gram)
+            if len(found["doc"]):
+                place = packed(found["first"], found["count"], found["anchor_at"] - found["first"])
+                doc, h = (batch.column(i).to_numpy(zero_copy_only=False)[found["doc"]] for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (signed(found["anchor"]), doc, h, place)], names=["anchor", "doc", "h", "place"])
+
+    return rows.mapInArrow(blocks, ANCHORS)
+
+
+def shared(found: DataFrame) -> DataFrame:
+    """The anchors (anchor, doc, h, place) whose hash is there twice or more.
+
+    They are range-partitioned with their places, so that one that stands everywhere takes several tasks, and
+    compared with their neighbours. A task's first and last anchor, whose equals may be in the tasks beside it, stay.
     """
 
-    def judged(table: pa.Table, begins: bool, ends: bool) -> pa.RecordBatch:
-        table = table.combine_chunks()
-        anchor, whole, doc = (table.column(i).to_numpy() for i in range(3))
-        n = len(anchor)
-        new_anchor, new_block = np.ones(n, dtype=bool), np.ones(n, dtype=bool)
-        new_anchor[1:] = anchor[1:] != anchor[:-1]
-        new_block[1:] = new_anchor[1:] | (whole[1:] != whole[:-1])
-        several = ~(new_anchor & np.append(new_anchor[1:], True))
-        if begins:
-            several |= anchor == anchor[0]
-        if ends:
-            several |= anchor == anchor[-1]
-        new_run = new_block.copy()  # of equal blocks in one document
-        new_run[1:] |= doc[1:] != doc[:-1]
-        start, run = np.flatnonzero(new_block), np.flatnonzero(new_run)
-        block, places = np.cumsum(new_block)[run] - 1, np.diff(np.append(run, n))
-        first = run == start[block]
-        sure = ~first if kind.earlier else (np.diff(np.append(start, n)) > 1)[block]
-        standing = np.where(sure, 2, 1) if not kind.earlier else np.ones(len(run))
-        sure, stands = np.flatnonzero(sure & several[run]), np.flatnonzero(first & several[run])
-        chosen = np.concatenate([sure, stands])
-        counts = np.concatenate([places[sure], places[stands] if kind.earlier else np.ones(len(stands), dtype=np.int64)])
-        offsets = np.concatenate([[0], np.cumsum(counts)])
-        at = np.repeat(run[chosen] - offsets[:-1], counts) + np.arange(offsets[-1])
-        lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), table.column(3).combine_chunks().take(pa.array(at)))
-        weight = np.concatenate([np.zeros(len(sure)), standing[stands]]).astype(np.int32)
-        taken = table.select([0, 1, 2]).take(pa.array(run[chosen]))
-        return pa.RecordBatch.from_arrays([*[taken.column(i).combine_chunks() for i in range(3)], lists, pa.array(weight)], names=["anchor", "whole", "doc", "places", "weight"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []  # rows from the start of the last anchor on
-        begins = True
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, last, pending = None, None, None  # the last row of the batch before, and whether it stays for what stands before it
         for batch in batches:
             if not batch.num_rows:
                 continue
-            anchor = batch.column(0)
-            last = anchor[len(anchor) - 1].as_py()
-            cut = int(np.searchsorted(anchor.to_numpy(), last))
-            if held and held[0].column(0)[0].as_py() == last:
-                held.append(batch)
-                continue
-            done = [*held, batch.slice(0, cut)]
-            if sum(x.num_rows for x in done):
-                yield judged(pa.Table.from_batches(done), begins, False)
-                begins = False
-            held = [batch.slice(cut)]
-        if held:
-            yield judged(pa.Table.from_batches(held), begins, True)
-
-    dealt = sampled.repartitionByRange(2 * shuffle_partitions(sampled.sparkSession), "anchor", "whole", "doc", "place")
-    return dealt.sortWithinPartitions("anchor", "whole", "doc", "place").mapInArrow(compare, NEIGHBOURS)
-
-
-def _asked(batches: Iterator[pa.RecordBatch], kind: Kind) -> Iterator[pa.RecordBatch]:
-    """Window hashes of the blocks in `asked`, a list of structs (anchor, place, weight, many)."""
-    for batch in slices(batches):
-        codes, borders, _ = kind.codes(batch.column(1))
-        key = text_key(batch.column(1))
-        hashes = window_hashes(codes, kind.width)
-        lists = batch.column(2)
-        doc = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(lists.offsets)))
-        flat = lists.flatten()
-        anchor, place, weight, many = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
-        mine = (place >> 40) == key[doc]
-        anchor, place, weight, many, doc = anchor[mine], place[mine], weight[mine], many[mine], doc[mine]
-        first, count = (place >> 8) & 0xFFFFFFFF, place & 0xFF
-        raw = hashes.astype("<u8").tobytes()
-        begin = 8 * (borders[doc] + first)
-        windows = [raw[a:b] for a, b in zip(begin.tolist(), (begin + 8 * count).tolist(), strict=True)]
-        ids = batch.column(0).to_numpy(zero_copy_only=False)[doc]
-        yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(ids), pa.array(place), pa.array(weight, pa.int32()), pa.array(many, pa.bool_()), pa.array(windows, pa.binary())], names=["anchor", "doc", "place", "weight", "many", "windows"])
-
-
-def _among_blocks(batches: Iterator[pa.RecordBatch], kind: Kind) -> Iterator[pa.RecordBatch]:
-    """Repeated windows of blocks, which come sorted by anchor; all blocks of one anchor are seen together."""
-
-    def judged(table: pa.Table) -> pa.RecordBatch:
-        table = table.combine_chunks()
-        doc, place, weight = (table.column(i).to_numpy() for i in (1, 2, 3))
-        count = (place & 0xFF).astype(np.int64)
-        hashes = np.frombuffer(b"".join(table.column(5).to_pylist()), dtype="<u8")
-        owner = np.repeat(np.arange(len(doc)), count)
-        _, window = np.unique(hashes, return_inverse=True)
-        if kind.earlier:
-            least = np.full(window.max() + 1, np.iinfo(np.int64).max)
-            np.minimum.at(least, window, doc[owner])
-            repeated = doc[owner] > least[window]
-        else:
-            repeated = (np.bincount(window, weights=weight[owner]) >= 2)[window] & (weight[owner] == 1)
-        start = np.cumsum(count) - count
-        first = ((place >> 8) & 0xFFFFFFFF)[owner] + np.arange(len(owner)) - start[owner]
-        edge = np.ones(len(owner), dtype=bool)
-        edge[1:] = (owner[1:] != owner[:-1]) | ~repeated[:-1]
-        run = np.flatnonzero(repeated & edge)
-        close = np.ones(len(owner), dtype=bool)
-        close[:-1] = (owner[1:] != owner[:-1]) | ~repeated[1:]
-        stop = np.flatnonzero(repeated & close)
-        who = owner[run]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[who], place[who] >> 40, first[run], first[stop] + kind.width)], names=["doc", "text_key", "first", "last"])
-
-    carry: pa.Table | None = None
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        if carry is not None:
-            table = pa.concat_tables([carry, table])
-        anchor = table.column(0).to_numpy()
-        if not len(anchor):
-            continue
-        cut = int(np.searchsorted(anchor, anchor[-1]))
-        carry = table.slice(cut)
-        if cut:
-            yield judged(table.slice(0, cut))
-    if carry is not None and carry.num_rows:
-        yield judged(carry)
-
-
-def spans(documents: DataFrame, kind: Kind) -> tuple[DataFrame, DataFrame]:
-    """(rows (doc, text) dealt by doc, spans (doc, text_key, first, last) in units, half-open, overlapping).
-
-    The rows are the plan's only shuffle of texts; joined again by doc, it is reused.
+            anchor = batch.column(0).to_numpy()
+            first = anchor[0] if first is None else first
+            same = np.zeros(len(anchor) + 1, dtype=bool)  # of each row, whether the one before it is equal
+            same[1:-1] = anchor[1:] == anchor[:-1]
+            same[0] = last is not None and anchor[0] == last.column(0)[0].as_py()
+            if last is not None and (pending or same[0]):
+                yield last
+            stays = same[:-1] | same[1:] | (anchor == first)
+            stays, pending = stays.copy(), bool(stays[-1])
+            last = batch.slice(len(anchor) - 1)
+            stays[-1] = False
+            if stays.any():
+                yield batch.filter(pa.array(stays))
+        if last is not None:
+            yield last
+
+    keys = ["anchor", "doc", "h", "place"]
+    dealt = found.repartitionByRange(2 * shuffle_partitions(found.sparkSession), *keys)
+    return dealt.sortWithinPartitions(*keys).mapInArrow(kept, ANCHORS)
+
+
+def located(rows: DataFrame, kind: Kind) -> tuple[DataFrame, DataFrame, int]:
+    """(rows dealt by document; those with `asked`, the list of their shared anchors (anchor, place); the number of these).
+
+    The dealt rows are the only shuffle of texts; a plan that joins them again by doc and h reuses it.
     """
-    rows = rows_of(documents)
-    repeated = written(neighbours(samples(rows, kind), kind), "samples")
-    standing = repeated.filter("weight > 0")  # a row per block and bucket
-    blocks = standing.groupBy("anchor", "whole").agg(F.min(F.struct("doc", F.col("places")[0].alias("place"))).alias("rep"), F.sum("weight").alias("n"))
-    anchors = blocks.groupBy("anchor").agg(F.count("*").alias("blocks"))
-    known = standing.join(blocks, ["anchor", "whole"]).join(anchors, "anchor")
-    first, width = F.expr("(place >> 8) & 4294967295"), kind.width
-    span = ["doc", F.expr("place >> 40").alias("text_key"), first.alias("first"), (first + F.expr("place & 255") + (width - 1)).alias("last")]
-    across = F.col("doc") > F.col("rep.doc") if kind.earlier else (F.col("n") > 1) & (F.col("weight") == 1)
-    certain = repeated.filter("weight = 0").select("doc", F.explode("places").alias("place"))
-    whole = certain.unionByName(known.filter(across).select("doc", F.explode("places").alias("place"))).select(*span)
-    one = (F.col("doc") == F.col("rep.doc")) if kind.earlier else (F.col("doc") == F.col("rep.doc")) & (F.col("places")[0] == F.col("rep.place"))
-    weight = F.when(F.col("n") > 1, 2).otherwise(1)
-    asked = known.filter((F.col("blocks") > 1) & one).select("doc", "anchor", "n", "blocks", F.explode("places").alias("place")).groupBy("doc").agg(F.collect_list(F.struct("anchor", "place", weight.alias("weight"), (F.col("blocks") > MANY_BLOCKS).alias("many"))).alias("asked"))
-    dealt = rows.repartition("doc")
-    schema = "anchor long, doc long, place long, weight int, many boolean, windows binary"
-    windows = dealt.join(asked, "doc").select("doc", "text", "asked").mapInArrow(lambda it: _asked(it, kind), schema)
-    found = "doc long, text_key long, first long, last long"
-    few = windows.filter("NOT many").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda it: _among_blocks(it, kind), found)
-
-    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            place = batch.column(2).to_numpy()
-            count = place & 0xFF
-            owner = np.repeat(np.arange(len(place)), count)
-            hashes = np.frombuffer(b"".join(batch.column(5).to_pylist()), dtype="<i8")
-            at = ((place >> 8) & 0xFFFFFFFF)[owner] + np.arange(len(owner)) - (np.cumsum(count) - count)[owner]
-            out = [hashes, batch.column(1).to_numpy()[owner], (place >> 40)[owner], at, batch.column(3).to_numpy()[owner]]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["window", "doc", "text_key", "first", "weight"])
+    many = written(shared(anchors(rows, kind)), "anchors")
+    asked = many.groupBy("doc", "h").agg(F.collect_set(F.struct("anchor", "place")).alias("asked"))
+    dealt = rows.repartition("doc", "h")
+    return dealt, dealt.join(asked, ["doc", "h"]), many.count()
+
+
+Judge = Callable[[pa.RecordBatch, np.ndarray, np.ndarray], list[pa.Array]]
+
 
-    each = windows.filter("many").mapInArrow(single, "window long, doc long, text_key long, first long, weight int")
-    seen = each.groupBy("window").agg(F.min("doc").alias("least"), F.sum("weight").alias("times"))
-    again = F.col("doc") > F.col("least") if kind.earlier else (F.col("times") > 1) & (F.col("weight") == 1)
-    many = each.join(seen, "window").filter(again).select("doc", "text_key", "first", (F.col("first") + width).alias("last"))
-    return dealt, whole.unionByName(few).unionByName(many)
+def judged(dealt: DataFrame, found: DataFrame, kind: Kind, judge: Judge, schema: str) -> DataFrame:
+    """What judge makes of each batch (doc, h, text, spans), the borders of its documents and which units the
+    spans (doc, h, first, last; in units, half-open, overlapping) cover. A document has no more of them than windows."""
+    lists = found.groupBy("doc", "h").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text=2):
+            borders = kind.codes(batch.column(2))[1] if kind.unit == "words" else utf8(batch.column(2))[1]
+            yield pa.RecordBatch.from_arrays(judge(batch, borders, covered(batch.column(3), borders)), names=[c.split()[0] for c in schema.split(", ")])
 
-def collected(found: DataFrame) -> DataFrame:
-    """One row per doc with its spans: no more than the document has blocks and windows."""
-    return found.groupBy("doc").agg(F.collect_list(F.struct("text_key", "first", "last")).alias("spans"))
+    out = dealt.join(lists, ["doc", "h"], "left").select("doc", "h", "text", "spans").mapInArrow(run, schema)
+    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
-def covered(lists: pa.ListArray, key: np.ndarray, borders: np.ndarray) -> np.ndarray:
+def covered(lists: pa.ListArray, borders: np.ndarray) -> np.ndarray:
     """Which units of a batch the lists of spans cover; a missing list covers none."""
     change = np.zeros(int(borders[-1]) + 1, dtype=np.int64)
-    offsets = np.asarray(lists.offsets)
-    doc = np.repeat(np.arange(len(lists)), np.diff(offsets))
+    doc = np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets)))
     flat = lists.flatten()
     if len(flat):
-        of, first, last = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-        mine = of == key[doc]
-        np.add.at(change, borders[doc[mine]] + first[mine], 1)
-        np.add.at(change, borders[doc[mine]] + last[mine], -1)
+        first, last = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        np.add.at(change, borders[doc] + first, 1)
+        np.add.at(change, borders[doc] + last, -1)
     return np.cumsum(change)[:-1] > 0

@@ -1,10 +1,10 @@
-"""Substring dedup by Relative Lempel-Ziv parsing: documents are factored against all earlier documents.
+"""Substring dedup by Relative Lempel-Ziv parsing: documents are factored against blocks of earlier documents.
 
-The reference is the corpus itself, in blocks (see repeats): every block of every document is indexed, and a
-document is parsed against all of them at once. A factor is a run of words whose every window of `width`
-words stands in a document with a smaller doc_id; runs of equal blocks give its inside, and at its borders,
-where blocks differ, windows are checked one by one. A factor thus has at least `width` words, and overlapping
-factors cover every word that some repeated window covers.
+The reference is the corpus itself. Its blocks (see repeats) are indexed by their anchors and sorted by anchor,
+then doc_id. A block is parsed greedily against the indexed blocks of its anchor: from each window on, the reference
+with the longest match gives a factor, compared word by word; the parse goes on at the first window that the factor
+doesn't hold. Factors of `width` words and more are duplicate spans. Windows at their borders, which no indexed block
+holds whole, are checked one by one: by digests of 128 bits against such windows of all blocks.
 """
 
 from __future__ import annotations
@@ -19,10 +19,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metriclake.llm.arrays import slices
-from metriclake.llm.repeats import NO_ID, Kind, collected, covered, spans, text_key
+from metriclake.llm.repeats import Kind, judged, located, rows_of, unpacked
+from metriclake.llm.shared import shuffle_partitions, written
 
-#: Words of a sample; longer samples mean more of them and fewer windows to compare at borders.
+#: Words of an anchor; longer anchors mean more blocks and fewer windows to check at borders.
 GRAM = 12
+#: Blocks of one anchor that a task parses against; what none of them holds goes to the check of windows.
+REFERENCES = 8
+BLOCKS = "anchor long, doc long, h long, place long, words binary"
+#: A duplicate span (digest is null), or a window to check: its digest and its first word.
+PARSED = "doc long, h long, first long, last long, digest binary"
 
 
 def factors(documents: DataFrame, width: int = 50) -> DataFrame:
@@ -42,24 +48,142 @@ def dedup(documents: DataFrame, width: int = 50) -> DataFrame:
 
 
 def _parsed(documents: DataFrame, width: int, schema: str, judge) -> DataFrame:
-    kind = Kind("words", width, max(min(GRAM, width), width - 254), earlier=True)
-    rows, found = spans(documents, kind)
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            _, borders, _ = kind.codes(batch.column(1))
-            mask = covered(batch.column(2), text_key(batch.column(1)), borders)
-            yield pa.RecordBatch.from_arrays(judge(batch, borders, mask), names=[c.split()[0] for c in schema.split(", ")])
-
-    out = rows.join(collected(found), "doc", "left").select("doc", "text", "spans").mapInArrow(parse, schema)
-    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
+    kind = Kind("words", width, max(min(GRAM, width), width - 254))
+    dealt, asked, _ = located(rows_of(documents), kind)
+    blocks = asked.select("doc", "h", "text", "asked").mapInArrow(lambda it: _blocks(it, kind), BLOCKS)
+    keys = ["anchor", "doc", "h", "place"]
+    indexed = blocks.repartitionByRange(2 * shuffle_partitions(documents.sparkSession), *keys).sortWithinPartitions(*keys)
+    found = written(indexed.mapInArrow(lambda it: _factored(it, width), PARSED), "factors")
+    windows = found.filter("digest IS NOT NULL")
+    least = windows.groupBy("digest").agg(F.min("doc").alias("least"))
+    again = windows.join(least, "digest").filter("doc > least").select("doc", "h", "first", "last")
+    return judged(dealt, found.filter("digest IS NULL").select("doc", "h", "first", "last").unionByName(again), kind, judge, schema)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], kind: Kind) -> Iterator[pa.RecordBatch]:
+    """The words of the asked blocks of rows (doc, h, text, asked), joined by spaces."""
+    for batch in slices(batches, text=2):
+        lists = batch.column(3)
+        of = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(lists.offsets)))
+        anchor, place = (lists.flatten().field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        first, count, _ = unpacked(place)
+        split = [(t or b"").split() for t in batch.column(2).cast(pa.large_binary()).to_pylist()]
+        content = [b" ".join(split[d][a:b]) for d, a, b in zip(of.tolist(), first.tolist(), (first + count + kind.width - 1).tolist(), strict=True)]
+        at = pa.array(of)
+        yield pa.RecordBatch.from_arrays([pa.array(anchor), batch.column(0).take(at), batch.column(1).take(at), pa.array(place), pa.array(content, pa.binary())], names=[c.split()[0] for c in BLOCKS.split(", ")])
+
+
+class Block:
+    """A block's words, as bytes before its anchor (reversed) and from it on."""
+
+    def __init__(self, doc: int, h: int, place: int, words: bytes) -> None:
+        self.doc, self.h, self.words = doc, h, words
+        self.first, self.count, self.off = place >> 16, (place >> 8) & 0xFF, place & 0xFF
+        at = np.concatenate(([0], np.flatnonzero(np.frombuffer(words, np.uint8) == 32) + 1, [len(words) + 1]))
+        self.starts = at.tolist()  # of each word, and the end
+        cut = self.starts[self.off]
+        self.before, self.after = words[:cut][::-1], words[cut:] + b" "  # each word with the space on its outer side
+
+
+def common_words(a: bytes, b: bytes) -> int:
+    """How many whole words a and b begin with in common; each word has its space at the far end."""
+    if a == b:
+        return a.count(b" ")
+    n = min(len(a), len(b))
+    apart = np.flatnonzero(np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n))
+    return a.count(b" ", 0, int(apart[0]) if len(apart) else n)
+
+
+def parse(block: Block, references: list[Block], width: int) -> tuple[list[tuple[int, int]], list[int]]:
+    """(factors (first window, last window), windows that no factor holds) of a block, greedily.
+
+    A reference matches around the anchor, so it holds the windows from where its match begins to where it ends.
+    """
+    if any(r.before == block.before and r.after == block.after for r in references):
+        return [(0, block.count - 1)], []
+    reach = []
+    for r in references:
+        back, on = _back(block.before, r.before), common_words(block.after, r.after)
+        reach.append((block.off - back, block.off + on - width))  # first and last window in the match
+    found, left, s = [], [], 0
+    while s < block.count:
+        last = max((b for a, b in reach if a <= s), default=-1)
+        if last >= s:
+            found.append((s, min(last, block.count - 1)))
+            s = last + 1
+        else:
+            left.append(s)
+            s += 1
+    return found, left
+
+
+def _back(a: bytes, b: bytes) -> int:
+    """How many whole words two reversed beginnings have in common; a word ends at the next space or at the end."""
+    if not a or not b:
+        return 0
+    return common_words(a[1:] + b" ", b[1:] + b" ")
+
+
+def _factored(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Parse blocks that come sorted by anchor, then doc.
+
+    A task's first and last anchor may go on in the tasks beside it: of the first, windows of blocks of the first
+    doc_id here are checked too, and of both those of the first reference, so that each task sees the others'.
+    """
+    from xxhash import xxh3_128_digest
+
+    out: list[tuple[int, int, int, int, bytes | None]] = []
+
+    def spans(block: Block, found: list[tuple[int, int]]) -> None:
+        out.extend((block.doc, block.h, block.first + a, block.first + b + width, None) for a, b in found)
+
+    def windows(block: Block, left) -> None:
+        out.extend((block.doc, block.h, block.first + s, block.first + s + width, xxh3_128_digest(block.words[block.starts[s] : block.starts[s + width] - 1])) for s in left)
+
+    def batch() -> pa.RecordBatch:
+        kinds = [pa.int64()] * 4 + [pa.binary()]
+        done = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[c.split()[0] for c in PARSED.split(", ")])
+        out.clear()
+        return done
+
+    anchor, start, references = None, None, []
+    for got in batches:
+        for key, doc, h, place, words in zip(*[got.column(i).to_pylist() for i in range(5)], strict=True):
+            if key == anchor and doc != references[0].doc and place & 0xFF == references[0].off and words == references[0].words:
+                out.append((doc, h, place >> 16, (place >> 16) + ((place >> 8) & 0xFF) - 1 + width, None))
+                continue  # the common case: the whole block is a factor
+            block = Block(doc, h, place, words)
+            if start is None:
+                start = key
+            if key != anchor:
+                anchor, references = key, [block]
+                if key == start:
+                    windows(block, range(block.count))
+                continue
+            lead = references[0]
+            if doc == lead.doc:  # no smaller doc_id here has the anchor
+                if key == start:
+                    windows(block, range(block.count))
+                else:
+                    windows(block, parse(block, [lead], width)[1])
+                continue
+            found, left = parse(block, [r for r in references if r.doc < doc], width)
+            spans(block, found)
+            windows(block, left)
+            if left and len(references) < REFERENCES:
+                references.append(block)
+        if out:
+            yield batch()
+    if references and anchor != start:
+        windows(references[0], range(references[0].count))
+        yield batch()
 
 
 def _kept(batch: pa.RecordBatch, borders: np.ndarray, mask: np.ndarray) -> list[pa.Array]:
     sums = np.concatenate([[0], np.cumsum(mask)])
     removed = sums[borders[1:]] - sums[borders[:-1]]
     kept = []
-    for text, a, b, n in zip(batch.column(1).cast(pa.large_binary()).to_pylist(), borders[:-1].tolist(), borders[1:].tolist(), removed.tolist(), strict=True):
+    for text, a, b, n in zip(batch.column(2).cast(pa.large_binary()).to_pylist(), borders[:-1].tolist(), borders[1:].tolist(), removed.tolist(), strict=True):
         found = (text or b"").split()
         kept.append(b" ".join(compress(found, ~mask[a:b]) if n else found))
     return [batch.column(0), pa.array(np.diff(borders)), pa.array(removed), pa.array([hashlib.sha256(x).hexdigest() for x in kept]), pa.array(kept, pa.binary()).cast(pa.string())]

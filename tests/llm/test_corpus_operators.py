@@ -129,15 +129,59 @@ def test_op4_on_odd_rows_and_periods(spark, odd, empty):
     assert got == suffixes(rows, 20)
 
 
-def test_many_different_blocks_of_one_sample_are_compared_by_window(spark, monkeypatch):
-    from metriclake.llm import repeats
-
-    monkeypatch.setattr(repeats, "MANY_BLOCKS", 2)
+def test_anchors_that_go_on_in_other_tasks(spark, monkeypatch):
+    """One passage in many texts, over so many tasks that its blocks lie in several; short and long periods."""
+    monkeypatch.setattr(suffix_dedup, "BUCKET", 20)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
     passage = " ".join(f"p{i}" for i in range(60))
-    rows = [(i, f"{' '.join(f'a{i}n{k}' for k in range(40))} {passage} {' '.join(f'b{i}n{k}' for k in range(40))}") for i in range(30)]
+    rows = [(i % 25, f"{' '.join(f'a{i % 27}n{k}' for k in range(40))} {passage} {' '.join(f'b{i}n{k}' for k in range(40))}") for i in range(30)]
+    rows += [(40, "=" * 900 + " x " + "ab " * 300), (41, "x" + "=" * 450), (42, "word " * 120), (42, "word " * 130), (43, "word " * 55)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.conf.set("spark.sql.shuffle.partitions", 24)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert Counter(tuple(r) for r in substring_dedup.dedup(df).drop("kept_text").collect()) == substring(rows)
+        assert Counter(tuple(r) for r in suffix_dedup.dedup(df).drop("kept").collect()) == suffixes(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def thue_morse(n=1024):
+    """Two strings that a polynomial modulo 2**64 maps to one value, whatever its base."""
+    one = "".join("ab"[i.bit_count() & 1] for i in range(n))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+def test_strings_that_polynomial_hashes_confuse(spark):
+    import pyarrow as pa
+
+    from metriclake.llm.encoder import Encoder
+
+    one, two = thue_morse()
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*words[:30], x, *words[30:]])) for i, x in enumerate((one, two))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert Counter(tuple(r) for r in substring_dedup.dedup(df).drop("kept_text").collect()) == substring(rows)
+    assert {r.n_removed for r in substring_dedup.dedup(df).collect()} == {0}
     assert Counter(tuple(r) for r in suffix_dedup.dedup(df).drop("kept").collect()) == suffixes(rows)
+    for name, leading in (("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)):
+        library = Tokenizer.from_file(public_tokenizers.path(name))
+        for texts in ((one, two), (two, one), (f"{one} {two}",)):
+            encoder = Encoder(public_tokenizers.path(name), leading)
+            for t in texts:
+                assert encoder.encode(pa.array([t]))[0].tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+@given(st.lists(st.text("ab", max_size=40), max_size=30))
+@settings(max_examples=100, deadline=None)
+def test_multikey_quicksort_sorts_and_tells_runs(texts):
+    import pyarrow as pa
+
+    strings = suffix_dedup.Strings.of(pa.array([t.encode() for t in texts], pa.binary()))
+    order, head = np.arange(len(texts)), np.arange(len(texts)) == 0
+    suffix_dedup.multikey(strings, order, head)
+    got = [texts[i] for i in order]
+    assert got == sorted(texts) and head.tolist() == [i == 0 or got[i] != got[i - 1] for i in range(len(got))]
 
 
 def fingerprint(text):
@@ -249,7 +293,6 @@ def test_op5_on_odd_rows(spark, odd, empty):
 
 def test_op6_round_trip(spark, texts):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     start, wanted = 0, {}
     for i, t in sorted(texts.items()):
         ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0]
@@ -576,12 +619,13 @@ def test_encoder_equals_the_library():
 
     from metriclake.llm.encoder import Encoder
 
-    odd_texts = ["", " ", "\n\n a  b", "a.b,c d. .e f's.g 5a% é. .é x≮y", "THE The tHE!!", "it's  don't's 12 345\r\n", " <|endoftext|> x", "a b", "a b 　c", "\x0b\x0c", "é ́x", None, "end  "]
+    odd_texts = ["", " ", "\n\n a  b", "a.b,c d. .e f's.g 5a% é. .é x≮y", "THE The tHE!!", "it's  don't's 12 345\r\n", " <|endoftext|> x", "x<|startoftext|>y", "a" * 17 + " " + "a" * 17 + "b", "a b", "a b 　c", "\x0b\x0c", "é ́x", None, "end  "]
     for name, leading in (("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)):
-        encoder = Encoder(public_tokenizers.path(name), leading)
-        ids, offsets = encoder.encode(pa.array(odd_texts))
-        for i, t in enumerate(odd_texts):
-            assert ids[offsets[i] : offsets[i + 1]].tolist() == encoder.tokenizer.encode(t or "", add_special_tokens=False).ids, t
+        encoder, library = Encoder(public_tokenizers.path(name), leading), Tokenizer.from_file(public_tokenizers.path(name))
+        for _ in range(2):  # new chunks, then known ones
+            ids, offsets = encoder.encode(pa.array(odd_texts))
+            for i, t in enumerate(odd_texts):
+                assert ids[offsets[i] : offsets[i + 1]].tolist() == library.encode(t or "", add_special_tokens=False).ids, t
 
 
 def test_pipeline(spark):
