@@ -41,25 +41,6 @@ def _(t: Tables):
     return hrefs(t).filter("startswith(href, '/') AND NOT href RLIKE '[?#]'").select("page_id", "href", found["destination"].alias("destination"))
 
 
-@query("html_link_occurrences", HREFS + "SELECT page_id, href, COUNT(*) AS n FROM h GROUP BY ALL")
-def _(t: Tables):
-    return hrefs(t).groupBy("page_id", "href").agg(F.count("*").alias("n"))
-
-
-@query("link_layer", HREFS + "SELECT 'menu' AS layer, 'navigation' AS landmark, COUNT(*) AS n FROM h")
-def _(t: Tables):
-    layer = fn.link_layer(F.lit(None).cast("string"), F.array(F.lit("nav"), F.lit("body")), F.lit(""), F.lit(False), F.lit(False))
-    return hrefs(t).withColumn("l", layer).groupBy(F.col("l.layer").alias("layer"), F.col("l.landmark").alias("landmark")).agg(F.count("*").alias("n"))
-
-
-@query("html_page_facts", "SELECT page_id, nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '') AS title, nullif(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '') AS h1, len(regexp_extract_all(html, '<a ')) AS n_links, len(regexp_extract_all(html, '<form')) AS n_forms, contains(html, 'noindex') AS noindex FROM pages")
-def _(t: Tables):
-    def first(pattern: str):
-        return F.nullif(F.regexp_extract("html", pattern, 1), F.lit(""))
-
-    return t.base("pages").select("page_id", first("<title>([^<]*)</title>").alias("title"), first("<h1>([^<]*)</h1>").alias("h1"), F.regexp_count("html", F.lit("<a ")).cast("long").alias("n_links"), F.regexp_count("html", F.lit("<form")).cast("long").alias("n_forms"), F.contains("html", F.lit("noindex")).alias("noindex"))
-
-
 @query("resource_route_filter", HREFS + "SELECT href, CASE WHEN starts_with(href, '/') AND NOT starts_with(href, '//') AND NOT regexp_matches(href, '[\\[\\]{}$*:?#\\s]') AND NOT contains(regexp_extract(href, '([^/]*)$', 1), '.') THEN CASE WHEN href LIKE '%/' THEN href ELSE href || '/' END END AS route FROM h GROUP BY ALL")
 def _(t: Tables):
     return hrefs(t).select("href").distinct().select("href", fn.resource_route(F.col("href")).alias("route"))
@@ -202,86 +183,11 @@ def _(t: Tables):
     return t.hits.select("route").distinct().select("route", F.array_join(found["roles"], ",").alias("roles"), found["stage"].alias("stage"))
 
 
-@query("json_ld_types", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'Article,Person' ELSE 'Article,BreadcrumbList,WebPage' END AS types FROM pages")
-def _(t: Tables):
-    texts = F.when(F.col("page_id") % 2 == 0, '{"@type": "Article", "author": {"@type":"Person"}}').otherwise('[{"@type": ["WebPage", "Article"]}, {"@type": "BreadcrumbList"}]')
-    return t.base("pages").select("page_id", F.array_join(fn.json_ld_types(texts), ",").alias("types"))
-
-
-@query("capture_resolution", "SELECT CASE page_id % 6 WHEN 0 THEN 'complete' WHEN 1 THEN 'complete' WHEN 2 THEN 'failed' WHEN 3 THEN 'partial' WHEN 4 THEN 'blocked' ELSE 'complete' END AS capture, CASE page_id % 6 WHEN 0 THEN 'confirmed-page' WHEN 1 THEN 'missing' WHEN 2 THEN 'unresolved' WHEN 3 THEN 'dynamic-unknown' WHEN 4 THEN 'unchecked' ELSE 'redirect' END AS resolution, COUNT(*) AS n FROM pages GROUP BY ALL")
-def _(t: Tables):
-    kind, asked = F.col("page_id") % 6, F.concat(F.lit("https://a.example/"), F.col("page_id").cast("string"))
-    status = F.when(kind == 1, 404).when(kind == 2, 500).when(kind == 3, None).otherwise(200)
-    final = F.when(kind == 4, "https://other.example/").when(kind == 5, "https://a.example/elsewhere").otherwise(asked)
-    found = fn.capture_resolution(asked, final, status, F.lit(None).cast("string"), F.lit(True), "https://a.example")
-    return t.base("pages").withColumn("f", found).groupBy(F.col("f.capture").alias("capture"), F.col("f.resolution").alias("resolution")).agg(F.count("*").alias("n"))
-
-
 @query("route_scope", "SELECT DISTINCT route FROM hits WHERE route LIKE '/s%' AND regexp_matches(route, '^/s[123]/') AND route NOT LIKE '%7'", "hits")
 def _(t: Tables):
     return t.hits.select("route").distinct().filter(fn.route_allowed(F.col("route"), ["/s1/*", "/s2/*", "/s3/?*"], ["*7"]))
 
 
-@query("source_text_links", "SELECT doc_id, COUNT(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\[([^\\]\\n]{0,500})\\]\\(\\s*([^)\\s]+)', 2)) AS link FROM (SELECT doc_id, '[' || split_part(text, ' ', 1) || '](/d/' || doc_id || ') href=\"/x\"' AS text FROM documents WHERE NOT contains(split_part(text, ' ', 1), chr(10)) AND NOT contains(split_part(text, ' ', 1), ']'))) GROUP BY doc_id")
-def _(t: Tables):
-    word = F.split_part("text", F.lit(" "), F.lit(1))
-    lines = t.base("documents").filter(~word.contains("\n") & ~word.contains("]")).select("doc_id", F.concat(F.lit("["), word, F.lit("](/d/"), F.col("doc_id").cast("string"), F.lit(') href="/x"')).alias("text"))
-    links = F.regexp_extract_all("text", F.lit(r"\[([^\]\n]{0,500})\]\(\s*([^)\s]+)"), F.lit(2))
-    return lines.select("doc_id", F.explode(links).alias("link")).groupBy("doc_id").agg(F.count("*").alias("n"))
-
-
-@query("source_links")
-def _(t: Tables):
-    lines = t.base("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    return fn.source_links(lines)
-
-
-@query("redirect_rules", "SELECT page_id, CASE WHEN page_id % 5 = 0 THEN NULL ELSE '/old/' || page_id END AS source, CASE WHEN page_id % 5 = 0 THEN NULL ELSE '/new/' || page_id END AS target, CASE WHEN page_id % 5 = 0 THEN NULL WHEN page_id % 2 = 0 THEN 302 ELSE 301 END AS code FROM pages WHERE page_id % 7 <> 0")
-def _(t: Tables):
-    n = F.col("page_id").cast("string")
-    line = F.when(F.col("page_id") % 7 == 0, "# a comment").when(F.col("page_id") % 5 == 0, "nonsense").when(F.col("page_id") % 2 == 0, F.concat(F.lit("/old/"), n, F.lit("  /new/"), n, F.lit(" 302"))).otherwise(F.concat(F.lit("/old/"), n, F.lit(" /new/"), n))
-    parts = F.split(F.trim("line"), r"\s+")
-    rows = t.base("pages").select("page_id", line.alias("line")).filter("NOT startswith(trim(line), '#') AND trim(line) <> ''").withColumn("p", parts)
-    ok = F.size("p").between(2, 3)
-    return rows.select("page_id", F.when(ok, F.get("p", F.lit(0))).alias("source"), F.when(ok, F.get("p", F.lit(1))).alias("target"), F.when(ok, F.coalesce(F.get("p", F.lit(2)).try_cast("int"), F.lit(301))).alias("code"))
-
-
-def picked(t: Tables, normalise, *values: str):
-    """A normaliser over five spellings, dealt to the events by user."""
-    value = F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("user_id") % 5).cast("int") + 1)
-    return t.hits.groupBy(normalise(value).alias("value")).agg(F.count("*").alias("n"))
-
-
-def picked_sql(*values: str | None) -> str:
-    shown = ", ".join("NULL" if v is None else f"'{v}'" for v in values)
-    return f"SELECT [{shown}][1 + CAST(user_id % 5 AS INTEGER)] AS value, COUNT(*) AS n FROM hits GROUP BY 1"
-
-
-@query("country_code", picked_sql("DE", None, "FR", None, None), "hits")
-def _(t: Tables):
-    return picked(t, fn.country_code, " de", "usa", "FR", "XX", "1")
-
-
-@query("region_code", picked_sql("US-CA", None, None, None, "GB-ENG"), "hits")
-def _(t: Tables):
-    return picked(t, fn.region_code, "us-ca", "ca", "x", "", "gb-eng ")
-
-
-@query("language_tag", picked_sql("en", "pt-BR", "zh-Hant", None, "de"), "hits")
-def _(t: Tables):
-    return picked(t, fn.language_tag, "EN", "pt_br", "zh-hant", "???", "De")
-
-
-@query("screen_size", picked_sql("1920x1080", None, None, "800x600", None), "hits")
-def _(t: Tables):
-    return picked(t, fn.screen_size, "1920 x 1080", "0x5", "wide", "800X600", "1x1")
-
-
-@query("device_class", picked_sql("desktop", "mobile", "other", "tablet", "desktop"), "hits")
-def _(t: Tables):
-    return picked(t, fn.device_class, "Laptop", "phone", "tv", "Tablet", "desktop")
-
-
 @query("integral_count", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN CAST(event_id AS DOUBLE) END AS whole FROM events")
 def _(t: Tables):
     shown = F.expr("CASE event_id % 3 WHEN 0 THEN CAST(event_id AS STRING) WHEN 1 THEN concat(event_id, '.5') ELSE concat(event_id, 'x') END")

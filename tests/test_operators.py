@@ -186,3 +186,57 @@ def test_source_links_of_whole_texts(spark):
         + [(2, "router-literal", v, "") for v in ("/g", "/h", "/i")]
         + [(3, "markdown", "/j", "the guide"), (3, "markdown", "/k", "")]
     )
+
+
+EVIDENCE = """<html><head><title> A  &amp; B </title><meta name="Robots" content="follow, NOINDEX"><link rel="canonical" href="https://s.example/a/">
+<script type="application/ld+json">{"@graph": [{"@type": ["Article", "NewsArticle"], "author": {"@type": "Person", "name": "</b>"}}, {"@type": 7}]}</script>
+<script type="application/ld+json">{"@type": "Broken"</script></head><body>
+<header><a href='/menu'>Menu</a></header><nav aria-label="Breadcrumb"><ol><li><a href="/">Home</a></ol></nav>
+<main><h1>One <i>title</i></h1><h1>Other</h1><p>See <a class=x rel="nofollow UGC" HREF=/b?x=1#top>the <b>b</b>
+page</a> or <a href="https://other.example/c">out</a>, <a href="mailto:me@s.example">mail</a> <a name="none">no link</a>
+<div data-related-content><a href="d.html">d</a></div><a data-cta href="/buy">Buy</a><a data-link-layer="utility" href="//s.example/e">e</a>
+<form action="/send"><button formaction="/other">Go</button></form></main><footer><a href="/imprint">Imprint</a></footer></body></html>"""
+
+
+def test_pages_are_read_with_what_stands_around_links(spark):
+    from metriclake.operators import evidence
+
+    pages = spark.createDataFrame([(1, EVIDENCE), (2, None), (3, "<a href='/x'>never closed <p>")], "page_id long, html string")
+    read = evidence.read_pages(pages)
+    facts = {r.page_id: r for r in evidence.page_facts(read).collect()}
+    assert facts[1][1:] == ("A & B", "One title", "https://s.example/a/", False, ["Article", "NewsArticle", "Person"], 9, 1, 1)
+    assert facts[2][1:] == ("", "", "", True, [], 0, 0, 0) and facts[3].n_anchors == 0
+    rows = evidence.link_occurrences(read, F.lit("/a/"), ("s.example",)).orderBy("ordinal").collect()
+    assert [(r.destination, r.anchor_text, r.layer, r.landmark) for r in rows] == [
+        ("/menu/", "Menu", "menu", "navigation"),
+        ("/", "Home", "breadcrumb", "navigation"),
+        ("/b/", "the b page", "contextual", "main"),
+        ("https://other.example/c", "out", "contextual", "main"),
+        ("mailto:me@s.example", "mail", "contextual", "main"),
+        ("/a/d.html", "d", "related", "main"),
+        ("/buy/", "Buy", "action", "main"),
+        ("/e/", "e", "utility", "utility"),
+        ("/imprint/", "Imprint", "utility", "footer"),
+    ]
+    assert [r.nofollow for r in rows] == [False, False, True] + [False] * 6 and [r.ordinal for r in rows if r.fragment] == [2]
+    assert [r.action_kind for r in rows if r.action_kind] == ["mailto", "cta"] and [r.ordinal for r in rows if r.external] == [3]
+    assert [r.repeated_template for r in rows] == [True, False, False, False, False, False, False, True, True]
+
+
+def test_redirect_lines(spark):
+    from metriclake.operators import evidence
+
+    lines = ["# comment", "", "/old /new 302", "  /a/b.html   https://S.Example/x?q=1#t  ", "/only", "old /new", "//host/x /new", "/x javascript:alert(1)", "/y https://u@s.example/", "/z /w 301!", "/q \\\\bad", "/e /%zz"]
+    rows = evidence.redirects(spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "k int, line string")).collect()
+    assert {r.k: tuple(r[1:]) for r in rows} == {
+        2: ("/old/", "/new", 302, None),
+        3: ("/a/b.html", "https://s.example/x#t", 301, None),
+        4: (None, None, None, "unparsed"),
+        5: (None, None, None, "unparsed"),
+        6: (None, None, None, "unparsed"),
+        7: ("/x/", None, 301, "unsafe"),
+        8: ("/y/", None, 301, "unsafe"),
+        9: ("/z/", "/w", 301, None),
+        10: ("/q/", None, 301, "unsafe"),
+        11: ("/e/", None, 301, "unsafe"),
+    }
