@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 PARTITION = ("site_id", "namespace", "data_date", "epoch")
+#: Rows of a file, about: a large partition is written by several tasks.
+FILE_ROWS = 2_000_000
 
 
 def latest_revision(log: DataFrame, start: str, end: str) -> DataFrame:
@@ -28,21 +33,39 @@ def read_partition(rows: DataFrame, site: str, date: str) -> DataFrame:
 
 
 def publish(rows: DataFrame, expected: DataFrame, folder: str) -> DataFrame:
-    """Write new epoch partitions and return their manifest; those whose totals differ go to quarantine.
+    """Write new epoch partitions and return the folder's manifest.
 
-    rows has PARTITION's columns; expected has them and row_count, clicks, impressions. Data is written before
-    the manifest, so a reader never sees a partition that is not complete. A folder's epochs are never rewritten.
+    rows has PARTITION's columns; expected has them and row_count, clicks, impressions. Each call writes a batch of its
+    own, then a manifest that names it, so a reader never sees a partition that is not complete, and what a
+    call that died has left is never read. Partitions whose totals differ are kept apart (accepted=false). Epochs that the manifest
+    holds already are refused: publishing them again changes nothing.
     """
-    spark = rows.sparkSession
+    spark, batch = rows.sparkSession, uuid.uuid4().hex
     found = control_totals(rows, *PARTITION)
+    held = read_manifest(spark, folder)
+    if held is not None:
+        found = found.join(held.filter("accepted").select(*PARTITION), list(PARTITION), "left_anti")
     wanted = expected.select(*PARTITION, F.col("row_count").alias("_n"), F.col("clicks").alias("_c"), F.col("impressions").alias("_i"))
-    manifest = found.join(wanted, list(PARTITION), "left").withColumn("accepted", F.coalesce((F.col("row_count") == F.col("_n")) & (F.col("clicks") == F.col("_c")) & (F.col("impressions") == F.col("_i")) & F.col("non_negative"), F.lit(False))).drop("_n", "_c", "_i")
-    good = manifest.filter("accepted").select(*PARTITION)
-    parts = rows.join(good, list(PARTITION), "left_semi")
-    parts.repartition(*PARTITION).write.mode("append").partitionBy(*PARTITION).parquet(f"{folder}/data")
-    rows.join(good, list(PARTITION), "left_anti").write.mode("append").parquet(f"{folder}/quarantine")
-    manifest.write.mode("append").parquet(f"{folder}/manifest")
-    return spark.read.parquet(f"{folder}/manifest")
+    same = (F.col("row_count") == F.col("_n")) & (F.col("clicks") == F.col("_c")) & (F.col("impressions") == F.col("_i")) & F.col("non_negative")
+    judged = found.join(wanted, list(PARTITION), "left").withColumn("accepted", F.coalesce(same, F.lit(False))).drop("_n", "_c", "_i").withColumn("batch", F.lit(batch))
+    judged.write.parquet(f"{folder}/judged/{batch}")  # decided once, before any row moves
+    judged = spark.read.schema(judged.schema).parquet(f"{folder}/judged/{batch}")
+    parts = rows.join(judged.select(*PARTITION, "accepted", "row_count"), list(PARTITION))
+    part = F.pmod(F.xxhash64(*rows.columns), F.ceil(F.col("row_count") / FILE_ROWS).cast("int"))
+    dealt = parts.withColumn("_part", part).repartition(*PARTITION, "_part").drop("_part", "row_count")
+    dealt.write.partitionBy("accepted", *PARTITION).parquet(f"{folder}/data/batch={batch}")
+    judged.write.mode("append").parquet(f"{folder}/manifest")
+    return read_manifest(spark, folder)
+
+
+def read_manifest(spark: SparkSession, folder: str) -> DataFrame | None:
+    """All published partitions, accepted or not, with their batches; None in a new folder."""
+    try:
+        return spark.read.parquet(f"{folder}/manifest")
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 def current_partitions(manifest: DataFrame) -> DataFrame:
@@ -51,10 +74,13 @@ def current_partitions(manifest: DataFrame) -> DataFrame:
 
 
 def read_current(spark: SparkSession, folder: str) -> DataFrame:
-    """All rows of current partitions."""
-    rows = spark.read.parquet(f"{folder}/data").withColumn("data_date", F.col("data_date").cast("date"))
-    current = current_partitions(spark.read.parquet(f"{folder}/manifest"))
-    return rows.join(current, list(PARTITION), "left_semi")
+    """All rows of current partitions; none of a folder in which nothing was accepted yet."""
+    rows = spark.read.parquet(f"{folder}/data").withColumn("data_date", F.col("data_date").cast("date")).filter("accepted = 'true'")
+    manifest = read_manifest(spark, folder)
+    if manifest is None:
+        return rows.limit(0).drop("accepted", "batch")
+    named = manifest.filter("accepted").join(current_partitions(manifest), list(PARTITION)).select(*PARTITION, "batch").distinct()
+    return rows.join(named, [*PARTITION, "batch"], "left_semi").drop("accepted", "batch")
 
 
 def verify(manifest: DataFrame, rows: DataFrame) -> DataFrame:

@@ -43,24 +43,28 @@ def _(t: Tables):
     return ops.control_totals(t.bulk, "site_id", "namespace").withColumn("position_sum", F.col("position_sum").cast("double"))
 
 
-@query("bulk_read_partition", "SELECT namespace, epoch, impressions, clicks, l_orderkey FROM bulk WHERE site_id = 'site-2' AND data_date = DATE '1997-05-01'", "bulk")
+@query("bulk_read_partition", MANIFEST + "SELECT namespace, epoch, impressions, clicks, l_orderkey FROM bulk SEMI JOIN cur USING (site_id, namespace, data_date, epoch) WHERE site_id = 'site-2' AND data_date = DATE '1998-01-01'", "bulk")
 def _(t: Tables):
-    return ops.read_partition(t.bulk, "site-2", "1997-05-01").select("namespace", "epoch", "impressions", "clicks", "l_orderkey")
+    """One partition of a published lake: site and date are folders, so no other files are read."""
+    return ops.read_partition(ops.read_current(t.spark, published(t)[0]), "site-2", "1998-01-01").select("namespace", "epoch", "impressions", "clicks", "l_orderkey")
 
 
-@query("bulk_write_partition", MANIFEST + "SELECT site_id, namespace, data_date, epoch, row_count, accepted FROM manifest WHERE data_date >= DATE '1998-01-01' AND data_date < DATE '1998-03-01'", "bulk")
-def _(t: Tables):
+def published(t: Tables):
+    """(folder, manifest) of a lake of two months' exports, published in two batches of which the second repeats some epochs."""
     rows = t.bulk.filter("data_date >= DATE'1998-01-01' AND data_date < DATE'1998-03-01'")
     folder = f"{shared_folder(t.spark)}/lake-{uuid.uuid4().hex}"
-    return ops.publish(rows, expected(t), folder).select("site_id", "namespace", "data_date", "epoch", "row_count", "accepted")
+    ops.publish(rows.filter("epoch < 4"), expected(t), folder)
+    return folder, ops.publish(rows.filter("epoch > 1"), expected(t), folder)
+
+
+@query("bulk_write_partition", MANIFEST + "SELECT site_id, namespace, data_date, epoch, row_count, accepted FROM manifest WHERE data_date >= DATE '1998-01-01' AND data_date < DATE '1998-03-01'", "bulk")
+def _(t: Tables):
+    return published(t)[1].select("site_id", "namespace", "data_date", "epoch", "row_count", "accepted")
 
 
 @query("bulk_current_view", MANIFEST + "SELECT site_id, namespace, data_date, epoch, COUNT(*) AS n, CAST(SUM(impressions) AS BIGINT) AS impressions FROM bulk SEMI JOIN cur USING (site_id, namespace, data_date, epoch) WHERE data_date >= DATE '1998-01-01' AND data_date < DATE '1998-03-01' GROUP BY ALL", "bulk")
 def _(t: Tables):
-    rows = t.bulk.filter("data_date >= DATE'1998-01-01' AND data_date < DATE'1998-03-01'")
-    folder = f"{shared_folder(t.spark)}/lake-{uuid.uuid4().hex}"
-    ops.publish(rows, expected(t), folder)
-    return ops.read_current(t.spark, folder).groupBy(*ops.PARTITION).agg(F.count("*").alias("n"), F.sum("impressions").alias("impressions"))
+    return ops.read_current(t.spark, published(t)[0]).groupBy(*ops.PARTITION).agg(F.count("*").alias("n"), F.sum("impressions").alias("impressions"))
 
 
 @query("bulk_lake_status", MANIFEST + ", d AS (SELECT site_id, data_date, COUNT(DISTINCT namespace) AS n FROM cur GROUP BY ALL) SELECT site_id, COUNT(*) AS n_dates, COUNT(*) FILTER (n = 2) AS paired, COUNT(*) FILTER (n < 2) AS unpaired, MAX(data_date) FILTER (n = 2) AS last_paired FROM d GROUP BY site_id", "bulk")
@@ -68,10 +72,13 @@ def _(t: Tables):
     return ops.lake_status(manifest(t))
 
 
-@query("lake_paired_dates", "SELECT data_date FROM bulk WHERE namespace = 'url_impression' AND l_orderkey % 40 = 0 INTERSECT SELECT data_date FROM bulk WHERE namespace = 'site_impression' AND l_orderkey % 40 = 1", "bulk")
+@query("lake_paired_dates", "SELECT site_id, data_date, COUNT(DISTINCT namespace) = 2 AS paired FROM bulk GROUP BY ALL", "bulk")
 def _(t: Tables):
-    a = t.bulk.filter("namespace = 'url_impression' AND l_orderkey % 40 = 0").select("data_date")
-    return a.intersect(t.bulk.filter("namespace = 'site_impression' AND l_orderkey % 40 = 1").select("data_date"))
+    """All dates of either table of each site, with whether both have them."""
+    keys = ["site_id", "data_date"]
+    a = t.bulk.filter("namespace = 'url_impression'").select(*keys).distinct().withColumn("a", F.lit(True))
+    b = t.bulk.filter("namespace = 'site_impression'").select(*keys).distinct().withColumn("b", F.lit(True))
+    return a.join(b, keys, "full").select(*keys, (F.col("a").isNotNull() & F.col("b").isNotNull()).alias("paired"))
 
 
 @query("bulk_verify", MANIFEST + ", r AS (SELECT site_id, namespace, data_date, epoch, COUNT(*) AS row_count FROM bulk WHERE NOT (l_orderkey = 77) GROUP BY ALL) SELECT site_id, namespace, data_date, epoch, CASE WHEN m.row_count IS NULL THEN 'undeclared' WHEN r.row_count IS NULL THEN 'no_rows' ELSE 'totals_differ' END AS problem FROM (SELECT * FROM manifest WHERE accepted) m FULL JOIN r USING (site_id, namespace, data_date, epoch) WHERE m.row_count IS DISTINCT FROM r.row_count", "bulk")
@@ -115,9 +122,9 @@ def _(t: Tables):
     return rows.join(retirements, "activation_id", "left_anti").withColumn("k", F.row_number().over(last)).filter("k = 1").select("identity", "activation_id")
 
 
-@query("definition_reference_check", "SELECT l_orderkey AS definition, l_partkey AS missing FROM lineitem WHERE l_partkey % 3 = 0 AND NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND p_size > 10) GROUP BY ALL")
+@query("definition_reference_check", "SELECT l_orderkey AS definition, l_partkey AS missing FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND p_size > 10) GROUP BY ALL")
 def _(t: Tables):
-    references = t.base("lineitem").filter("l_partkey % 3 = 0").select(F.col("l_orderkey").alias("definition"), F.col("l_partkey").alias("missing")).distinct()
+    references = t.base("lineitem").select(F.col("l_orderkey").alias("definition"), F.col("l_partkey").alias("missing")).distinct()
     known = t.base("part").filter("p_size > 10").select(F.col("p_partkey").alias("missing"))
     return references.join(known, "missing", "left_anti")
 

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from metriclake.sources.shared import shared_folder
 
 
-def read_files(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A stream of the Parquet files of a name in a folder, one at a time."""
-    schema = spark.read.parquet(f"{folder}/{name}").schema
+def read_files(spark: SparkSession, folder: str, name: str = "*.parquet") -> DataFrame:
+    """A stream of the Parquet files of a name in a folder, one a batch."""
+    schema = spark.read.option("pathGlobFilter", name).parquet(folder).schema
     return spark.readStream.schema(schema).option("pathGlobFilter", name).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
@@ -30,44 +30,73 @@ def run(stream: DataFrame, each: Callable[[DataFrame, int], None], folder: str,
     query.awaitTermination()
 
 
-def merge_into(target: str, keys: list[str], order: list) -> Callable[[DataFrame, int], None]:
-    """A batch function that keeps one row per key, the first by `order`, in versions of a table.
+#: Buckets of a merged table; a batch rewrites those that it has keys of.
+BUCKETS = 16
 
-    Version n + 1 is written from version n and batch n, and read by readers that take the last: a batch that
-    is repeated writes the same version again.
+
+def merge_into(target: str, keys: list[str], order: Callable[[], list], buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
+    """A batch function that keeps one row per key, the first by `order`, in buckets of keys with versions.
+
+    Batch n writes version n of the buckets it has keys of, from the latest versions before n of these buckets and its
+    rows; other buckets aren't touched, and a batch that is repeated writes the same again.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = batch
-        if number > 0:
-            rows = spark.read.schema(batch.schema).parquet(f"{target}/version={number - 1}").unionByName(batch)
-        last = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-        rows.withColumn("_k", last).filter("_k = 1").drop("_k").write.mode("overwrite").parquet(f"{target}/version={number}")
+        rows = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        touched = {r[0] for r in rows.select("bucket").distinct().collect()}  # at most `buckets`
+        before = {b: v for b, v in versions(spark, target, number).items() if b in touched}
+        if before:
+            rows = read_buckets(spark, target, before).select(*batch.columns, "bucket").unionByName(rows)
+        last = F.row_number().over(Window.partitionBy("bucket", *keys).orderBy(*order()))
+        rows.withColumn("_k", last).filter("_k = 1").drop("_k").write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/version={number}")
 
     return merge
 
 
-def last_version(spark: SparkSession, target: str) -> DataFrame:
-    versions = spark.read.parquet(target)
-    top = versions.agg(F.max("version")).first()[0]  # a partition value
-    return versions.filter(F.col("version") == top).drop("version")
+def versions(spark: SparkSession, target: str, before: int | None = None) -> dict[int, int]:
+    """The latest version of each bucket of a merged table, before a batch; none where there is no table yet."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(target)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found: dict[int, int] = {}
+    for version in files.listStatus(root) if files.exists(root) else []:
+        number = int(version.getPath().getName().split("=")[1])
+        done = files.exists(hadoop.Path(version.getPath(), "_SUCCESS"))
+        for bucket in files.listStatus(version.getPath()) if done and (before is None or number < before) else []:
+            if bucket.isDirectory() and bucket.getPath().getName().startswith("bucket="):
+                b = int(bucket.getPath().getName().split("=")[1])
+                found[b] = max(number, found.get(b, -1))
+    return found
+
+
+def read_buckets(spark: SparkSession, target: str, which: dict[int, int]) -> DataFrame:
+    return spark.read.option("basePath", target).parquet(*[f"{target}/version={v}/bucket={b}" for b, v in sorted(which.items())]).drop("version")
+
+
+def merged(spark: SparkSession, target: str, schema: DataFrame) -> DataFrame:
+    """The rows of a merged table by their latest versions, with the columns of `schema`; none if no row came."""
+    found = versions(spark, target)
+    return read_buckets(spark, target, found).select(*schema.columns) if found else spark.createDataFrame([], schema.schema)
 
 
 def upsert(stream: DataFrame, keys: list[str], observed: str) -> DataFrame:
     """Rows of a stream with one row per key: that observed last."""
     folder = work_folder(stream.sparkSession)
-    run(stream, merge_into(f"{folder}/table", keys, [F.desc(observed)]), folder)
-    return last_version(stream.sparkSession, f"{folder}/table")
+    run(stream, merge_into(f"{folder}/table", keys, lambda: [F.desc(observed)]), folder)
+    return merged(stream.sparkSession, f"{folder}/table", stream)
 
 
 def revise(stream: DataFrame, keys: list[str], completeness: str, observed: str) -> DataFrame:
     """Rows of a stream with one row per key: the most settled, then that observed last, so a late provisional
     row never replaces a final one."""
-    rank = F.array_position(F.array(*[F.lit(c) for c in ("final", "provisional", "realtime", "unknown")]), F.col(completeness))
+
+    def order() -> list:
+        return [F.array_position(F.array(*[F.lit(c) for c in ("final", "provisional", "realtime", "unknown")]), F.col(completeness)), F.desc(observed)]
+
     folder = work_folder(stream.sparkSession)
-    run(stream, merge_into(f"{folder}/table", keys, [rank, F.desc(observed)]), folder)
-    return last_version(stream.sparkSession, f"{folder}/table")
+    run(stream, merge_into(f"{folder}/table", keys, order), folder)
+    return merged(stream.sparkSession, f"{folder}/table", stream)
 
 
 def dedup(stream: DataFrame, key: str, time: str, delay: str) -> DataFrame:
@@ -79,18 +108,21 @@ def dedup(stream: DataFrame, key: str, time: str, delay: str) -> DataFrame:
     return stream.sparkSession.read.schema(once.schema).parquet(f"{folder}/rows")
 
 
+def kept_state(state: DataFrame, keys: list[str]) -> DataFrame:
+    """The last value of a streaming aggregate by its keys: each batch merges the groups that it changed."""
+    folder = work_folder(state.sparkSession)
+    numbered = state.withColumn("_batch", F.lit(0).cast("long"))
+    merge = merge_into(f"{folder}/table", keys, lambda: [F.desc("_batch")])
+    run(state, lambda batch, n: merge(batch.withColumn("_batch", F.lit(n).cast("long")), n), folder, "update")
+    return merged(state.sparkSession, f"{folder}/table", numbered).drop("_batch")
+
+
 def completed_through(stream: DataFrame, key: str, end: str) -> DataFrame:
     """The latest end of each key over all batches."""
-    folder = work_folder(stream.sparkSession)
-    state = stream.groupBy(key).agg(F.max(end).alias("completed_through"))
-    run(state, lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/table/version={n}"), folder, "complete")
-    return last_version(stream.sparkSession, f"{folder}/table")
+    return kept_state(stream.groupBy(key).agg(F.max(end).alias("completed_through")), [key])
 
 
 def daily_rollup(stream: DataFrame, keys: list[str], time: str, value: str) -> DataFrame:
     """Counts and exact sums per key and day, kept up to date batch by batch."""
-    folder = work_folder(stream.sparkSession)
-    day = F.to_date(time).alias("day")
-    state = stream.groupBy(*keys, day).agg(F.count("*").alias("n"), F.sum(F.col(value).cast("decimal(18,2)")).alias("total"))
-    run(state, lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/table/version={n}"), folder, "complete")
-    return last_version(stream.sparkSession, f"{folder}/table")
+    state = stream.groupBy(*keys, F.to_date(time).alias("day")).agg(F.count("*").alias("n"), F.sum(F.col(value).cast("decimal(18,2)")).alias("total"))
+    return kept_state(state, [*keys, "day"])
