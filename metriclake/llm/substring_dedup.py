@@ -27,6 +27,8 @@ GRAM = 12
 #: Blocks of one anchor that a task parses against; what none of them holds goes to the check of windows.
 REFERENCES = 8
 BLOCKS = "anchor long, doc long, h long, place long, words binary"
+#: Rows that a task holds before it gives them on.
+HELD = 5_000
 #: A duplicate span (digest is null), or a window to check: its digest and its first word.
 PARSED = "doc long, h long, first long, last long, digest binary"
 
@@ -149,6 +151,8 @@ def _factored(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
     anchor, start, references = None, None, []
     for got in batches:
         for key, doc, h, place, words in zip(*[got.column(i).to_pylist() for i in range(5)], strict=True):
+            if len(out) >= HELD:
+                yield batch()
             if key == anchor and doc != references[0].doc and place & 0xFF == references[0].off and words == references[0].words:
                 out.append((doc, h, place >> 16, (place >> 16) + ((place >> 8) & 0xFF) - 1 + width, None))
                 continue  # the common case: the whole block is a factor
