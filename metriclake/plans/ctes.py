@@ -56,7 +56,7 @@ CTES = {
         (),
         """SELECT before AS src, l_partkey AS dst, ['menu', 'contextual', 'related', 'action', 'utility', 'breadcrumb'][1 + l_partkey % 6] AS layer FROM
  (SELECT *, lag(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS before FROM lineitem)
- WHERE before IS NOT NULL AND before <> l_partkey AND l_quantity <= 2""",
+ WHERE before IS NOT NULL AND before <> l_partkey""",
     ),
     "bulk": (
         (),

@@ -25,36 +25,41 @@ def _(t: Tables):
     return ops.degrees(ops.build_graph(t.part_edges))
 
 
-SPARSE = "sparse AS (SELECT DISTINCT src, dst FROM route_edges WHERE value > 120) "
-WALK = "walk AS (SELECT '{root}' AS node, 0 AS distance UNION SELECT {b}, distance + 1 FROM walk JOIN sparse ON {a} = node WHERE distance < 25) "
+PARTS = "edges AS (SELECT DISTINCT src, dst FROM part_edges), nodes AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges) "
+#: Breadth-first steps; no two parts are further apart.
+WALK = "walk AS (SELECT node, 0 AS distance FROM ({roots}) UNION SELECT {b}, distance + 1 FROM walk JOIN edges ON {a} = node WHERE distance < 12) "
 
 
-def sparse(t: Tables):
-    return ops.build_graph(t.route_edges.filter("value > 120"))
+def parts(t: Tables):
+    return ops.build_graph(t.part_edges)
 
 
-def roots(t: Tables, *names: str):
-    return t.spark.createDataFrame([(n,) for n in names], "node string")
+def first_part(t: Tables):
+    """The part with the least number that has a link."""
+    return t.part_edges.agg(F.min("src").alias("node"))
 
 
-@query("reachable_from", SPARSE + ", " + WALK.format(root=ROOT, a="src", b="dst") + "SELECT node, MIN(distance) AS distance FROM walk GROUP BY node", "route_edges", recursive=True)
+@query("reachable_from", PARTS + ", " + WALK.format(roots="SELECT MIN(src) AS node FROM part_edges", a="src", b="dst") + "SELECT node, MIN(distance) AS distance FROM walk GROUP BY node", "part_edges", recursive=True)
 def _(t: Tables):
-    return ops.distances(sparse(t), roots(t, ROOT))
+    return ops.distances(parts(t), first_part(t))
 
 
-GOAL_WALK = SPARSE + ", walk AS (SELECT unnest(['/s1/1', '/s2/42']) AS node, 0 AS distance UNION SELECT src, distance + 1 FROM walk JOIN sparse ON dst = node WHERE distance < 25), " + NODES + ", reach AS (SELECT n.node, coalesce(MIN(distance), -1) AS distance FROM nodes n LEFT JOIN walk w ON w.node = n.node GROUP BY n.node) "
+#: Parts that are goals: some of the large ones.
+GOAL_PARTS = "SELECT p_partkey AS node FROM part WHERE p_size = 50 AND p_partkey % 7 = 3"
+GOAL_WALK = PARTS + ", " + WALK.format(roots=GOAL_PARTS, a="dst", b="src") + ", reach AS (SELECT n.node, coalesce(MIN(distance), -1) AS distance FROM nodes n LEFT JOIN walk w ON w.node = n.node GROUP BY n.node) "
 
 
 def goal_reach(t: Tables):
-    return ops.goal_distance(ops.nodes_of(t.route_edges), sparse(t), roots(t, *GOALS))
+    goals = t.base("part").filter("p_size = 50 AND p_partkey % 7 = 3").select(F.col("p_partkey").alias("node"))
+    return ops.goal_distance(ops.nodes_of(t.part_edges), parts(t), goals)
 
 
-@query("goal_distance", GOAL_WALK + "SELECT node, distance FROM reach", "route_edges", recursive=True)
+@query("goal_distance", GOAL_WALK + "SELECT node, distance FROM reach", "part_edges", recursive=True)
 def _(t: Tables):
     return goal_reach(t)
 
 
-@query("goal_distance_histogram", GOAL_WALK + "SELECT CASE WHEN distance < 0 THEN 'unreachable' WHEN distance = 0 THEN 'goal' WHEN distance <= 3 THEN CAST(distance AS VARCHAR) ELSE '4+' END AS bucket, COUNT(*) AS n FROM reach GROUP BY 1", "route_edges", recursive=True)
+@query("goal_distance_histogram", GOAL_WALK + "SELECT CASE WHEN distance < 0 THEN 'unreachable' WHEN distance = 0 THEN 'goal' WHEN distance <= 3 THEN CAST(distance AS VARCHAR) ELSE '4+' END AS bucket, COUNT(*) AS n FROM reach GROUP BY 1", "part_edges", recursive=True)
 def _(t: Tables):
     return goal_reach(t).groupBy(text.distance_bucket(F.col("distance"), F.lit(False)).alias("bucket")).agg(F.count("*").alias("n"))
 
@@ -79,42 +84,41 @@ def _(t: Tables):
     return ops.authority(ops.nodes_of(t.route_edges), ops.build_graph(t.route_edges)).withColumn("score", F.round("score", 6))
 
 
-TIGHT = "SELECT DISTINCT src, dst FROM route_edges WHERE value > 260"
+#: Labels that spread to neighbours; after twelve rounds none changes any more.
+LABELS = "b AS (SELECT src, dst FROM part_edges UNION SELECT dst, src FROM part_edges), l0 AS (SELECT DISTINCT src AS node, src AS c FROM b)" + "".join(
+    f", l{k + 1} AS MATERIALIZED (SELECT l.node, least(MIN(l.c), MIN(m.c)) AS c FROM l{k} l JOIN b ON b.src = l.node JOIN l{k} m ON m.node = b.dst GROUP BY l.node)" for k in range(12)
+)
 
 
-@query(
-    "weak_components",
-    f"e AS ({TIGHT}), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r AS (SELECT src AS node, src AS other FROM b UNION SELECT r.node, b.dst FROM r JOIN b ON b.src = r.other) SELECT node, MIN(other) AS component FROM r GROUP BY node",
-    "route_edges",
-    recursive=True,
-)
+@query("weak_components", LABELS + " SELECT node, c AS component FROM l12", "part_edges")
 def _(t: Tables):
-    edges = ops.build_graph(t.route_edges.filter("value > 260"))
+    edges = parts(t)
     return ops.weak_components(ops.nodes_of(edges), edges)
 
 
-SCC = f"e AS ({TIGHT.replace('260', '180')}), r AS (SELECT node, node AS other FROM (SELECT src AS node FROM e UNION SELECT dst FROM e) UNION SELECT r.node, e.dst FROM r JOIN e ON e.src = r.other), c AS (SELECT a.node, MIN(a.other) AS component FROM r a JOIN r b ON a.node = b.other AND a.other = b.node GROUP BY a.node) "
+#: Strong components of the links of one layer.
+SCC = "e AS (SELECT DISTINCT src, dst FROM part_edges WHERE layer = 'menu'), r AS (SELECT node, node AS other FROM (SELECT src AS node FROM e UNION SELECT dst FROM e) UNION SELECT r.node, e.dst FROM r JOIN e ON e.src = r.other), c AS (SELECT a.node, MIN(a.other) AS component FROM r a JOIN r b ON a.node = b.other AND a.other = b.node GROUP BY a.node) "
 
 
 def strong(t: Tables):
-    edges = ops.build_graph(t.route_edges.filter("value > 180"))
+    edges = ops.build_graph(t.part_edges, ("menu",))
     return edges, ops.scc(ops.nodes_of(edges), edges)
 
 
-@query("scc", SCC + "SELECT node, component FROM c", "route_edges", recursive=True)
+@query("scc", SCC + "SELECT node, component FROM c", "part_edges", recursive=True)
 def _(t: Tables):
     return strong(t)[1]
 
 
-@query("component_edges", SCC + "SELECT a.component, e.src, e.dst FROM e JOIN c a ON a.node = e.src JOIN c b ON b.node = e.dst WHERE a.component = b.component", "route_edges", recursive=True)
+@query("component_edges", SCC + "SELECT a.component, e.src, e.dst FROM e JOIN c a ON a.node = e.src JOIN c b ON b.node = e.dst WHERE a.component = b.component", "part_edges", recursive=True)
 def _(t: Tables):
     edges, components = strong(t)
     return ops.component_edges(components, edges)
 
 
-@query("component_edges_large", None)
+@query("component_edges_large", LABELS + " SELECT a.c AS component, e.src, e.dst FROM (SELECT DISTINCT src, dst FROM part_edges) e JOIN l12 a ON a.node = e.src JOIN l12 z ON z.node = e.dst WHERE a.c = z.c", "part_edges")
 def _(t: Tables):
-    edges = ops.build_graph(t.part_edges)
+    edges = parts(t)
     return ops.component_edges(ops.weak_components(ops.nodes_of(edges), edges), edges)
 
 
@@ -138,16 +142,14 @@ def _(t: Tables):
 
 @query(
     "menu_dependent",
-    "f AS (SELECT DISTINCT src, dst FROM route_edges WHERE value > 150), m AS (SELECT DISTINCT src, dst FROM route_edges WHERE value > 150 AND layer <> 'menu'), s AS (SELECT MIN(src) AS node FROM f WHERE src IN (SELECT src FROM route_edges WHERE value > 150 AND layer = 'menu')),"
-    " wf AS (SELECT node FROM s UNION SELECT dst FROM wf JOIN f ON src = node), wm AS (SELECT node FROM s UNION SELECT dst FROM wm JOIN m ON src = node) SELECT node FROM wf EXCEPT SELECT node FROM wm",
-    "route_edges",
+    PARTS + ", rest AS (SELECT DISTINCT src, dst FROM part_edges WHERE layer <> 'menu'), s AS (SELECT MIN(src) AS node FROM part_edges), wf AS (SELECT node FROM s UNION SELECT dst FROM wf JOIN edges ON src = node), wm AS (SELECT node FROM s UNION SELECT dst FROM wm JOIN rest ON src = node) SELECT node FROM wf EXCEPT SELECT node FROM wm",
+    "part_edges",
     recursive=True,
 )
 def _(t: Tables):
-    links = t.route_edges.filter("value > 150")
-    start = links.filter("layer = 'menu'").agg(F.min("src").alias("node"))
-    full = ops.distances(ops.build_graph(links), start).select("node")
-    return full.subtract(ops.distances(ops.build_graph(links.filter("layer <> 'menu'")), start).select("node"))
+    """Parts that can be reached through menus only."""
+    reached = ops.distances(parts(t), first_part(t)).select("node")
+    return reached.join(ops.distances(ops.build_graph(t.part_edges.filter("layer <> 'menu'")), first_part(t)).select("node"), "node", "left_anti")
 
 
 @query("two_hop_neighborhood", "b AS (SELECT src, dst FROM part_edges UNION SELECT dst, src FROM part_edges), o AS (SELECT dst AS node FROM b WHERE src = (SELECT MIN(src) FROM part_edges)) SELECT DISTINCT node FROM (SELECT node FROM o UNION ALL SELECT dst FROM b JOIN o ON src = node) WHERE node <> (SELECT MIN(src) FROM part_edges)", "part_edges")

@@ -130,10 +130,10 @@ class Tables:
     def part_edges(self) -> DataFrame:
         """Links between parts that follow each other in an order; a graph that grows with the data."""
         line = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
-        lines = self.base("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity")
+        lines = self.base("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
         steps = lines.withColumn("before", F.lag("l_partkey").over(line))
         layer = F.expr("element_at(array('menu', 'contextual', 'related', 'action', 'utility', 'breadcrumb'), CAST(l_partkey % 6 AS INT) + 1)")
-        return steps.filter("before IS NOT NULL AND before <> l_partkey AND l_quantity <= 2").select(F.col("before").alias("src"), F.col("l_partkey").alias("dst"), layer.alias("layer"))
+        return steps.filter("before IS NOT NULL AND before <> l_partkey").select(F.col("before").alias("src"), F.col("l_partkey").alias("dst"), layer.alias("layer"))
 
     @cached_property
     def bulk(self) -> DataFrame:
