@@ -129,21 +129,45 @@ def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x
 
 
-def window_hashes(codes: np.ndarray, width: int) -> np.ndarray:
-    """Hash of each run of `width` codes, by its start; border-crossing ones are the caller's to leave out.
+class Levels:
+    """Hashes of runs of 1, 2, 4, ... codes, each joined from its halves; other runs are joined from those."""
+
+    def __init__(self, codes: np.ndarray) -> None:
+        self.level = [mix(codes)]
+
+    def _of(self, k: int) -> np.ndarray:
+        while len(self.level) <= k:
+            last, half = self.level[-1], 1 << (len(self.level) - 1)
+            self.level.append(joined(last[: max(0, len(last) - half)], last[half:]))
+        return self.level[k]
+
+    def at(self, start: np.ndarray, width: int) -> np.ndarray:
+        """Hash of the `width` codes from each start."""
+        out, done = None, 0
+        for k in range(width.bit_length()):
+            if width >> k & 1:
+                part = self._of(k)[start + done]
+                out = part if out is None else joined(out, part)
+                done += 1 << k
+        return out
+
+    def windows(self, width: int) -> np.ndarray:
+        """Hash of each run of `width` codes, by its start."""
+        n = len(self.level[0]) - width + 1
+        if n <= 0:
+            return np.zeros(0, dtype=U)
+        out, done = None, 0
+        for k in range(width.bit_length()):
+            if width >> k & 1:
+                part = self._of(k)[done : done + n]
+                out = part if out is None else joined(out, part)
+                done += 1 << k
+        return out
 
-    Runs of 1, 2, 4, ... codes are joined from their halves, and the parts of `width` from those.
-    """
-    if len(codes) < width:
-        return np.zeros(0, dtype=U)
-    level, size, out, done = mix(codes), 1, None, 0
-    while True:
-        if width & size:
-            out = level if out is None else joined(out[: len(level) - done], level[done:])
-            done += size
-        if done == width:
-            return out
-        level, size = joined(level[: len(level) - size], level[size:]), 2 * size
+
+def window_hashes(codes: np.ndarray, width: int) -> np.ndarray:
+    """Hash of each run of `width` codes, by its start; border-crossing ones are the caller's to leave out."""
+    return Levels(codes).windows(width)
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -156,20 +180,18 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def segments(codes: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> dict[str, np.ndarray]:
+def segments(levels: Levels, offsets: np.ndarray, width: int, gram: int) -> dict[str, np.ndarray]:
     """Maximal runs of windows with the same sampled gram.
 
     Each window of `width` codes inside a document is represented by its smallest gram of `gram` codes
     (the first of equals), so equal windows have equal grams at the same place. Windows that share one
     gram occurrence form a segment: doc (index in the batch), first (code index of its first window in
-    the document), count (windows), anchor_at and anchor (the gram's place in the document and hash).
+    the document), count (windows), anchor_at (the gram's place in the document).
     """
     lengths = np.diff(offsets)
-    n = len(codes) - width + 1
-    none = {k: np.zeros(0, np.int64) for k in ("doc", "first", "count", "anchor_at")} | {"anchor": np.zeros(0, U)}
-    if n <= 0 or not (lengths >= width).any():
-        return none
-    grams = window_hashes(codes, gram)
+    if not (lengths >= width).any():
+        return {k: np.zeros(0, np.int64) for k in ("doc", "first", "count", "anchor_at")}
+    grams = levels.windows(gram)
     if len(grams) >= 1 << 31:
         raise ValueError("a batch has too many codes; lower the Arrow batch size")
     place = np.arange(len(grams), dtype=U)
@@ -183,7 +205,7 @@ def segments(codes: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> d
     at = np.flatnonzero(new)
     count = np.diff(np.append(at, len(start)))
     begin, anchor = start[at], chosen[at]
-    return {"doc": doc_of[at], "first": begin - offsets[doc_of[at]], "count": count, "anchor_at": anchor - offsets[doc_of[at]], "anchor": grams[anchor]}
+    return {"doc": doc_of[at], "first": begin - offsets[doc_of[at]], "count": count, "anchor_at": anchor - offsets[doc_of[at]]}
 
 
 def signed(x: np.ndarray) -> np.ndarray:

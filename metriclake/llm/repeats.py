@@ -2,9 +2,10 @@
 suffixes have in common.
 
 A window is `width` consecutive units (words or bytes). Its anchor is its smallest gram, so equal windows hold equal
-anchors at equal places, and neighbouring windows with one anchor form a block. A block whose anchor's hash
-stands nowhere else in the corpus repeats nothing, and is left out before any text moves. What is left is only a
-superset: the two operators decide by content.
+anchors at equal places, and neighbouring windows with one anchor form a block. At least half of what a window has besides
+its anchor stands on one side of it, so blocks are halved by that side, and a half whose anchor and context on that side
+stand nowhere else in the corpus, by their hash, repeats nothing: it is left out before any text moves. What is left is
+only a superset: the two operators decide by content.
 """
 
 from __future__ import annotations
@@ -17,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metriclake.llm.arrays import BYTE_CODES, segments, signed, slices, utf8, word_hashes, words
+from metriclake.llm.arrays import BYTE_CODES, Levels, mix, segments, signed, slices, utf8, word_hashes, words
 from metriclake.llm.shared import shuffle_partitions, written
 
 #: A null doc_id counts as smaller than any other.
 NO_ID = -(1 << 63)
-ANCHORS = "anchor long, doc long, h long, place long"
+ANCHORS = "context long, doc long, h long, place long"
 
 
 @dataclass(frozen=True)
@@ -61,25 +62,52 @@ def unpacked(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return place >> 16, (place >> 8) & 0xFF, place & 0xFF
 
 
+def halves(levels: Levels, borders: np.ndarray, found: dict[str, np.ndarray], kind: Kind) -> tuple[np.ndarray, ...]:
+    """(context, doc, place) of the halves of blocks: windows with at least `back` units before the anchor, then others."""
+    back = (kind.width - kind.gram + 1) // 2
+    on = kind.width - back + 1  # of the others, what stands from the anchor on
+    first, count, off = found["first"], found["count"], found["anchor_at"] - found["first"]
+    at = borders[found["doc"]] + found["anchor_at"]
+    left, right = off >= back, off - count + 1 < back
+    skipped = np.maximum(0, off - back + 1)[right]
+    context = [mix(levels.at(at[left] - back, back + kind.gram)), levels.at(at[right], on)]
+    place = [packed(first[left], np.minimum(count, off - back + 1)[left], off[left]), packed(first[right] + skipped, count[right] - skipped, off[right] - skipped)]
+    return np.concatenate(context), np.concatenate([found["doc"][left], found["doc"][right]]), np.concatenate(place)
+
+
 def anchors(rows: DataFrame, kind: Kind) -> DataFrame:
-    """One row per block of rows (doc, h, text): the hash of its anchor, doc, h, and its place."""
+    """One row per half of a block of rows (doc, h, text): the hash of its context, doc, h, and its place."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text=2):
-            found = segments(*kind.codes(batch.column(2)), kind.width, kind.gram)
+            codes, borders = kind.codes(batch.column(2))
+            levels = Levels(codes)
+            found = segments(levels, borders, kind.width, kind.gram)
             if len(found["doc"]):
-                place = packed(found["first"], found["count"], found["anchor_at"] - found["first"])
-                doc, h = (batch.column(i).to_numpy(zero_copy_only=False)[found["doc"]] for i in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (signed(found["anchor"]), doc, h, place)], names=["anchor", "doc", "h", "place"])
+                context, of, place = halves(levels, borders, found, kind)
+                doc, h = (batch.column(i).to_numpy(zero_copy_only=False)[of] for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (signed(context), doc, h, place)], names=["context", "doc", "h", "place"])
 
     return rows.mapInArrow(blocks, ANCHORS)
 
 
+def asked_blocks(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first, count, off) of the blocks that lists of places ask for; halves of one block are one again."""
+    of = np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets)))
+    first, count, off = unpacked(lists.flatten().to_numpy(zero_copy_only=False))
+    order = np.lexsort((first, of))
+    of, first, count, off = of[order], first[order], count[order], off[order]
+    on = np.zeros(len(of), dtype=bool)  # the other half of the one before
+    on[1:] = (of[1:] == of[:-1]) & (first[1:] == first[:-1] + count[:-1]) & (first[1:] + off[1:] == first[:-1] + off[:-1])
+    start = np.flatnonzero(~on)
+    return of[start], first[start], np.add.reduceat(count, start) if len(start) else count, off[start]
+
+
 def shared(found: DataFrame) -> DataFrame:
-    """The anchors (anchor, doc, h, place) whose hash is there twice or more.
+    """The halves of blocks (context, doc, h, place) whose context is there twice or more.
 
     They are range-partitioned with their places, so that one that stands everywhere takes several tasks, and
-    compared with their neighbours. A task's first and last anchor, whose equals may be in the tasks beside it, stay.
+    compared with their neighbours. A task's first and last context, whose equals may be in the tasks beside it, stay.
     """
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,34 +115,34 @@ def shared(found: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            anchor = batch.column(0).to_numpy()
-            first = anchor[0] if first is None else first
-            same = np.zeros(len(anchor) + 1, dtype=bool)  # of each row, whether the one before it is equal
-            same[1:-1] = anchor[1:] == anchor[:-1]
-            same[0] = last is not None and anchor[0] == last.column(0)[0].as_py()
+            context = batch.column(0).to_numpy()
+            first = context[0] if first is None else first
+            same = np.zeros(len(context) + 1, dtype=bool)  # of each row, whether the one before it is equal
+            same[1:-1] = context[1:] == context[:-1]
+            same[0] = last is not None and context[0] == last.column(0)[0].as_py()
             if last is not None and (pending or same[0]):
                 yield last
-            stays = same[:-1] | same[1:] | (anchor == first)
+            stays = same[:-1] | same[1:] | (context == first)
             stays, pending = stays.copy(), bool(stays[-1])
-            last = batch.slice(len(anchor) - 1)
+            last = batch.slice(len(context) - 1)
             stays[-1] = False
             if stays.any():
                 yield batch.filter(pa.array(stays))
         if last is not None:
             yield last
 
-    keys = ["anchor", "doc", "h", "place"]
+    keys = ["context", "doc", "h", "place"]
     dealt = found.repartitionByRange(2 * shuffle_partitions(found.sparkSession), *keys)
     return dealt.sortWithinPartitions(*keys).mapInArrow(kept, ANCHORS)
 
 
 def located(rows: DataFrame, kind: Kind) -> tuple[DataFrame, DataFrame, int]:
-    """(rows dealt by document; those with `asked`, the list of their shared anchors (anchor, place); the number of these).
+    """(rows dealt by document; those with `asked`, the list of places that may be repeats; the number of these).
 
     The dealt rows are the only shuffle of texts; a plan that joins them again by doc and h reuses it.
     """
     many = written(shared(anchors(rows, kind)), "anchors")
-    asked = many.groupBy("doc", "h").agg(F.collect_set(F.struct("anchor", "place")).alias("asked"))
+    asked = many.groupBy("doc", "h").agg(F.collect_set("place").alias("asked"))
     dealt = rows.repartition("doc", "h")
     return dealt, dealt.join(asked, ["doc", "h"]), many.count()
 

@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metriclake.llm.arrays import slices
-from metriclake.llm.repeats import Kind, judged, located, rows_of, unpacked
+from metriclake.llm.arrays import U, signed, slices
+from metriclake.llm.repeats import Kind, asked_blocks, judged, located, packed, rows_of
 from metriclake.llm.shared import shuffle_partitions, written
 
 #: Words of an anchor; longer anchors mean more blocks and fewer windows to check at borders.
@@ -57,22 +57,25 @@ def _parsed(documents: DataFrame, width: int, schema: str, judge) -> DataFrame:
     indexed = blocks.repartitionByRange(2 * shuffle_partitions(documents.sparkSession), *keys).sortWithinPartitions(*keys)
     found = written(indexed.mapInArrow(lambda it: _factored(it, width), PARSED), "factors")
     windows = found.filter("digest IS NOT NULL")
-    least = windows.groupBy("digest").agg(F.min("doc").alias("least"))
+    least = windows.groupBy("digest").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most")
     again = windows.join(least, "digest").filter("doc > least").select("doc", "h", "first", "last")
     return judged(dealt, found.filter("digest IS NULL").select("doc", "h", "first", "last").unionByName(again), kind, judge, schema)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], kind: Kind) -> Iterator[pa.RecordBatch]:
-    """The words of the asked blocks of rows (doc, h, text, asked), joined by spaces."""
+    """The words of the asked blocks of rows (doc, h, text, asked), joined by spaces, and a hash of their anchors."""
+    from xxhash import xxh64_intdigest
+
     for batch in slices(batches, text=2):
-        lists = batch.column(3)
-        of = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(lists.offsets)))
-        anchor, place = (lists.flatten().field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        first, count, _ = unpacked(place)
+        of, first, count, off = asked_blocks(batch.column(3))
         split = [(t or b"").split() for t in batch.column(2).cast(pa.large_binary()).to_pylist()]
-        content = [b" ".join(split[d][a:b]) for d, a, b in zip(of.tolist(), first.tolist(), (first + count + kind.width - 1).tolist(), strict=True)]
+        content, anchor = [], np.zeros(len(of), dtype=U)
+        for i, (d, a, n, o) in enumerate(zip(of.tolist(), first.tolist(), count.tolist(), off.tolist(), strict=True)):
+            words = split[d]
+            content.append(b" ".join(words[a : a + n + kind.width - 1]))
+            anchor[i] = xxh64_intdigest(b" ".join(words[a + o : a + o + kind.gram]))
         at = pa.array(of)
-        yield pa.RecordBatch.from_arrays([pa.array(anchor), batch.column(0).take(at), batch.column(1).take(at), pa.array(place), pa.array(content, pa.binary())], names=[c.split()[0] for c in BLOCKS.split(", ")])
+        yield pa.RecordBatch.from_arrays([pa.array(signed(anchor)), batch.column(0).take(at), batch.column(1).take(at), pa.array(packed(first, count, off)), pa.array(content, pa.binary())], names=[c.split()[0] for c in BLOCKS.split(", ")])
 
 
 class Block:

@@ -20,13 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metriclake.llm.arrays import MASKS, U, slices, utf8
-from metriclake.llm.repeats import Kind, judged, located, rows_of, unpacked
+from metriclake.llm.repeats import Kind, asked_blocks, judged, located, packed, rows_of, unpacked
 from metriclake.llm.shared import shuffle_partitions, written
 
 #: Bytes of an anchor; longer anchors mean more suffixes.
 GRAM = 16
 #: Suffixes of a bucket at most, about; a bucket is sorted in memory.
-BUCKET = 100_000
+BUCKET = 20_000
 #: more: places of further blocks of the same document with the same bytes (many where a text is periodic).
 SUFFIXES = "suffix binary, before binary, doc long, h long, place long, more array<long>"
 #: A repeated span (digest is null), or a string to compare across buckets, for weight places.
@@ -48,8 +48,8 @@ def dedup(documents: DataFrame, width: int = 200) -> DataFrame:
     ranged = suffixes.repartitionByRange(buckets, "suffix", "before", "doc", "h", "place")
     found = written(ranged.mapInArrow(lambda it: _sorted(it, kind), SORTED), "suffixes")
     strings = found.filter("digest IS NOT NULL")
-    times = strings.groupBy("digest").agg(F.sum("weight").alias("times"))
-    again = strings.filter("weight = 1").join(times, "digest").filter("times > 1").select("doc", "h", "first", "last")
+    times = strings.groupBy("digest").agg(F.sum("weight").alias("times")).filter("times > 1")
+    again = strings.filter("weight = 1").join(times, "digest").select("doc", "h", "first", "last")
     spans = found.filter("digest IS NULL").select("doc", "h", "first", "last").unionByName(again)
     return judged(dealt, spans, kind, _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
@@ -57,10 +57,8 @@ def dedup(documents: DataFrame, width: int = 200) -> DataFrame:
 def _suffixes(batches: Iterator[pa.RecordBatch], kind: Kind) -> Iterator[pa.RecordBatch]:
     """For each asked block of rows (doc, h, text, asked): its bytes from the anchor on, and those before it, reversed."""
     for batch in slices(batches, text=2):
-        lists = batch.column(3)
-        of = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(lists.offsets)))
-        place = lists.flatten().field(1).to_numpy(zero_copy_only=False)
-        first, count, off = unpacked(place)
+        of, first, count, off = asked_blocks(batch.column(3))
+        place = packed(first, count, off)
         data, offsets = utf8(batch.column(2))
         raw = data.tobytes()
         begin = offsets[of] + first
@@ -169,7 +167,7 @@ def _sorted(batches: Iterator[pa.RecordBatch], kind: Kind) -> Iterator[pa.Record
     blocks = np.bincount(of)
     border = (of == 0) | (of == of[-1])
     found = (doc, h, first, count, off)
-    for part in _parts(np.flatnonzero(border)):
+    for part in _parts(np.flatnonzero(border), of):
         yield from _strings(part, stands[part], weight[part], of[part], suffix, before, found, width, True)
     for part in _parts(np.flatnonzero(~border & (blocks[of] > 1)), of):
         yield from _strings(part, stands[part], weight[part], of[part], suffix, before, found, width, False)
@@ -181,10 +179,8 @@ def _rows(doc, h, first, last, digest: list[bytes] | None = None, weight: np.nda
         yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in SORTED.split(", ")])
 
 
-def _parts(mine: np.ndarray, of: np.ndarray | None = None, most: int = 2000) -> list[np.ndarray]:
+def _parts(mine: np.ndarray, of: np.ndarray, most: int = 2000) -> list[np.ndarray]:
     """The blocks in parts of about `most`, of which none splits a group of `of`."""
-    if of is None:
-        return [mine[i : i + most] for i in range(0, len(mine), most)]
     parts, begin = [], 0
     for end in [*(np.flatnonzero(np.diff(of[mine])) + 1).tolist(), len(mine)]:
         if end - begin >= most or (end == len(mine) and end > begin):
@@ -194,8 +190,8 @@ def _parts(mine: np.ndarray, of: np.ndarray | None = None, most: int = 2000) ->
 
 
 def _strings(part, stands, weight, group, suffix, before, found, width: int, border: bool) -> Iterator[pa.RecordBatch]:
-    """All strings of `width` bytes of these blocks: those that two blocks of a group have as spans, or, of a
-    bucket's first and last group, all with their digests."""
+    """Strings of `width` bytes of these blocks that two blocks of a group have, as spans; of a bucket's first and last
+    group also each different string with its digest, to be compared across buckets."""
     doc, h, first, count, off = found
     content = [(before[i].as_py() or b"")[::-1] + (suffix[i].as_py() or b"") for i in stands.tolist()]
     lengths = np.fromiter(map(len, content), dtype=np.int64, count=len(content))
@@ -204,28 +200,30 @@ def _strings(part, stands, weight, group, suffix, before, found, width: int, bor
     k = np.arange(len(block)) - np.repeat(np.cumsum(many) - many, many)
     begin = np.repeat(np.cumsum(lengths) - lengths, many) + k
     raw = b"".join(content)
-    if border:
-        from xxhash import xxh3_128_digest
-
-        chosen = np.arange(len(block))
-        digest = [xxh3_128_digest(raw[a : a + width]) for a in begin.tolist()]
-    else:
-        aligned = off[stands][block] - k  # how far the anchor is from the string's start: equal in equal strings
-        order = np.lexsort((aligned, group[block]))
-        head = np.ones(len(order), dtype=bool)
-        head[1:] = (aligned[order][1:] != aligned[order][:-1]) | (group[block][order][1:] != group[block][order][:-1])
-        multikey(Strings(np.frombuffer(raw, np.uint8), begin, begin + width), order, head)
-        again = order[~(head & np.append(head[1:], True))]
-        chosen, digest = np.sort(again[weight[block[again]] == 1]), None
+    aligned = off[stands][block] - k  # how far the anchor is from the string's start: equal in equal strings
+    order = np.lexsort((aligned, group[block]))
+    head = np.ones(len(order), dtype=bool)
+    head[1:] = (aligned[order][1:] != aligned[order][:-1]) | (group[block][order][1:] != group[block][order][:-1])
+    multikey(Strings(np.frombuffer(raw, np.uint8), begin, begin + width), order, head)
+    start = np.flatnonzero(head)
+    size = np.diff(np.append(start, len(order)))
+    again = order[np.repeat(size > 1, size)]
+    chosen = np.sort(again[weight[block[again]] == 1])
     row = stands[block[chosen]]
     at = first[row] + k[chosen]
-    if digest is None:  # strings in a row are one span
+    if len(at):  # strings in a row are one span
         new = np.ones(len(at), dtype=bool)
         new[1:] = (block[chosen][1:] != block[chosen][:-1]) | (at[1:] != at[:-1] + 1)
-        begin, end = np.flatnonzero(new), np.flatnonzero(np.append(new[1:], True)) if len(at) else np.zeros(0, np.int64)
-        yield from _rows(doc[row[begin]], h[row[begin]], at[begin], at[end] + width)
-    else:
-        yield from _rows(doc[row], h[row], at, at + width, digest, weight[block])
+        low, high = np.flatnonzero(new), np.flatnonzero(np.append(new[1:], True))
+        yield from _rows(doc[row[low]], h[row[low]], at[low], at[high] + width)
+    if border:  # one of each string stands for all of them here
+        from xxhash import xxh3_128_digest
+
+        one = order[start]
+        times = np.where(size > 1, 2, weight[block[one]])
+        row = stands[block[one]]
+        at = first[row] + k[one]
+        yield from _rows(doc[row], h[row], at, at + width, [xxh3_128_digest(raw[a : a + width]) for a in begin[one].tolist()], times)
 
 
 def _cut(batch: pa.RecordBatch, borders: np.ndarray, mask: np.ndarray) -> list[pa.Array]:
