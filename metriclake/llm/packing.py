@@ -24,8 +24,9 @@ from metriclake.llm.encoder import Encoder, with_end
 from metriclake.llm.shared import written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Parts in which the pieces of one length are numbered, so that no length meets in one task.
-PARTS = 64
+#: The pieces of one length are numbered in at least so many parts, of about so many pieces at most, so that no
+#: length meets in one task, however many pieces have it.
+PARTS, PART_PIECES = 16, 200_000
 
 
 def pieces(documents: DataFrame, tokenizer: str, end_id: int, capacity: int, with_tokens: bool = False) -> DataFrame:
@@ -138,11 +139,13 @@ def pack(parts: DataFrame, capacity: int) -> DataFrame:
         raise ValueError(f"lengths are not all in 1..{capacity}")
     rows = places(plan(counts, capacity))
     where = spark.createDataFrame(rows, "length long, first long, sequences long, each long, first_sequence long, first_offset long")
-    dealt = parts.withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(PARTS)))
-    dealt = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_part").orderBy("doc_id", "piece", "ids_crc32")) - 1)
-    totals = parts.withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(PARTS))).groupBy("length", "_part").agg(F.count("*").alias("_n"))
+    split = spark.createDataFrame([(n, max(PARTS, -(-c // PART_PIECES))) for n, c in counts.items()], "length long, _parts int")  # at most capacity rows
+    others = [c for c in ("doc_id", "piece", "start", "ids_crc32") if c in parts.columns]
+    dealt = parts.join(F.broadcast(split), "length").withColumn("_part", F.pmod(F.xxhash64(*others), F.col("_parts"))).drop("_parts")
+    totals = dealt.groupBy("length", "_part").agg(F.count("*").alias("_n"))
     before = totals.select("length", "_part", F.coalesce(F.sum("_n").over(Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    numbered = dealt.join(F.broadcast(before), ["length", "_part"])  # at most capacity * PARTS rows
+    dealt = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_part").orderBy("doc_id", "piece", "ids_crc32")) - 1)
+    numbered = dealt.join(F.broadcast(before), ["length", "_part"])  # at most capacity * PARTS rows and one for PART_PIECES pieces
     numbered = numbered.withColumn("_number", F.col("_rank") + F.col("_before"))
     steps = where.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("first", "sequences", "each", "first_sequence", "first_offset"))).alias("_steps"))
     # the step that a number falls in: the last whose first number is not greater, found by halving

@@ -6,8 +6,9 @@ is not in the header is the escape code 0, its id stands in the escape stream. C
 into 64-bit words: 4 bits of selector, which says how many codes of how many bits follow, and 60 of codes.
 
 Layout of a row: shard int, block int (order within the shard), shard_start long (ids of the shard before
-the block), n_ids long, doc_ids / doc_starts binary (little-endian int64), ranked binary (uint32), words
-binary (uint64), escapes binary (uint32). Shards ascend with doc_id.
+the block), n_ids long, doc_ids / doc_starts binary (little-endian int64), no_id binary (a byte a document, 1 if
+its doc_id is null), ranked binary (uint32), words binary (uint64), escapes binary (uint32). Shards ascend with
+doc_id; a null comes before all.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ COUNTS = np.array([n for n, _ in SELECTORS])
 RANKED = 1023
 #: A block is closed when it has so many ids; a document is never split.
 BLOCK_IDS = 1 << 17
-SCHEMA = "shard int, block int, shard_start long, n_ids long, doc_ids binary, doc_starts binary, ranked binary, words binary, escapes binary"
+SCHEMA = "shard int, block int, shard_start long, n_ids long, doc_ids binary, no_id binary, doc_starts binary, ranked binary, words binary, escapes binary"
 
 
 def pack(codes: np.ndarray) -> np.ndarray:
@@ -113,7 +114,7 @@ def write_ids(documents: DataFrame, path: str, tokenizer: str, end_id: int, lead
 
         encoder, shard = Encoder.of(tokenizer, leading), TaskContext.get().partitionId()
         block = before = held = 0
-        docs: list[np.ndarray] = []
+        docs: list[pa.Array] = []
         parts: list[np.ndarray] = []
         lengths: list[np.ndarray] = []
 
@@ -121,13 +122,14 @@ def write_ids(documents: DataFrame, path: str, tokenizer: str, end_id: int, lead
             ids = np.concatenate(parts)
             ranked, words, escapes = encode_block(ids)
             starts = np.concatenate([[0], np.cumsum(np.concatenate(lengths))[:-1]]).astype("<i8")
-            row = [shard, block, before, len(ids), np.concatenate(docs).astype("<i8").tobytes(), starts.tobytes(), ranked.astype("<u4").tobytes(), words.astype("<u8").tobytes(), escapes.astype("<u4").tobytes()]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 5]
+            doc = pa.concat_arrays(docs)
+            row = [shard, block, before, len(ids), doc.fill_null(0).to_numpy().astype("<i8").tobytes(), doc.is_null().to_numpy(zero_copy_only=False).astype(np.uint8).tobytes(), starts.tobytes(), ranked.astype("<u4").tobytes(), words.astype("<u8").tobytes(), escapes.astype("<u4").tobytes()]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 6]
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
         for batch in slices(batches):
             ids, offsets = with_end(*encoder.encode(batch.column(1)), end_id)
-            doc = batch.column(0).to_numpy(zero_copy_only=False)
+            doc = batch.column(0)
             i = 0
             while i < len(doc):
                 j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + BLOCK_IDS - held, "right")) - 1)
@@ -146,14 +148,14 @@ def write_ids(documents: DataFrame, path: str, tokenizer: str, end_id: int, lead
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.repartitionByRange(2 * shuffle_partitions(documents.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(-1))).mapInArrow(blocks, SCHEMA).write.option("compression", "zstd").parquet(path)
+    rows.mapInArrow(blocks, SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
 def read_ids(spark: SparkSession, path: str, with_tokens: bool = False) -> DataFrame:
     """One row per document of the files: doc_id, start (ids of all documents before it), n_tokens (with
     the end id), ids_crc32, and with_tokens the ids themselves as array<int>.
 
-    A document whose doc_id was null has -1. Only per-shard totals (one row per file) meet in one task.
+    A null doc_id comes back as null. Only per-shard totals (one row per file) meet in one task.
     """
     schema = "shard int, doc_id long, start long, n_tokens long, ids_crc32 long" + ", tokens array<int>" * with_tokens
 
@@ -166,7 +168,7 @@ def read_ids(spark: SparkSession, path: str, with_tokens: bool = False) -> DataF
                 raw = memoryview(ids.astype("<u4").tobytes())
                 out = [
                     pa.array(np.full(len(starts), r["shard"], np.int32)),
-                    pa.array(np.frombuffer(r["doc_ids"], "<i8")),
+                    pa.array(np.frombuffer(r["doc_ids"], "<i8"), mask=np.frombuffer(r["no_id"], np.uint8).astype(bool)),
                     pa.array(starts + r["shard_start"]),
                     pa.array(ends - starts),
                     pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.int64()),

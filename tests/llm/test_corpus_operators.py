@@ -280,7 +280,8 @@ def test_op5_holdout(spark):
     judged = quality_rules.statistics(documents.join(other.select("doc_id"), "doc_id", "left_semi")).join(other, "doc_id").withColumn("verdict", quality_rules.verdict(rules))
     counts = {(r.quality, r.verdict): r["count"] for r in judged.groupBy("quality", "verdict").count().collect()}
     good = counts.get((1, True), 0) / max(1, counts.get((1, True), 0) + counts.get((1, False), 0))
-    assert rules and good >= 0.95 and counts.get((0, False), 0) > counts.get((0, True), 0)
+    caught = counts.get((0, False), 0) / max(1, counts.get((0, False), 0) + counts.get((0, True), 0))
+    assert rules and good >= 0.95 and caught >= 0.9
 
 
 def test_op5_on_odd_rows(spark, odd, empty):
@@ -301,9 +302,13 @@ def test_op6_round_trip(spark, texts):
     assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in queries()["op6_token_ids"](spark, SF).collect()} == wanted
 
 
-def test_op6_on_odd_rows(odd, empty):
-    rows = simple8b.round_trip(odd, public_tokenizers.path("byte_bpe_50k.json")).collect()
-    assert len(rows) == len(ODD) and {r.n_tokens for r in rows if r.doc_id in (3, 5)} == {1}
+def test_op6_on_odd_rows(spark, odd, empty):
+    more = odd.unionByName(spark.createDataFrame([(-1, "minus one", "h", 1), (-5, "x", "i", 2), (None, "again no id", "j", 3)], ODD_SCHEMA))
+    rows = simple8b.round_trip(more, public_tokenizers.path("byte_bpe_50k.json")).collect()
+    assert len(rows) == len(ODD) + 3 and {r.n_tokens for r in rows if r.doc_id in (3, 5)} == {1}
+    rows.sort(key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == [None, None, -5, -1, 3, 5, 7, 8, 9, 9, 9, 10, 11]
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(rows, rows[1:], strict=False))
     assert simple8b.round_trip(empty, public_tokenizers.path("byte_bpe_50k.json")).count() == 0
 
 
@@ -417,7 +422,7 @@ def test_op8_holdout(spark):
     folder = "/root/testdata/sf0.1"
     documents, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
     chain = toxicity.fit(documents, labels.filter("doc_id % 2 = 0"))
-    rows = toxicity.score(documents, chain).withColumnRenamed("toxic", "found").join(labels.filter("doc_id % 2 = 1 AND quality = 1"), "doc_id")
+    rows = toxicity.score(documents, chain).withColumnRenamed("toxic", "found").join(labels.filter("doc_id % 2 = 1"), "doc_id")
     counts = {(r.toxic, r.found): r["count"] for r in rows.groupBy("toxic", "found").count().collect()}
     recall = counts[1, True] / (counts[1, True] + counts.get((1, False), 0))
     precision = counts[1, True] / (counts[1, True] + counts.get((0, True), 0))
