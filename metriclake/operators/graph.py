@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from metriclake.sources.shared import materialised
+from metriclake.sources.shared import materialised, new_path
 
 LAYERS = ("menu", "breadcrumb", "contextual", "related", "action", "utility")
 SHELL = ("menu", "utility")
@@ -28,18 +28,24 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def distances(edges: DataFrame, roots: DataFrame, reverse: bool = False) -> DataFrame:
-    """(node, distance) of all nodes that a breadth-first search from the roots reaches, in steps."""
+    """(node, distance) of all nodes that a breadth-first search from the roots reaches, in steps.
+
+    Each level is written once, as a part of one table.
+    """
     a, b = ("dst", "src") if reverse else ("src", "dst")
     edges = materialised(edges.select(F.col(a).alias("node"), F.col(b).alias("next")))
-    seen = materialised(roots.select("node").distinct().withColumn("distance", F.lit(0)))
-    frontier, level = seen, 0
+    spark, folder = edges.sparkSession, new_path(edges.sparkSession)
+    frontier, level = roots.select("node").distinct().withColumn("distance", F.lit(0)), 0
+    kind = frontier.schema
     while True:
-        level += 1
-        new = frontier.join(edges, "node").select(F.col("next").alias("node")).distinct().join(seen, "node", "left_anti")
-        frontier = materialised(new.withColumn("distance", F.lit(level)))
+        frontier.write.parquet(f"{folder}/{level}")
+        frontier = spark.read.schema(kind).parquet(f"{folder}/{level}")
+        seen = spark.read.schema(kind).parquet(*[f"{folder}/{k}" for k in range(level + 1)])
         if frontier.isEmpty():
             return seen
-        seen = materialised(seen.unionByName(frontier))
+        level += 1
+        new = frontier.join(edges, "node").select(F.col("next").alias("node")).distinct().join(seen, "node", "left_anti")
+        frontier = new.withColumn("distance", F.lit(level))
 
 
 def goal_distance(nodes: DataFrame, edges: DataFrame, goals: DataFrame) -> DataFrame:

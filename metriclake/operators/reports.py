@@ -58,9 +58,10 @@ def metric_card(totals: DataFrame) -> DataFrame:
 
 
 def site_pulse(values: DataFrame, metrics: list[str]) -> DataFrame:
-    """One row per site with a column for each metric: the value where it is complete."""
+    """One row per site with a column for each metric: the value where it is complete. A metric that a site has from
+    several sources is withheld, as none of them is the one to show."""
     shown = values.withColumn("shown", F.when(F.col("status") == "complete", F.coalesce("value", F.lit(0))))
-    return shown.groupBy("site_id").pivot("metric", metrics).agg(F.first("shown"))
+    return shown.groupBy("site_id").pivot("metric", metrics).agg(F.when(F.count("status") <= 1, F.max("shown")))
 
 
 #: Severities in the order in which items are shown (fixed values).
