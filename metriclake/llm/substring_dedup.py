@@ -29,6 +29,8 @@ REFERENCES = 8
 BLOCKS = "anchor long, doc long, h long, place long, words binary"
 #: Rows that a task holds before it gives them on.
 HELD = 5_000
+#: Different windows of one anchor that a task remembers; a further one is only compared with those of all tasks.
+SEEN = 50_000
 #: A duplicate span (digest is null), or a window to check: its digest and its first word.
 PARSED = "doc long, h long, first long, last long, digest binary"
 
@@ -143,7 +145,13 @@ def _factored(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
         out.extend((block.doc, block.h, block.first + a, block.first + b + width, None) for a, b in found)
 
     def windows(block: Block, left) -> None:
-        out.extend((block.doc, block.h, block.first + s, block.first + s + width, xxh3_128_digest(block.words[block.starts[s] : block.starts[s + width] - 1])) for s in left)
+        for s in left:
+            digest = xxh3_128_digest(block.words[block.starts[s] : block.starts[s + width] - 1])
+            if seen.get(digest, block.doc) < block.doc:  # the first one here was given on for all of them
+                digest = None
+            elif digest not in seen and len(seen) < SEEN:
+                seen[digest] = block.doc
+            out.append((block.doc, block.h, block.first + s, block.first + s + width, digest))
 
     def batch() -> pa.RecordBatch:
         kinds = [pa.int64()] * 4 + [pa.binary()]
@@ -152,6 +160,7 @@ def _factored(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
         return done
 
     anchor, start, references = None, None, []
+    seen: dict[bytes, int] = {}  # windows given on, of this anchor, with the first doc
     for got in batches:
         for key, doc, h, place, words in zip(*[got.column(i).to_pylist() for i in range(5)], strict=True):
             if len(out) >= HELD:
@@ -164,6 +173,7 @@ def _factored(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
                 start = key
             if key != anchor:
                 anchor, references = key, [block]
+                seen.clear()
                 if key == start:
                     windows(block, range(block.count))
                 continue

@@ -731,8 +731,8 @@ def test_near_copies_equal_brute_force(spark, documents, texts):
 
     rows = near_copy_rows()
     hand = spark.createDataFrame(rows, "doc_id long, text string")
-    for table, pairs in ((documents, texts.items()), (hand, rows)):
-        for rows_a_batch in (10_000, 7):  # groups of holders that end with a batch, or go on in the next
+    for table, pairs, batches in ((documents, texts.items(), (10_000,)), (hand, rows, (10_000, 7))):
+        for rows_a_batch in batches:  # groups of holders that end with a batch, or go on in the next
             spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_a_batch)
             try:
                 kept = corpus_pipeline.drop_near_copies(spark, table, SF)
