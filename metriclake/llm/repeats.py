@@ -104,7 +104,7 @@ def asked_blocks(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def shared(found: DataFrame) -> DataFrame:
-    """The halves of blocks (context, doc, h, place) whose context is there twice or more.
+    """doc, h, place of the halves of blocks (context, doc, h, place) whose context is there twice or more.
 
     They are range-partitioned with their places, so that one that stands everywhere takes several tasks, and
     compared with their neighbours. A task's first and last context, whose equals may be in the tasks beside it, stay.
@@ -121,19 +121,19 @@ def shared(found: DataFrame) -> DataFrame:
             same[1:-1] = context[1:] == context[:-1]
             same[0] = last is not None and context[0] == last.column(0)[0].as_py()
             if last is not None and (pending or same[0]):
-                yield last
+                yield last.select([1, 2, 3])
             stays = same[:-1] | same[1:] | (context == first)
             stays, pending = stays.copy(), bool(stays[-1])
             last = batch.slice(len(context) - 1)
             stays[-1] = False
             if stays.any():
-                yield batch.filter(pa.array(stays))
+                yield batch.select([1, 2, 3]).filter(pa.array(stays))
         if last is not None:
-            yield last
+            yield last.select([1, 2, 3])
 
     keys = ["context", "doc", "h", "place"]
     dealt = found.repartitionByRange(2 * shuffle_partitions(found.sparkSession), *keys)
-    return dealt.sortWithinPartitions(*keys).mapInArrow(kept, ANCHORS)
+    return dealt.sortWithinPartitions(*keys).mapInArrow(kept, "doc long, h long, place long")
 
 
 def located(rows: DataFrame, kind: Kind) -> tuple[DataFrame, DataFrame, int]:

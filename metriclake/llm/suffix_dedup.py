@@ -2,8 +2,7 @@
 
 Suffixes are taken where a window of `width` bytes has its anchor (see repeats), so every repeated string of `width` bytes
 holds such a suffix at the same place in each of its occurrences. Splitters that Spark samples range-partition the
-suffixes by their leading bytes (then by what stands before them and by place, so that equal ones spread over several
-buckets). A bucket sorts its suffixes by multikey quicksort, eight bytes at a time, and neighbours that are equal, with what
+suffixes by their leading bytes (then by place, so that equal ones, however many, spread over several buckets). A bucket sorts its suffixes by multikey quicksort, eight bytes at a time, and neighbours that are equal, with what
 stands before them, are repeats. Of suffixes that only begin alike, all strings of `width` bytes around them
 are sorted in the same way. A bucket's first and last anchor may go on in the buckets beside it: their strings are compared
 across the boundaries, by digests of 128 bits.
@@ -26,7 +25,9 @@ from metriclake.llm.shared import shuffle_partitions, written
 #: Bytes of an anchor; longer anchors mean more suffixes.
 GRAM = 16
 #: Suffixes of a bucket at most, about; a bucket is sorted in memory.
-BUCKET = 20_000
+BUCKET = 40_000
+#: Leading bytes by which suffixes are dealt into buckets; those with the same are dealt by their places.
+LEADING = 64
 #: more: places of further blocks of the same document with the same bytes (many where a text is periodic).
 SUFFIXES = "suffix binary, before binary, doc long, h long, place long, more array<long>"
 #: A repeated span (digest is null), or a string to compare across buckets, for weight places.
@@ -45,7 +46,7 @@ def dedup(documents: DataFrame, width: int = 200) -> DataFrame:
     dealt, asked, n = located(rows_of(documents), kind)
     buckets = max(2 * shuffle_partitions(documents.sparkSession), -(-n // BUCKET))
     suffixes = asked.select("doc", "h", "text", "asked").mapInArrow(lambda it: _suffixes(it, kind), SUFFIXES)
-    ranged = suffixes.repartitionByRange(buckets, "suffix", "before", "doc", "h", "place")
+    ranged = suffixes.repartitionByRange(buckets, F.substring("suffix", 1, LEADING), "doc", "h", "place")
     found = written(ranged.mapInArrow(lambda it: _sorted(it, kind), SORTED), "suffixes")
     strings = found.filter("digest IS NOT NULL")
     times = strings.groupBy("digest").agg(F.sum("weight").alias("times")).filter("times > 1")
