@@ -33,6 +33,24 @@ plain AS (SELECT page_id, url, k, trim(regexp_replace(replace(replace(replace(re
 SELECT page_id, url, coalesce(string_agg(block, chr(10) || chr(10) ORDER BY k) FILTER (block <> ''), '') AS text, length(coalesce(string_agg(block, chr(10) || chr(10) ORDER BY k) FILTER (block <> ''), '')) AS n_chars
 FROM plain GROUP BY page_id, url"""
 
+NEGATIVES = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+ WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = len(embedding)),
+s AS (SELECT a.vec_id AS anchor_id, a.label AS anchor_label, b.vec_id, b.label, CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) AS BIGINT) AS score FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE label = anchor_label QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank
+ FROM p JOIN s USING (anchor_id) WHERE label <> anchor_label AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3"""
+
+MIDDLES = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || doc_id) AS x FROM documents),
+h AS (SELECT doc_id, text, CAST('0x' || x[1:8] AS BIGINT) AS h1, CAST('0x' || x[9:16] AS BIGINT) AS h2, CAST('0x' || x[25:32] AS BIGINT) AS h4, length(text) - length(replace(text, chr(10), '')) + CASE WHEN text = '' OR text LIKE '%' || chr(10) THEN 0 ELSE 1 END AS n FROM d),
+c AS (SELECT *, string_split(text, chr(10)) AS lines, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM h),
+k AS (SELECT *, CAST(least(length(text), coalesce(list_sum(list_transform(lines[1:a], lambda l: length(l) + 1)), 0)) AS BIGINT) AS p, CAST(least(length(text), coalesce(list_sum(list_transform(lines[1:b], lambda l: length(l) + 1)), 0)) AS BIGINT) AS q FROM c),
+o AS (SELECT doc_id, n, text, CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form, p, q, substr(text, 1, p) AS prefix, substr(text, p + 1, q - p) AS middle, substr(text, q + 1) AS suffix FROM k)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN p END AS prefix_chars, CASE WHEN form <> 'plain' THEN q - p END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256 FROM o"""
+
 
 def secret_scan() -> str:
     """Matches of each rule by the running lengths of matches and of what stands between them."""
@@ -54,4 +72,4 @@ def secret_scan() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": SUBSTRINGS.strip(), "op4_suffix_array_dedup": BYTES.strip(), "op7_secret_scan": secret_scan(), "op10_html_extraction": PAGES.strip()}
+    return {"op1_substring_dedup": SUBSTRINGS.strip(), "op4_suffix_array_dedup": BYTES.strip(), "op7_secret_scan": secret_scan(), "op10_html_extraction": PAGES.strip(), "op12_hard_negatives": NEGATIVES.strip(), "op13_fill_in_middle": MIDDLES.strip()}

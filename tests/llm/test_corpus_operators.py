@@ -673,7 +673,7 @@ def test_queries_say_which_rows_their_sql_gives(spark):
     from metriclake.llm.queries import oracle_sql
 
     connection = duckdb.connect()
-    for name in ("documents", "pages"):
+    for name in ("documents", "pages", "embeddings"):
         connection.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{SF}/{name}.parquet')")
     for name, sql in oracle_sql().items():
         df = queries()[name](spark, SF)
