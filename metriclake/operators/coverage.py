@@ -1,7 +1,6 @@
 """Which cells are proven, and what may be compared: run intervals, coverage, gaps, providers side by side.
 
-Interval joins are bucketed by day: a run is exploded to the days it touches, so that containment becomes an
-equality join with a residual condition instead of a nested loop.
+Days of runs are exploded, so that cells join runs by equality; which run brought a fact is found by a plane sweep.
 """
 
 from __future__ import annotations
@@ -11,6 +10,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from metriclake.operators import sweep
+from metriclake.sources.shared import materialised
+
 
 def days_of(start: Column, end: Column) -> Column:
     """The calendar days that a half-open interval touches."""
@@ -37,14 +39,26 @@ def covered_cells(cells: DataFrame, runs: DataFrame) -> DataFrame:
     return cells.join(ok.filter(whole).select("site_id", "source", "day"), ["site_id", "source", "day"], "left_semi")
 
 
-def attribute(facts: DataFrame, runs: DataFrame, key: list[str]) -> DataFrame:
-    """Facts with the run_id of the one successful run that was under way when they were observed and whose
-    window contains them; facts with no such run, or several, are left out. key names a fact."""
-    under = runs.filter("status = 'success'").select("run_id", "site_id", "source", "window_start", "window_end", "started_at", "finished_at", F.explode(days_of(F.col("window_start"), F.col("window_end"))).alias("_day"))
-    found = facts.withColumn("_day", F.to_date("start_ts")).join(under, ["site_id", "source", "_day"])
-    inside = (F.col("start_ts") >= F.col("window_start")) & (F.col("end_ts") <= F.col("window_end")) & F.col("observed_at").between(F.col("started_at"), F.col("finished_at"))
-    hits = found.filter(inside).withColumn("_runs", F.count("*").over(Window.partitionBy(*key)))
-    return hits.filter("_runs = 1").drop("_runs", "_day", "window_start", "window_end", "started_at", "finished_at")
+def attribute(facts: DataFrame, runs: DataFrame, bindings: DataFrame) -> DataFrame:
+    """Facts (site_id, source, start_ts, end_ts, observed_at) with the run_id of the run that brought them.
+
+    A fact stays if exactly one run that brought data (result_kind) was under way when it was observed and holds its interval,
+    if that run is the one that finished last (then of the largest run_id) of all runs that hold the interval, whether they brought data or proved it empty, and if
+    its binding_key is one of bindings. A run holds what lies between window_start and the earlier of window_end and data_through. Failed
+    and unfinished runs take no part. Facts of one moment and interval share one answer, so the sweeps see each only once.
+    """
+    key, ends = ["site_id", "source"], F.least("window_end", F.coalesce("data_through", "window_end"))
+    done = runs.filter("status = 'success' AND finished_at IS NOT NULL AND result_kind IN ('data', 'empty')")
+    window = done.select(*key, "result_kind", F.col("run_id").cast("string").alias("_name"), *[sweep.micros(c).alias(n) for c, n in (("started_at", "_begun"), ("finished_at", "_rank"), ("window_start", "_low"))], sweep.micros(ends).alias("_high"))
+    asked = facts.select(*key, *[sweep.micros(c).alias(n) for c, n in (("observed_at", "_at"), ("start_ts", "_start"), ("end_ts", "_end"))]).distinct()
+    owners = materialised(sweep.stabbed(asked, window.filter("result_kind = 'data'").withColumns({"_from": F.col("_begun"), "_to": F.col("_rank")}), key, only=True))
+    cells = owners.select(*key, F.col("_start").alias("_at"), "_start", "_end").distinct()
+    latest = sweep.stabbed(cells, window.withColumns({"_from": F.col("_low"), "_to": F.col("_high")}), key, only=False)
+    sure = owners.join(latest.drop("_at"), [*key, "_start", "_end", "_name"])
+    current = runs.join(bindings.select("binding_key").distinct(), "binding_key", "left_semi").select(*key, F.col("run_id").cast("string").alias("_name"), "run_id")
+    found = sure.join(current.distinct(), [*key, "_name"]).drop("_name")
+    at = {"_at": sweep.micros("observed_at"), "_start": sweep.micros("start_ts"), "_end": sweep.micros("end_ts")}
+    return facts.withColumns(at).join(found, [*key, *at]).drop(*at)
 
 
 def latest_run_per_day(runs: DataFrame) -> DataFrame:

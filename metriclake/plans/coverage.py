@@ -40,16 +40,23 @@ def _(t: Tables):
     return ops.covered_cells(spine(t), t.runs)
 
 
+HOLDS = "r.window_start <= f.start_ts AND least(r.window_end, coalesce(r.data_through, r.window_end)) >= f.end_ts"
+
+
 @query(
     "attribute_facts_to_runs",
-    "SELECT client_id, site_id, source, metric, route, search_type, day, run_id FROM (SELECT f.client_id, f.site_id, f.source, f.metric, f.route, f.search_type, f.day, r.run_id, COUNT(*) OVER (PARTITION BY f.client_id, f.site_id, f.source, f.metric, f.route, f.search_type, f.day) AS n FROM facts f JOIN runs r ON r.site_id = f.site_id AND r.source = f.source AND r.status = 'success' AND r.window_start <= f.start_ts AND r.window_end >= f.end_ts AND f.observed_at BETWEEN r.started_at AND r.finished_at) WHERE n = 1",
+    f"asked AS (SELECT DISTINCT site_id, source, observed_at, start_ts, end_ts FROM facts), ok AS (SELECT * FROM ledger WHERE status = 'success' AND finished_at IS NOT NULL),"
+    f" owner AS (SELECT f.site_id, f.source, f.observed_at, f.start_ts, f.end_ts, MIN(run_id) AS run_id, MIN(binding_key) AS binding_key FROM asked f JOIN ok r ON r.site_id = f.site_id AND r.source = f.source AND {HOLDS} AND f.observed_at BETWEEN r.started_at AND r.finished_at WHERE result_kind = 'data' GROUP BY ALL HAVING COUNT(*) = 1),"
+    f" newest AS (SELECT f.site_id, f.source, f.start_ts, f.end_ts, arg_max(run_id, (finished_at, run_id)) AS run_id FROM (SELECT DISTINCT site_id, source, start_ts, end_ts FROM asked) f JOIN ok r ON r.site_id = f.site_id AND r.source = f.source AND {HOLDS} GROUP BY ALL)"
+    " SELECT client_id, site_id, source, metric, route, search_type, day, run_id FROM facts JOIN owner USING (site_id, source, observed_at, start_ts, end_ts) SEMI JOIN newest USING (site_id, source, start_ts, end_ts, run_id) WHERE binding_key <> 'site-3|web'",
     "facts",
-    "runs",
+    "ledger",
 )
 def _(t: Tables):
+    """Site 3 gave up its binding to the web provider."""
     facts = t.facts.withColumns({"route": F.col("dims")["route"], "search_type": F.col("dims")["search_type"]})
-    key = ["client_id", "site_id", "source", "metric", "route", "search_type", "start_ts"]
-    return ops.attribute(facts, t.runs, key).select("client_id", "site_id", "source", "metric", "route", "search_type", F.to_date("start_ts").alias("day"), "run_id")
+    bindings = t.ledger.select("binding_key").distinct().filter("binding_key <> 'site-3|web'")
+    return ops.attribute(facts, t.ledger, bindings).select("client_id", "site_id", "source", "metric", "route", "search_type", F.to_date("start_ts").alias("day"), "run_id")
 
 
 def overlapping(t: Tables):

@@ -33,6 +33,16 @@ CTES = {
  CASE WHEN errors * 4 > n THEN 'failed' ELSE 'success' END AS status, n AS points_written, day FROM
  (SELECT site_id, day, MAX(ts) AS last_ts, COUNT(*) FILTER (event_type = 'error') AS errors, COUNT(*) AS n FROM hits GROUP BY ALL),
  (SELECT unnest(['search', 'web']) AS source) WHERE day(day) % 6 <> 0""",
+    ),
+    "ledger": (
+        ("runs",),
+        """SELECT run_id, binding_key, site_id, source, window_start, window_end, started_at, finished_at, status, 'data' AS result_kind,
+ CASE WHEN day(window_start) % 5 = 0 THEN window_start + INTERVAL 12 HOURS END AS data_through FROM runs UNION ALL
+ SELECT site_id || '|' || source || '|' || kind || '|' || strftime(day, '%Y-%m-%d'), site_id || '|' || source, site_id, source,
+ CASE kind WHEN 'again' THEN CAST(day AS TIMESTAMP) - INTERVAL 2 DAYS WHEN 'month' THEN CAST(date_trunc('month', day) AS TIMESTAMP) ELSE TIMESTAMP '2015-01-01' END, CAST(day + 1 AS TIMESTAMP),
+ CASE kind WHEN 'years' THEN TIMESTAMP '2015-01-01' ELSE CAST(day AS TIMESTAMP) END, CASE kind WHEN 'years' THEN TIMESTAMP '2023-12-31' ELSE last_ts END,
+ CASE kind WHEN 'month' THEN 'failed' ELSE 'success' END, CASE WHEN kind = 'again' AND day(day) % 12 <> 0 THEN 'empty' ELSE 'data' END, NULL
+ FROM (SELECT site_id, day, MAX(ts) AS last_ts FROM hits WHERE day(day) % 6 = 0 GROUP BY ALL), (SELECT unnest(['search', 'web']) AS source), (SELECT unnest(['again', 'month', 'years']) AS kind)""",
     ),
     "pair": (
         ("hits",),

@@ -101,6 +101,41 @@ class Tables:
             F.col("n").alias("points_written"),
         )
 
+    @cached_property
+    def ledger(self) -> DataFrame:
+        """runs with what they brought and how far it reaches, among runs of three days, of whole months and of years: on
+        every sixth day two days are fetched again, or proven empty; each month had a run that failed, and a run of years
+        ended before all others. Every fifth day's run reaches to noon only."""
+        daily = self.runs.select(
+            "run_id", "binding_key", "site_id", "source", "window_start", "window_end", "started_at", "finished_at", "status",
+            F.lit("data").alias("result_kind"),
+            F.when(F.dayofmonth("window_start") % 5 == 0, F.col("window_start") + F.expr("INTERVAL 12 HOURS")).alias("data_through"),
+        )
+        days = self.hits.groupBy("site_id", "day").agg(F.max("ts").alias("finished_at"))
+        again = days.filter("dayofmonth(day) % 6 = 0").withColumn("source", F.explode(F.array(F.lit("search"), F.lit("web"))))
+        start, long_ago = F.col("day").cast("timestamp_ntz"), F.lit("2015-01-01").cast("timestamp_ntz")
+        kinds = F.explode(
+            F.array(
+                F.struct(F.lit("again").alias("kind"), F.date_sub("day", 2).cast("timestamp_ntz").alias("low"), start.alias("begun"), F.lit("success").alias("status"), F.when(F.dayofmonth("day") % 12 == 0, "data").otherwise("empty").alias("result_kind")),
+                F.struct(F.lit("month").alias("kind"), F.trunc("day", "month").cast("timestamp_ntz").alias("low"), start.alias("begun"), F.lit("failed").alias("status"), F.lit("data").alias("result_kind")),
+                F.struct(F.lit("years").alias("kind"), long_ago.alias("low"), long_ago.alias("begun"), F.lit("success").alias("status"), F.lit("data").alias("result_kind")),
+            )
+        )
+        more = again.select("*", kinds.alias("r")).select(
+            F.concat_ws("|", "site_id", "source", "r.kind", F.date_format("day", "yyyy-MM-dd")).alias("run_id"),
+            F.concat_ws("|", "site_id", "source").alias("binding_key"),
+            "site_id",
+            "source",
+            F.col("r.low").alias("window_start"),
+            F.date_add("day", 1).cast("timestamp_ntz").alias("window_end"),
+            F.col("r.begun").alias("started_at"),
+            F.when(F.col("r.kind") == "years", F.lit("2023-12-31").cast("timestamp_ntz")).otherwise(F.col("finished_at")).alias("finished_at"),
+            F.col("r.status").alias("status"),
+            F.col("r.result_kind").alias("result_kind"),
+            F.lit(None).cast("timestamp_ntz").alias("data_through"),
+        )
+        return daily.unionByName(more)
+
     @cached_property
     def pair(self) -> DataFrame:
         """Daily values of two providers for the same sites; not every day has both."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 import pytest
 from hypothesis import given, settings
@@ -31,11 +31,49 @@ def test_bounded_sum_refuses_parts_negatives_and_large_totals(spark):
     assert (found["a"], found["b"], found["c"], found["d"], found["e"]) == (7, None, None, None, None)
 
 
-def test_attribution_needs_exactly_one_run(spark):
-    t = lambda d, h=0: datetime(2024, 1, d, h)
-    runs = spark.createDataFrame([("r1", "s", "x", t(1), t(2), t(1), t(3), "success"), ("r2", "s", "x", t(2), t(3), t(2), t(4), "success"), ("r3", "s", "x", t(2), t(4), t(3), t(4), "success")], "run_id string, site_id string, source string, window_start timestamp_ntz, window_end timestamp_ntz, started_at timestamp_ntz, finished_at timestamp_ntz, status string")
-    rows = spark.createDataFrame([(1, "s", "x", t(1), t(2), t(2)), (2, "s", "x", t(2), t(3), t(3, 5)), (3, "s", "x", t(5), t(6), t(6))], "id int, site_id string, source string, start_ts timestamp_ntz, end_ts timestamp_ntz, observed_at timestamp_ntz")
-    assert [(r.id, r.run_id) for r in coverage.attribute(rows, runs, ["id"]).collect()] == [(1, "r1")]
+RUNS = "run_id string, site_id string, source string, binding_key string, status string, result_kind string, window_start timestamp_ntz, window_end timestamp_ntz, data_through timestamp_ntz, started_at timestamp_ntz, finished_at timestamp_ntz"
+FACTS = "id int, site_id string, source string, start_ts timestamp_ntz, end_ts timestamp_ntz, observed_at timestamp_ntz"
+
+
+def attributed(rows, runs, bindings):
+    """Each fact with its run, by comparing all with all."""
+    out = []
+    ok = [r for r in runs if r[4] == "success" and r[10] is not None and r[5] in ("data", "empty")]
+    for f in rows:
+        holds = [r for r in ok if (r[1], r[2]) == (f[1], f[2]) and f[3] and r[6] <= f[3] and min(r[7], r[8] or r[7]) >= f[4]]
+        under = [r for r in holds if r[5] == "data" and f[5] and r[9] <= f[5] <= r[10]]
+        if len(under) == 1 and under[0] == max(holds, key=lambda r: (r[10], r[0])) and under[0][3] in bindings:
+            out.append((f[0], under[0][0]))
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("slice_", "held"), [(200_000, 1 << 20), (7, 5), (1, 1)])
+def test_attribution_equals_brute_force(spark, monkeypatch, slice_, held):
+    """Runs of hours and of years, one moment with many facts, slices of all sizes: runs cross the borders of tasks."""
+    import random
+
+    from metriclake.operators import sweep
+
+    monkeypatch.setattr(sweep, "SLICE", slice_)
+    monkeypatch.setattr(sweep, "HELD", held)
+    rng = random.Random(4)
+    at = lambda h: datetime(2024, 1, 1) + timedelta(hours=h)
+    runs, rows = [], []
+    for i in range(120):
+        begun = rng.randrange(0, 100)
+        low = rng.choice([begun - rng.randrange(0, 9)] * 9 + [rng.randrange(-9000, 0)])
+        runs.append((f"r{i}", f"s{i % 2}", "x", f"b{i % 5}", rng.choice(["success"] * 4 + ["failed"]), rng.choice(["data", "data", "empty", None]), at(low), at(low + rng.choice([2, 4, 8, 30])), rng.choice([None, None, at(80)]), at(begun), rng.choice([at(begun + rng.randrange(0, 4)), at(begun + 1), None])))
+    for i in range(300):
+        seen = rng.choice([50, rng.randrange(0, 105)])
+        start = seen - rng.randrange(0, 7)
+        rows.append((i, f"s{rng.choice([0, 0, 1, 2])}", "x", at(start), at(start + rng.choice([0, 1, 1, 24])), at(seen)))
+    rows += [(900, "s0", "x", None, at(3), at(4)), (901, None, "x", at(2), at(3), at(4)), (902, "s0", "x", at(2), at(3), None)]
+    bindings = {"b0", "b1", "b2", "b3"}
+    want = attributed(rows, runs, bindings)
+    assert len(want) > 10
+    found = coverage.attribute(spark.createDataFrame(rows, FACTS), spark.createDataFrame(runs, RUNS), spark.createDataFrame([(b,) for b in bindings], "binding_key string"))
+    assert sorted((r.id, r.run_id) for r in found.collect()) == want
+    assert coverage.attribute(spark.createDataFrame([], FACTS), spark.createDataFrame(runs, RUNS), spark.createDataFrame([("b1",)], "binding_key string")).count() == 0
 
 
 def test_divergence_exactly_half_is_unknown(spark):
