@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from metriclake.operators import coverage, facts, lake as ops
+from metriclake.operators.definitions import broken_references
 from metriclake.plans.registry import query
 from metriclake.sources.derived import Tables
 from metriclake.sources.shared import shared_folder
@@ -122,11 +123,39 @@ def _(t: Tables):
     return rows.join(retirements, "activation_id", "left_anti").withColumn("k", F.row_number().over(last)).filter("k = 1").select("identity", "activation_id")
 
 
-@query("definition_reference_check", "SELECT l_orderkey AS definition, l_partkey AS missing FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND p_size > 10) GROUP BY ALL")
+KIND = "CASE WHEN {p} % 10 < 6 THEN 'goal' WHEN {p} % 10 < 8 THEN 'segment' WHEN {p} % 10 = 8 THEN 'alert_rule' ELSE 'report_subscription' END"
+
+
+def versions(t: Tables):
+    """A version for each part but every 13th: goals made of goals in chains and some cycles, alerts and subscriptions on them."""
+    p = F.col("p_partkey")
+
+    def v(number):
+        return F.concat(F.lit("v"), number.cast("string"))
+
+    goals = F.array_compact(F.array(v(F.when((p / 10).cast("long") % 16 == 0, (p / 2).cast("long")).otherwise(p - 10)), F.when(p % 7 == 0, v(p - 20)), F.when(p % 97 == 0, v(p + 10))))
+    content = F.struct(
+        F.when(p % 10 < 6, goals).when(p % 10 == 9, F.array(v(p - 4), v(p - 9))).alias("goal_version_ids"),
+        F.when(p % 10 == 8, v(p - 3)).alias("goal_version_id"),
+        F.when(p % 10 == 8, v(F.when(p % 11 == 0, p - 4).otherwise(p - 2))).when(p % 10 == 9, v(p - 3)).alias("segment_version_id"),
+    )
+    return t.base("part").filter("p_partkey % 13 <> 0").select(v(p).alias("version_id"), F.expr(KIND.format(p="p_partkey")).alias("definition_type"), F.to_json(content).alias("content_json"))
+
+
+@query(
+    "definition_reference_check",
+    f"n AS (SELECT p_partkey AS p, {KIND.format(p='p_partkey')} AS kind FROM part WHERE p_partkey % 13 <> 0),"
+    " names AS (SELECT p, CASE WHEN (p // 10) % 16 = 0 THEN p // 2 ELSE p - 10 END AS r, 'goal' AS expected FROM n WHERE kind = 'goal' UNION SELECT p, p - 20, 'goal' FROM n WHERE kind = 'goal' AND p % 7 = 0 UNION SELECT p, p + 10, 'goal' FROM n WHERE kind = 'goal' AND p % 97 = 0"
+    " UNION SELECT p, p - 3, 'goal' FROM n WHERE kind = 'alert_rule' UNION SELECT p, CASE WHEN p % 11 = 0 THEN p - 4 ELSE p - 2 END, 'segment' FROM n WHERE kind = 'alert_rule'"
+    " UNION SELECT p, p - x, 'goal' FROM n, (SELECT unnest([4, 9]) AS x) WHERE kind = 'report_subscription' UNION SELECT p, p - 3, 'segment' FROM n WHERE kind = 'report_subscription'),"
+    " named AS (SELECT names.*, n.kind AS found FROM names LEFT JOIN n ON n.p = r), paths AS (SELECT p AS a, r AS b FROM named WHERE found = expected UNION SELECT a, r FROM paths JOIN named ON p = b AND found = expected),"
+    " reached AS (SELECT a, b FROM paths WHERE a <> b UNION ALL SELECT p, p FROM n)"
+    " SELECT 'v' || a AS root_id, 'v' || b AS version_id, 'v' || r AS reference_id, expected, found, CASE WHEN found IS NULL THEN 'missing' ELSE 'type' END AS problem, a IN (SELECT a FROM paths WHERE a = b) AS in_cycle"
+    " FROM reached JOIN named ON p = b WHERE found IS DISTINCT FROM expected",
+    recursive=True,
+)
 def _(t: Tables):
-    references = t.base("lineitem").select(F.col("l_orderkey").alias("definition"), F.col("l_partkey").alias("missing")).distinct()
-    known = t.base("part").filter("p_size > 10").select(F.col("p_partkey").alias("missing"))
-    return references.join(known, "missing", "left_anti")
+    return broken_references(versions(t))
 
 
 @query("integrity_audit_acquisition", "SELECT COUNT(*) AS n_runs, COUNT(*) FILTER (finished_at < started_at) AS n_reversed, COUNT(*) FILTER (points_written <> real) AS n_count_differs FROM (SELECT r.*, h.n AS real FROM runs r LEFT JOIN (SELECT site_id, day, COUNT(*) AS n FROM hits WHERE event_id % 1000 <> 7 GROUP BY ALL) h USING (site_id, day))", "runs")

@@ -312,3 +312,25 @@ def test_redirect_lines(spark):
         10: ("/q/", None, 301, "unsafe"),
         11: ("/e/", None, 301, "unsafe"),
     }
+
+
+def test_broken_references_over_chains_and_cycles(spark):
+    import json
+
+    from metriclake.operators import definitions
+
+    goal = lambda *ids: json.dumps({"goal_version_ids": ids})
+    rows = [(f"g{i}", "goal", goal(f"g{i + 1}")) for i in range(10)] + [("g10", "goal", goal("gone", "s"))]
+    rows += [("c1", "goal", goal("c2")), ("c2", "goal", goal("c3")), ("c3", "goal", goal("c1", "lost")), ("s", "segment", '{"goal_version_ids": ["no field of segments"]}')]
+    rows += [("a", "alert_rule", '{"goal_version_id": "s", "segment_version_id": "s"}'), ("r", "report_subscription", '{"goal_version_ids": ["c1", "g9", null], "segment_version_id": "c1"}')]
+    rows += [("bad", "goal", "{no json"), ("none", "goal", None), ("s", "segment", "{}")]
+    df = spark.createDataFrame(rows, "version_id string, definition_type string, content_json string")
+    got = {tuple(r) for r in definitions.broken_references(df).collect()}
+    want = {(f"g{i}", "g10", x, "goal", k, p, False) for i in range(11) for x, k, p in (("gone", None, "missing"), ("s", "segment", "type"))}
+    want |= {(f"c{i}", "c3", "lost", "goal", None, "missing", True) for i in (1, 2, 3)}
+    want |= {("a", "a", "s", "goal", "segment", "type", False), ("r", "r", "c1", "segment", "goal", "type", False), ("r", "c3", "lost", "goal", None, "missing", False)}
+    want |= {("r", "g10", "gone", "goal", None, "missing", False), ("r", "g10", "s", "goal", "segment", "type", False)}
+    assert got == want
+    chain = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert definitions.closure(chain).count() == 200 * 201 // 2
+    assert definitions.broken_references(df.limit(0)).count() == 0
