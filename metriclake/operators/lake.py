@@ -6,7 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
+
+from metriclake.sources.commits import Conflict, Log
 
 PARTITION = ("site_id", "namespace", "data_date", "epoch")
 #: Rows of a file, about: a large partition is written by several tasks.
@@ -32,40 +33,49 @@ def read_partition(rows: DataFrame, site: str, date: str) -> DataFrame:
     return rows.filter((F.col("site_id") == site) & (F.col("data_date") == F.lit(date).cast("date")))
 
 
-def publish(rows: DataFrame, expected: DataFrame, folder: str) -> DataFrame:
+def publish(rows: DataFrame, expected: DataFrame, folder: str, base: int | None = None) -> DataFrame:
     """Write new epoch partitions and return the folder's manifest.
 
     rows has PARTITION's columns; expected has them and row_count, clicks, impressions. Each call writes a batch of its
-    own, then a manifest that names it, so a reader never sees a partition that is not complete, and what a
-    call that died has left is never read. Partitions whose totals differ are kept apart (accepted=false). Epochs that the manifest
-    holds already are refused: publishing them again changes nothing.
+    own and then commits it in the folder's log, so what a call that died has left is never read. Partitions whose totals differ
+    are kept apart (accepted=false). Epochs that version `base` of the manifest (default: the newest) holds already are left out: publishing them again changes
+    nothing. If others committed since, their batches are looked at: partitions of other epochs are no matter, and the
+    commit is tried again behind them; if one of them accepted a partition of this batch, all of this batch is refused (Conflict).
     """
     spark, batch = rows.sparkSession, uuid.uuid4().hex
+    log = Log(spark, folder)
+    base = log.latest() if base is None else base
     found = control_totals(rows, *PARTITION)
-    held = read_manifest(spark, folder)
+    held = read_manifest(spark, folder, base)
     if held is not None:
         found = found.join(held.filter("accepted").select(*PARTITION), list(PARTITION), "left_anti")
     wanted = expected.select(*PARTITION, F.col("row_count").alias("_n"), F.col("clicks").alias("_c"), F.col("impressions").alias("_i"))
     same = (F.col("row_count") == F.col("_n")) & (F.col("clicks") == F.col("_c")) & (F.col("impressions") == F.col("_i")) & F.col("non_negative")
-    judged = found.join(wanted, list(PARTITION), "left").withColumn("accepted", F.coalesce(same, F.lit(False))).drop("_n", "_c", "_i").withColumn("batch", F.lit(batch))
-    judged.write.parquet(f"{folder}/judged/{batch}")  # decided once, before any row moves
-    judged = spark.read.schema(judged.schema).parquet(f"{folder}/judged/{batch}")
+    judged = found.join(wanted, list(PARTITION), "left").withColumn("accepted", F.coalesce(same, F.lit(False))).drop("_n", "_c", "_i")
+    judged.write.parquet(f"{folder}/judged/batch={batch}")  # decided once, before any row moves
+    judged = spark.read.schema(judged.schema).parquet(f"{folder}/judged/batch={batch}")
     parts = rows.join(judged.select(*PARTITION, "accepted", "row_count"), list(PARTITION))
     part = F.pmod(F.xxhash64(*rows.columns), F.ceil(F.col("row_count") / FILE_ROWS).cast("int"))
     dealt = parts.withColumn("_part", part).repartition(*PARTITION, "_part").drop("_part", "row_count")
     dealt.write.partitionBy("accepted", *PARTITION).parquet(f"{folder}/data/batch={batch}")
-    judged.write.mode("append").parquet(f"{folder}/manifest")
+    while not log.put(base + 1, batch):
+        newest = log.latest()
+        since = read_manifest(spark, folder, newest, after=base).filter("accepted")
+        if not judged.filter("accepted").join(since, list(PARTITION), "left_semi").isEmpty():
+            raise Conflict(f"partitions of batch {batch} were published after version {base}")
+        base = newest
     return read_manifest(spark, folder)
 
 
-def read_manifest(spark: SparkSession, folder: str) -> DataFrame | None:
-    """All published partitions, accepted or not, with their batches; None in a new folder."""
-    try:
-        return spark.read.parquet(f"{folder}/manifest")
-    except AnalysisException as problem:
-        if problem.getCondition() != "PATH_NOT_FOUND":
-            raise
+def read_manifest(spark: SparkSession, folder: str, version: int | None = None, after: int = -1) -> DataFrame | None:
+    """All partitions, accepted or not, that commits after..version published, with their batches and versions; None if
+    there are none yet."""
+    log = Log(spark, folder)
+    version = log.latest() if version is None else version
+    if version < 0:
         return None
+    commits = log.read(version, after).select(F.col("name").alias("batch"), "version")
+    return spark.read.parquet(f"{folder}/judged").join(commits, "batch")
 
 
 def current_partitions(manifest: DataFrame) -> DataFrame:
@@ -73,10 +83,10 @@ def current_partitions(manifest: DataFrame) -> DataFrame:
     return manifest.filter("accepted").groupBy("site_id", "namespace", "data_date").agg(F.max("epoch").alias("epoch"))
 
 
-def read_current(spark: SparkSession, folder: str) -> DataFrame:
-    """All rows of current partitions; none of a folder in which nothing was accepted yet."""
+def read_current(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
+    """All rows of the partitions that are current at a version (default: the newest); none before anything was accepted."""
     rows = spark.read.parquet(f"{folder}/data").withColumn("data_date", F.col("data_date").cast("date")).filter("accepted = 'true'")
-    manifest = read_manifest(spark, folder)
+    manifest = read_manifest(spark, folder, version)
     if manifest is None:
         return rows.limit(0).drop("accepted", "batch")
     named = manifest.filter("accepted").join(current_partitions(manifest), list(PARTITION)).select(*PARTITION, "batch").distinct()

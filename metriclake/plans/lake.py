@@ -10,20 +10,25 @@ from pyspark.sql import functions as F
 from metriclake.operators import coverage, facts, lake as ops
 from metriclake.operators.definitions import broken_references
 from metriclake.plans.registry import query
+from metriclake.sources.commits import Conflict
 from metriclake.sources.derived import Tables
 from metriclake.sources.shared import shared_folder
 
 LOG = "log AS (SELECT site_id, namespace, data_date, epoch, MAX(l) AS published_at, COUNT(*) AS row_count, SUM(clicks) AS clicks, SUM(impressions) AS impressions, SUM(position_sum) AS position_sum FROM (SELECT *, l_orderkey AS l FROM bulk) GROUP BY ALL) "
 
 
+def totals(rows):
+    return rows.groupBy(*ops.PARTITION).agg(F.max("l_orderkey").alias("published_at"), F.count("*").alias("row_count"), F.sum("clicks").alias("clicks"), F.sum("impressions").alias("impressions"), F.sum("position_sum").alias("position_sum"))
+
+
 def log(t: Tables):
-    return t.bulk.groupBy(*ops.PARTITION).agg(F.max("l_orderkey").alias("published_at"), F.count("*").alias("row_count"), F.sum("clicks").alias("clicks"), F.sum("impressions").alias("impressions"), F.sum("position_sum").alias("position_sum"))
+    return totals(t.bulk)
 
 
-def expected(t: Tables):
+def expected(rows):
     """Totals that the provider reported: wrong for the last epoch of one site."""
     wrong = (F.col("site_id") == "site-3") & (F.col("epoch") == 6)
-    return log(t).withColumn("row_count", F.when(wrong, F.col("row_count") + 1).otherwise(F.col("row_count")))
+    return totals(rows).withColumn("row_count", F.when(wrong, F.col("row_count") + 1).otherwise(F.col("row_count")))
 
 
 def manifest(t: Tables):
@@ -44,26 +49,36 @@ def _(t: Tables):
     return ops.control_totals(t.bulk, "site_id", "namespace").withColumn("position_sum", F.col("position_sum").cast("double"))
 
 
-@query("bulk_read_partition", MANIFEST + "SELECT namespace, epoch, impressions, clicks, l_orderkey FROM bulk SEMI JOIN cur USING (site_id, namespace, data_date, epoch) WHERE site_id = 'site-2' AND data_date = DATE '1998-01-01'", "bulk")
+YEARLY = LOG.replace("FROM bulk", "FROM yearly").replace("log AS", "yearly AS (SELECT * REPLACE (CAST(date_trunc('year', data_date) AS DATE) AS data_date) FROM bulk), log AS", 1) + MANIFEST.removeprefix(LOG)
+
+
+@query("bulk_read_partition", YEARLY + "SELECT namespace, epoch, impressions, clicks, l_orderkey FROM yearly SEMI JOIN cur USING (site_id, namespace, data_date, epoch) WHERE site_id = 'site-2' AND data_date = DATE '1998-01-01'", "bulk")
 def _(t: Tables):
     """One partition of a published lake: site and date are folders, so no other files are read."""
     return ops.read_partition(ops.read_current(t.spark, published(t)[0]), "site-2", "1998-01-01").select("namespace", "epoch", "impressions", "clicks", "l_orderkey")
 
 
 def published(t: Tables):
-    """(folder, manifest) of a lake of two months' exports, published in two batches of which the second repeats some epochs."""
-    rows = t.bulk.filter("data_date >= DATE'1998-01-01' AND data_date < DATE'1998-03-01'")
+    """(folder, manifest) of a lake of all exports by years, published in two batches that started on one version: the second
+    has epochs of its own, so it is committed behind the first. A third that repeats some of them is refused."""
+    rows = t.bulk.withColumn("data_date", F.trunc("data_date", "year"))
     folder = f"{shared_folder(t.spark)}/lake-{uuid.uuid4().hex}"
-    ops.publish(rows.filter("epoch < 4"), expected(t), folder)
-    return folder, ops.publish(rows.filter("epoch > 1"), expected(t), folder)
+    wanted = expected(rows)
+    ops.publish(rows.filter("epoch < 4"), wanted, folder)
+    manifest = ops.publish(rows.filter("epoch >= 4"), wanted, folder, base=-1)
+    try:
+        ops.publish(rows.filter("epoch > 1"), wanted, folder, base=-1)
+    except Conflict:
+        return folder, manifest
+    raise AssertionError("an epoch was published twice")
 
 
-@query("bulk_write_partition", MANIFEST + "SELECT site_id, namespace, data_date, epoch, row_count, accepted FROM manifest WHERE data_date >= DATE '1998-01-01' AND data_date < DATE '1998-03-01'", "bulk")
+@query("bulk_write_partition", YEARLY + "SELECT site_id, namespace, data_date, epoch, row_count, accepted FROM manifest", "bulk")
 def _(t: Tables):
     return published(t)[1].select("site_id", "namespace", "data_date", "epoch", "row_count", "accepted")
 
 
-@query("bulk_current_view", MANIFEST + "SELECT site_id, namespace, data_date, epoch, COUNT(*) AS n, CAST(SUM(impressions) AS BIGINT) AS impressions FROM bulk SEMI JOIN cur USING (site_id, namespace, data_date, epoch) WHERE data_date >= DATE '1998-01-01' AND data_date < DATE '1998-03-01' GROUP BY ALL", "bulk")
+@query("bulk_current_view", YEARLY + "SELECT site_id, namespace, data_date, epoch, COUNT(*) AS n, CAST(SUM(impressions) AS BIGINT) AS impressions FROM yearly SEMI JOIN cur USING (site_id, namespace, data_date, epoch) GROUP BY ALL", "bulk")
 def _(t: Tables):
     return ops.read_current(t.spark, published(t)[0]).groupBy(*ops.PARTITION).agg(F.count("*").alias("n"), F.sum("impressions").alias("impressions"))
 

@@ -178,11 +178,9 @@ def test_publishing_again_changes_nothing(spark, tmp_path, monkeypatch):
     rows = spark.createDataFrame([("s", "n", date(2024, 1, 1), e, 1, 2, 3) for e in (0, 0, 1)], kind)
     expected = spark.createDataFrame([("s", "n", date(2024, 1, 1), 0, 2, 2, 4), ("s", "n", date(2024, 1, 1), 1, 9, 1, 2)], "site_id string, namespace string, data_date date, epoch int, row_count long, clicks long, impressions long")
     folder = str(tmp_path / "lake")
-    # a try that dies after its data, before its manifest, leaves nothing to be read
+    # a try that dies after its data, before its commit, leaves nothing to be read
     with monkeypatch.context() as m, pytest.raises(RuntimeError):
-        m.setattr(lake, "read_manifest", lambda *_: None)
-        real = type(rows.write).mode
-        m.setattr(type(rows.write), "mode", lambda w, mode: (_ for _ in ()).throw(RuntimeError("lost")) if mode == "append" else real(w, mode))
+        m.setattr(lake.Log, "put", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
         lake.publish(rows, expected, folder)
     assert lake.read_current(spark, folder).count() == 0
     for _ in range(2):
@@ -192,19 +190,80 @@ def test_publishing_again_changes_nothing(spark, tmp_path, monkeypatch):
     assert [(r.epoch, r.impressions) for r in lake.read_current(spark, folder).collect()] == [(1, 2)]
 
 
-def test_merges_rewrite_only_touched_buckets_and_may_be_repeated(spark, tmp_path):
-    from metriclake.streaming import jobs
-
-    target = str(tmp_path / "table")
-    merge = jobs.merge_into(target, ["k"], lambda: [F.desc("at")], buckets=8)
-    batches = [[(1, 1, "a"), (2, 1, "b"), (3, 1, "c")], [(2, 2, "d"), (3, 0, "late")], [(4, 3, "e")]]
+def test_two_publishers_on_one_version(spark, tmp_path):
+    """Both saw an empty folder. Of those with a partition in common one is refused; others are committed one behind the other."""
+    kind = "site_id string, namespace string, data_date date, epoch int, clicks long, impressions long, position_sum long"
+    rows = spark.createDataFrame([("s", "n", date(2024, 1, 1), e, 1, 2, 3) for e in (0, 0, 1, 2)], kind)
+    expected = lake.control_totals(rows, *lake.PARTITION)
+    folder = str(tmp_path / "lake")
+    lake.publish(rows.filter("epoch = 0"), expected, folder, base=-1)
+    with pytest.raises(lake.Conflict):
+        lake.publish(rows.filter("epoch < 2"), expected, folder, base=-1)
+    manifest = lake.publish(rows.filter("epoch = 1"), expected, folder, base=-1)
+    lake.publish(rows.filter("epoch >= 1"), expected, folder, base=1)
+    assert sorted((r.epoch, r.version, r.row_count) for r in manifest.collect()) == [(0, 0, 2), (1, 1, 1)]
+    assert [lake.read_current(spark, folder, v).count() for v in (0, 1, 2)] == [2, 1, 1]
+    assert lake.read_current(spark, folder).first().epoch == 2
+    log = lake.Log(spark, folder)
+    assert log.latest() == 2 and not log.put(2, "other") and log.put(3, "other", source=5)
+    assert [(r.version, r.source) for r in log.read(after=2).collect()] == [(3, 5)]
+
+
+def test_publishers_at_once_number_all_commits(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    def commit(i):
+        log, version = lake.Log(spark, str(tmp_path)), 0
+        while not log.put(version, f"n{i}"):
+            version += 1
+        return version
+
+    with ThreadPoolExecutor(8) as pool:
+        versions = list(pool.map(commit, range(40)))
+    found = lake.Log(spark, str(tmp_path)).read().collect()
+    assert sorted(r.version for r in found) == sorted(versions) == list(range(40))
+    assert {r.name for r in found} == {f"n{i}" for i in range(40)}
+
+
+def test_deltas_merge_on_read(spark, tmp_path):
+    """Batches write their own rows only; reads take the first of a key; repeats of a batch, compactions and lookups."""
+    from metriclake.streaming.deltas import DeltaTable
+
+    order = lambda: [F.desc("at")]
+    table = DeltaTable(spark, str(tmp_path / "t"), ["k"], order, share=0.5, least=4)
+    batches = [[(1, 1, "a"), (2, 1, "b"), (3, 1, "c"), (3, 0, "older")], [(2, 2, "d"), (3, 0, "late")], [(4, 3, "e")], [(None, 1, "n"), (2, 2, "same time, later batch")], [(9, 9, "z")]]
     frames = [spark.createDataFrame(b, "k int, at int, v string") for b in batches]
+    assert table.read() is None and table.log.latest() == -1
     for n in (0, 1, 1, 2, 2):
-        merge(frames[n], n)
-    rows = jobs.merged(spark, target, frames[0])
-    assert sorted(map(tuple, rows.collect())) == [(1, 1, "a"), (2, 2, "d"), (3, 1, "c"), (4, 3, "e")]
-    assert len(jobs.versions(spark, target)) <= 4 and sorted(set(jobs.versions(spark, target).values()))[-1] == 2
-    assert jobs.merged(spark, str(tmp_path / "none"), frames[0]).count() == 0
+        table.append(frames[n], n)
+    assert sorted(map(tuple, table.read().collect())) == [(1, 1, "a"), (2, 2, "d"), (3, 1, "c"), (4, 3, "e")]
+    assert [r.n for r in table.files().orderBy("version").collect()] == [3, 2, 1]
+    for n in (3, 3, 4):
+        table.append(frames[n], n)
+    rows = [(None, 1, "n"), (1, 1, "a"), (2, 2, "same time, later batch"), (3, 1, "c"), (4, 3, "e"), (9, 9, "z")]
+    assert sorted(map(tuple, table.read().collect()), key=repr) == sorted(rows, key=repr)
+    assert table.log.read().filter("kind = 'base'").count() >= 1
+    assert sorted(map(tuple, table.read(version=1).collect())) == [(1, 1, "a"), (2, 2, "d"), (3, 1, "c")]
+    assert sorted((r.v, r.current) for r in table.history().filter("k = 2").collect()) == [("b", False), ("d", False), ("same time, later batch", True)]
+    assert [tuple(r) for r in table.lookup(spark.createDataFrame([(2,), (77,)], "k int")).collect()] == [(2, 2, "same time, later batch")]
+
+
+def test_lookups_read_only_files_that_can_hold_the_keys(spark, tmp_path):
+    from metriclake.streaming.deltas import DeltaTable
+
+    table = DeltaTable(spark, str(tmp_path / "t"), ["k", "s"], lambda: [F.desc("at")], least=99)
+    for n in range(12):  # all files have the same range of keys: only Bloom filters tell them apart
+        some = spark.range(3000).select((F.col("id") * 12 + n).alias("k"), F.lit("x").alias("s"), F.lit(n).alias("at"))
+        table.append(some, n)
+    keys = spark.createDataFrame([(12 * i + 5, "x") for i in range(5, 45)], "k long, s string")
+    found = table.lookup(keys)
+    assert found.count() == 40 and {r.at for r in found.collect()} == {5}
+    files = table.candidates(keys).count()
+    assert 1 <= files <= 3
+    table.append(keys.withColumn("at", F.lit(99)), 12)
+    assert table.files().filter("version = 12").agg(F.sum("n")).first()[0] == 40
+    assert {r.at for r in table.lookup(keys).collect()} == {99}
+    assert table.lookup(spark.createDataFrame([(10**9, "x")], "k long, s string")).count() == 0
 
 
 def test_heatmap_keeps_unknown_apart_from_zero(spark):
