@@ -103,7 +103,7 @@ class DeltaTable:
         """name, file: the live files whose range and Bloom filter admit some of the keys."""
         asked = keys.select(F.struct(*self.keys).alias("_key"), F.xxhash64(F.lit("block"), *self.keys).alias("_hash"), F.array(*self.hashes()).alias("_bits")).distinct()
         byte = lambda bit: F.conv(F.hex(F.substring(F.col("bits"), (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        holds = F.forall("_bits", lambda bit: F.expr("shiftright(1, 0)") == F.getbit(byte(bit), (bit % 8).cast("int")).cast("int"))
+        holds = F.forall("_bits", lambda bit: F.getbit(byte(bit), (bit % 8).cast("int")) == 1)
         sizes = self.blooms().select("blocks").distinct()
         dealt = asked.join(F.broadcast(sizes)).withColumn("block", F.pmod("_hash", "blocks").cast("int"))  # numbers of blocks: few
         return self.blooms().join(dealt, ["blocks", "block"]).filter((F.col("_key") >= F.col("low")) & (F.col("_key") <= F.col("high")) & holds).select("name", "file").distinct()

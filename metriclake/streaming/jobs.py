@@ -1,7 +1,7 @@
 """Streaming jobs over landed files: upserts, dedup, watermarks, provisional revisions, daily rollups.
 
-Each runs what has arrived (trigger availableNow) and can be started again from its checkpoint; the merges are
-idempotent, so a batch that is tried twice changes nothing.
+Each runs what has arrived (trigger availableNow) and can be started again from its checkpoint. Keyed results are tables that
+merge when they are read (deltas.py): a batch adds its own rows only, and one that is tried twice changes nothing.
 """
 
 from __future__ import annotations
@@ -9,10 +9,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metriclake.sources.shared import shared_folder
+from metriclake.streaming.deltas import DeltaTable
 
 
 def read_files(spark: SparkSession, folder: str, name: str = "*.parquet") -> DataFrame:
@@ -30,73 +31,48 @@ def run(stream: DataFrame, each: Callable[[DataFrame, int], None], folder: str,
     query.awaitTermination()
 
 
-#: Buckets of a merged table; a batch rewrites those that it has keys of.
-BUCKETS = 16
+class RepeatedIdentity(ValueError):
+    """One batch brings an identity more than once."""
 
 
-def merge_into(target: str, keys: list[str], order: Callable[[], list], buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
-    """A batch function that keeps one row per key, the first by `order`, in buckets of keys with versions.
-
-    Batch n writes version n of the buckets it has keys of, from the latest versions before n of these buckets and its
-    rows; other buckets aren't touched, and a batch that is repeated writes the same again.
-    """
+def merge_into(table: DeltaTable, strict: bool = False) -> Callable[[DataFrame, int], None]:
+    """A batch function that adds batches to a table. strict: a batch with two rows of one key is an error, and adds nothing."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
-        touched = {r[0] for r in rows.select("bucket").distinct().collect()}  # at most `buckets`
-        before = {b: v for b, v in versions(spark, target, number).items() if b in touched}
-        if before:
-            rows = read_buckets(spark, target, before).select(*batch.columns, "bucket").unionByName(rows)
-        last = F.row_number().over(Window.partitionBy("bucket", *keys).orderBy(*order()))
-        rows.withColumn("_k", last).filter("_k = 1").drop("_k").write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/version={number}")
+        if strict and not batch.groupBy(*table.keys).agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+            raise RepeatedIdentity(f"batch {number} brings a key twice")
+        table.append(batch, number)
 
     return merge
 
 
-def versions(spark: SparkSession, target: str, before: int | None = None) -> dict[int, int]:
-    """The latest version of each bucket of a merged table, before a batch; none where there is no table yet."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    root = hadoop.Path(target)
-    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found: dict[int, int] = {}
-    for version in files.listStatus(root) if files.exists(root) else []:
-        number = int(version.getPath().getName().split("=")[1])
-        done = files.exists(hadoop.Path(version.getPath(), "_SUCCESS"))
-        for bucket in files.listStatus(version.getPath()) if done and (before is None or number < before) else []:
-            if bucket.isDirectory() and bucket.getPath().getName().startswith("bucket="):
-                b = int(bucket.getPath().getName().split("=")[1])
-                found[b] = max(number, found.get(b, -1))
-    return found
-
-
-def read_buckets(spark: SparkSession, target: str, which: dict[int, int]) -> DataFrame:
-    return spark.read.option("basePath", target).parquet(*[f"{target}/version={v}/bucket={b}" for b, v in sorted(which.items())]).drop("version")
+def keyed(stream: DataFrame, keys: list[str], order: Callable[[], list[Column]], strict: bool = False) -> DeltaTable:
+    """The table of a stream's rows by key, after all that has arrived."""
+    folder = work_folder(stream.sparkSession)
+    table = DeltaTable(stream.sparkSession, f"{folder}/table", keys, order)
+    run(stream, merge_into(table, strict), folder)
+    return table
 
 
-def merged(spark: SparkSession, target: str, schema: DataFrame) -> DataFrame:
-    """The rows of a merged table by their latest versions, with the columns of `schema`; none if no row came."""
-    found = versions(spark, target)
-    return read_buckets(spark, target, found).select(*schema.columns) if found else spark.createDataFrame([], schema.schema)
+def rows(table: DeltaTable, like: DataFrame) -> DataFrame:
+    """What a table holds, with the columns of `like`; none if no batch came."""
+    found = table.read()
+    return table.spark.createDataFrame([], like.schema) if found is None else found.select(*like.columns)
 
 
-def upsert(stream: DataFrame, keys: list[str], observed: str) -> DataFrame:
-    """Rows of a stream with one row per key: that observed last."""
-    folder = work_folder(stream.sparkSession)
-    run(stream, merge_into(f"{folder}/table", keys, lambda: [F.desc(observed)]), folder)
-    return merged(stream.sparkSession, f"{folder}/table", stream)
+def upsert(stream: DataFrame, keys: list[str], observed: str, strict: bool = False) -> DataFrame:
+    """Rows of a stream with one row per key: that observed last, then brought last. strict: see merge_into."""
+    return rows(keyed(stream, keys, lambda: [F.desc(observed)], strict), stream)
 
 
 def revise(stream: DataFrame, keys: list[str], completeness: str, observed: str) -> DataFrame:
     """Rows of a stream with one row per key: the most settled, then that observed last, so a late provisional
     row never replaces a final one."""
 
-    def order() -> list:
+    def order() -> list[Column]:
         return [F.array_position(F.array(*[F.lit(c) for c in ("final", "provisional", "realtime", "unknown")]), F.col(completeness)), F.desc(observed)]
 
-    folder = work_folder(stream.sparkSession)
-    run(stream, merge_into(f"{folder}/table", keys, order), folder)
-    return merged(stream.sparkSession, f"{folder}/table", stream)
+    return rows(keyed(stream, keys, order), stream)
 
 
 def dedup(stream: DataFrame, key: str, time: str, delay: str) -> DataFrame:
@@ -109,17 +85,12 @@ def dedup(stream: DataFrame, key: str, time: str, delay: str) -> DataFrame:
 
 
 def kept_state(state: DataFrame, keys: list[str]) -> DataFrame:
-    """The last value of a streaming aggregate by its keys: each batch merges the groups that it changed."""
+    """The last value of a streaming aggregate by its keys: each batch adds the groups that it changed."""
     folder = work_folder(state.sparkSession)
     numbered = state.withColumn("_batch", F.lit(0).cast("long"))
-    merge = merge_into(f"{folder}/table", keys, lambda: [F.desc("_batch")])
-    run(state, lambda batch, n: merge(batch.withColumn("_batch", F.lit(n).cast("long")), n), folder, "update")
-    return merged(state.sparkSession, f"{folder}/table", numbered).drop("_batch")
-
-
-def completed_through(stream: DataFrame, key: str, end: str) -> DataFrame:
-    """The latest end of each key over all batches."""
-    return kept_state(stream.groupBy(key).agg(F.max(end).alias("completed_through")), [key])
+    table = DeltaTable(state.sparkSession, f"{folder}/table", keys, lambda: [F.desc("_batch")])
+    run(state, lambda batch, n: table.append(batch.withColumn("_batch", F.lit(n).cast("long")), n), folder, "update")
+    return rows(table, numbered).drop("_batch")
 
 
 def daily_rollup(stream: DataFrame, keys: list[str], time: str, value: str) -> DataFrame:

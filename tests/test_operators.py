@@ -393,3 +393,47 @@ def test_broken_references_over_chains_and_cycles(spark):
     chain = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert definitions.closure(chain).count() == 200 * 201 // 2
     assert definitions.broken_references(df.limit(0)).count() == 0
+
+
+def test_runs_close_when_all_facts_are_there_or_by_timer(spark, tmp_path):
+    """Runs before, after and without their facts; late and too late ones; no state of a closed run is left."""
+    from metriclake.streaming import jobs, progress
+
+    at = lambda d, h=0: datetime(2024, 1, d, h)
+    kind = "binding_key string, run_id string, kind string, end timestamp_ntz, expected long, arrived timestamp_ntz"
+    files = [
+        [("b", "full", "fact", at(1, 5), None, at(1)), ("b", "full", "run", at(2), 2, at(1)), ("b", "short", "run", at(3), 9, at(1)), ("b", "short", "fact", at(2, 7), None, at(1)), ("b", "never", "run", at(9), 3, at(1)), ("c", "empty", "run", at(4), 0, at(1)), ("c", "orphan", "fact", at(8), None, at(1))],
+        [("b", "full", "fact", at(1, 9), None, at(2)), ("b", "short", "fact", at(2, 8), None, at(2)), ("c", "window", "run", at(5), 1, at(2)), (None, "x", "run", at(5), 1, at(2))],
+        [("c", "window", "fact", at(7), None, at(3)), ("d", "open", "run", at(6), 5, at(10))],
+        [("b", "short", "fact", at(2, 20), None, at(10)), ("d", "open", "fact", at(5), None, at(10, 1))],
+        [("b", "short", "fact", at(2, 21), None, at(11))],
+    ]
+    folder = str(tmp_path / "in")
+    for rows in files:
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(folder)
+    got = progress.closed_runs(jobs.read_files(spark, folder), "3 DAYS", str(tmp_path / "work"))
+    want = {("b", "full", at(1, 9), False), ("b", "short", at(2, 20), True), ("c", "empty", at(4), False), ("c", "window", at(5), False)}
+    found = {(r.binding_key, r.run_id, r.data_through, r.by_timer) for r in got.collect()}
+    # the last file but one still finds `short` open: its timer fires after the rows of the batch whose watermark passed it
+    assert found == want
+    spark.conf.set(progress.STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        state = spark.read.format("statestore").option("path", str(tmp_path / "work" / "checkpoint")).option("stateVarName", "open").load()
+        assert {(r.key[0], r.user_map_key[0]) for r in state.collect()} <= {("d", "open"), ("b", "short")}
+    finally:
+        spark.conf.unset(progress.STORE)
+
+
+def test_a_repeated_identity_in_one_batch_is_an_error(spark, tmp_path):
+    from pyspark.errors import StreamingQueryException
+
+    from metriclake.streaming import jobs
+
+    once, twice = str(tmp_path / "once"), str(tmp_path / "twice")
+    rows = [("a", 1), ("b", 1)]
+    for part in (rows, rows[:1]):
+        spark.createDataFrame(part, "k string, at int").coalesce(1).write.mode("append").parquet(once)
+    assert jobs.upsert(jobs.read_files(spark, once), ["k"], "at", strict=True).count() == 2
+    spark.createDataFrame([*rows, ("a", 2)], "k string, at int").coalesce(1).write.parquet(twice)
+    with pytest.raises(StreamingQueryException, match="twice"):
+        jobs.upsert(jobs.read_files(spark, twice), ["k"], "at", strict=True)
