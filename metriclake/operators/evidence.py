@@ -1,133 +1,185 @@
 """Evidence read from pages and redirect files: links with their surroundings, page facts, structured data.
 
-Pages are read in the tasks that hold them, batch by batch; all that follows from what was read is Spark columns.
+A task turns each page into a flat list of the elements that matter, in order, each with the place at which it ends; what
+stands around a link, labels, titles and facts are then Spark columns over that list.
 """
 
 from __future__ import annotations
 
 import json
+from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metriclake.functions import text
 
-#: Characters kept of what a page says: of destinations, of link texts, of titles.
-HREF, LABEL, TITLE = 4000, 2000, 500
-LINK = "element string, href string, label string, explicit string, ancestors array<string>, aria string, related boolean, action boolean, rel array<string>"
-FACTS = "title string, h1 string, canonical_url string, indexable boolean, schema_types array<string>"
-_LINK = pa.struct([("element", pa.string()), ("href", pa.string()), ("label", pa.string()), ("explicit", pa.string()), ("ancestors", pa.list_(pa.string())), ("aria", pa.string()), ("related", pa.bool_()), ("action", pa.bool_()), ("rel", pa.list_(pa.string()))])
+#: Contract: destinations, link texts, titles and names of types are kept to so many characters.
+HREF, LABEL, TITLE, TYPE = 4000, 2000, 500, 120
+#: Bytes of pages that a task reads at once, about; one page at least.
+AT_ONCE = 1 << 22
+# Elements without content in HTML.
+VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+#: Elements that are listed; others are if they have one of the marks. Those that can stand around a link, those whose text is kept.
+LANDMARKS = ("nav", "header", "footer", "main", "aside", "article")
+MARKS = ("aria-label", "data-related-content", "data-cta")
+LISTED = frozenset(("a", "form", "button", "title", "h1", "script", "meta", "link", *LANDMARKS))
+SPOKEN = frozenset(("a", "title", "h1", "script"))
+ELEMENT = "struct<at: int, until: int, tag: string, has: map<string,string>, said: array<string>>"
+_ELEMENT = pa.struct([("at", pa.int32()), ("until", pa.int32()), ("tag", pa.string()), ("has", pa.map_(pa.string(), pa.string())), ("said", pa.list_(pa.string()))])
+
+
+class Tokens(HTMLParser):
+    """What a page holds, in order: (tag, attributes), (tag, None) for an end, and texts."""
+
+    def __init__(self, html: str) -> None:
+        super().__init__(convert_charrefs=True)
+        self.found: list = []
+        self.handle_data = self.found.append
+        self.handle_endtag = lambda tag: self.found.append((tag, None))
+        self.handle_starttag = self.handle_startendtag = lambda tag, attrs: self.found.append((tag, {k: v or "" for k, v in attrs}))
+        self.feed(html)
+        self.close()
+
 
+class Listing:
+    """The listed elements of a page, each {at, until, tag, has, said}: `at` numbers them, at + 1 ... until - 1 lie inside.
 
-def json_ld_types(raw: str) -> set[str]:
-    """All @type names in a JSON text, however deep; none if it isn't JSON."""
+    One scan, linear in the page. An end tag ends its element and what was left open inside it, and is nothing where none
+    is open; a link ends where the next begins; what is never closed lasts to the end of the page.
+    """
+
+    def __init__(self, html: str) -> None:
+        self.found: list[dict] = []
+        self._open: list[tuple[str, int]] = []  # tag and number (-1: not listed) of each open element
+        self._depths: defaultdict[str, list[int]] = defaultdict(list)  # where each tag is open
+        self._speaking: dict[int, list[str]] = {}
+        for token in Tokens(html).found:
+            if isinstance(token, str):
+                for said in self._speaking.values():  # at most one an element of SPOKEN that is open
+                    said.append(token)
+            elif token[1] is None:
+                self._leave(token[0])
+            else:
+                self._enter(*token)
+        for _, at in self._open:
+            self._finish(at)
+
+    def _enter(self, tag: str, has: dict[str, str]) -> None:
+        at = -1
+        if tag in SPOKEN:  # none of them holds another of its kind
+            for other in [k for k in self._speaking if self.found[k]["tag"] == tag]:
+                self._finish(other)
+        if tag in LISTED or any(m in has for m in MARKS):
+            at = len(self.found)
+            self.found.append({"at": at, "until": -1 if tag not in VOID else at + 1, "tag": tag, "has": list(has.items()), "said": []})
+            if tag in SPOKEN:
+                self._speaking[at] = self.found[at]["said"]
+        if tag not in VOID:
+            self._depths[tag].append(len(self._open))
+            self._open.append((tag, at))
+
+    def _leave(self, tag: str) -> None:
+        if self._depths[tag]:
+            depth = self._depths[tag][-1]
+            while len(self._open) > depth:
+                inner, at = self._open.pop()
+                self._depths[inner].pop()
+                self._finish(at)
+
+    def _finish(self, at: int) -> None:
+        if at >= 0 and self.found[at]["until"] < 0:
+            self.found[at]["until"] = len(self.found)
+            self._speaking.pop(at, None)
+
+
+def types_in(raw: str) -> set[str]:
+    """The names that any object of a JSON text gives as its @type, alone or in a list; none if the text isn't JSON."""
+    names: list = []
     try:
-        todo = [json.loads(raw)]
+        json.loads(raw, object_pairs_hook=lambda pairs: names.extend(v for k, v in pairs if k == "@type"))
     except (ValueError, RecursionError):
         return set()
-    found: set[str] = set()
-    while todo:
-        value = todo.pop()
-        if isinstance(value, dict):
-            named = value.get("@type")
-            found.update(n[:120] for n in (named if isinstance(named, list) else [named]) if isinstance(n, str))
-            todo.extend(value.values())
-        elif isinstance(value, list):
-            todo.extend(value)
-    return found
+    return {n[:TYPE] for v in names for n in (v if isinstance(v, list) else [v]) if isinstance(n, str)}
 
 
-def _squeezed(parts: list[str], between: str, limit: int) -> str:
-    return " ".join(between.join(parts).split())[:limit]
+def listed(pages: DataFrame) -> DataFrame:
+    """page_id, elements (see Listing), schema_types (of JSON-LD scripts, in order of name) of pages (page_id, html)."""
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = pc.cumulative_sum(pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())).to_numpy(zero_copy_only=False)
+            first = 0
+            while first < len(ends):
+                last = max(first + 1, int(ends.searchsorted(ends[first] + AT_ONCE)))
+                part = batch.slice(first, last - first)
+                found = [Listing(html or "").found for html in part.column(1).to_pylist()]
+                types = [sorted(set().union(*(types_in("".join(e["said"])) for e in page if e["tag"] == "script" and dict(e["has"]).get("type", "").lower() == "application/ld+json"))) for page in found]
+                kept = [[e | {"said": []} if e["tag"] == "script" else e for e in page] for page in found]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(kept, pa.list_(_ELEMENT)), pa.array(types, pa.list_(pa.string()))], names=["page_id", "elements", "schema_types"])
+                first = last
 
-class PageReader(HTMLParser):
-    """One page's facts and links. An element stays open until its end tag or that of an element around it."""
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html")).mapInArrow(read, f"page_id long, elements array<{ELEMENT}>, schema_types array<string>")
 
-    def __init__(self, html: str, explicit: str) -> None:
-        super().__init__(convert_charrefs=True)
-        self.facts = {"title": "", "h1": "", "canonical_url": "", "indexable": True}
-        self.types: set[str] = set()
-        self.links: list[dict] = []
-        self._explicit = explicit
-        self._open: list[tuple[str, dict[str, str]]] = []
-        self._anchor: tuple[dict, list[str]] | None = None
-        self._heading: tuple[str, list[str]] | None = None
-        self._data: list[str] | None = None
-        self.feed(html)
-        self.close()
 
-    def _link(self, element: str, href: str, own: dict[str, str]) -> dict:
-        around = [a for _, a in self._open]
-        return {
-            "element": element,
-            "href": href[:HREF],
-            "label": "",
-            "explicit": own.get(self._explicit),
-            "ancestors": sorted({t for t, _ in self._open}),
-            "aria": " ".join(a.get("aria-label", "") for a in around),
-            "related": any("data-related-content" in a for a in around),
-            "action": any("data-cta" in a for a in [own, *around]),
-            "rel": own.get("rel", "").lower().split(),
-        }
-
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        own = {k: v or "" for k, v in attrs}
-        if tag == "a" and "href" in own:
-            self._anchor = (self._link("anchor", own["href"], own), [])
-        elif tag == "form" and own.get("action"):
-            self.links.append(self._link("form", own["action"], own))
-        elif tag == "button" and own.get("formaction"):
-            self.links.append(self._link("button", own["formaction"], own))
-        elif tag in ("title", "h1"):
-            self._heading = (tag, [])
-        elif tag == "script" and own.get("type", "").lower() == "application/ld+json":
-            self._data = []
-        elif tag == "meta" and own.get("name", "").lower() in ("robots", "googlebot"):
-            if {"noindex", "none"} & {d.strip().lower() for d in own.get("content", "").split(",")}:
-                self.facts["indexable"] = False
-        elif tag == "link" and "canonical" in own.get("rel", "").lower().split():
-            self.facts["canonical_url"] = own.get("href", "")[:HREF]
-        self._open.append((tag, own))
-
-    def handle_data(self, data: str) -> None:
-        for parts in (self._data, self._anchor and self._anchor[1], self._heading and self._heading[1]):
-            if parts is not None:
-                parts.append(data)
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag == "a" and self._anchor:
-            self.links.append(self._anchor[0] | {"label": _squeezed(self._anchor[1], " ", LABEL)})
-            self._anchor = None
-        if self._heading and self._heading[0] == tag:
-            if tag == "title" or not self.facts["h1"]:
-                self.facts[tag] = _squeezed(self._heading[1], "", TITLE)
-            self._heading = None
-        if tag == "script" and self._data is not None:
-            self.types |= json_ld_types("".join(self._data))
-            self._data = None
-        for i in range(len(self._open) - 1, -1, -1):
-            if self._open[i][0] == tag:
-                del self._open[i:]
-                break
+def spoken(element: Column, between: str, limit: int) -> Column:
+    """An element's text with single spaces, at most `limit` characters of it."""
+    return F.substring(F.trim(F.regexp_replace(F.array_join(element["said"], between), r"(?U)\s+", " ")), 1, limit)
 
 
 def read_pages(pages: DataFrame, explicit: str = "data-link-layer") -> DataFrame:
-    """page_id, the page's facts, schema_types (in order of name) and links of each of pages (page_id, html). A null
-    page has nothing and is indexable."""
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [PageReader(html or "", explicit) for html in batch.column(1).to_pylist()]
-            facts = [pa.array([p.facts[k] for p in found], kind) for k, kind in (("title", pa.string()), ("h1", pa.string()), ("canonical_url", pa.string()), ("indexable", pa.bool_()))]
-            types = pa.array([sorted(p.types) for p in found], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *facts, types, pa.array([p.links for p in found], pa.list_(_LINK))], names=["page_id", "title", "h1", "canonical_url", "indexable", "schema_types", "links"])
-
-    links = ", ".join(f"{c.split()[0]}: {c.split()[1]}" for c in LINK.split(", "))
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html")).mapInArrow(read, f"page_id long, {FACTS}, links array<struct<{links}>>")
+    """page_id, title (the last), h1 (the first with a text), canonical_url (the last), indexable, schema_types and links of each of
+    pages (page_id, html). A null page has nothing and is indexable. Links are anchors with href, forms with an action and
+    buttons with a formaction, in the order of their starts, with what stands around them."""
+
+    def all_of(*tags: str) -> Column:
+        return F.filter("elements", lambda e: e["tag"].isin(*tags))
+
+    def attribute(e: Column, name: str) -> Column:
+        return F.coalesce(e["has"][name], F.lit(""))
+
+    def words(e: Column, name: str) -> Column:
+        return F.filter(F.split(F.lower(attribute(e, name)), r"\s+"), lambda w: w != "")
+
+    def last_of(found: Column) -> Column:
+        return F.coalesce(F.try_element_at(found, F.lit(-1)), F.lit(""))
+
+    canonical = F.filter(all_of("link"), lambda e: F.array_contains(words(e, "rel"), "canonical"))
+    hidden = F.exists(all_of("meta"), lambda e: F.lower(attribute(e, "name")).isin("robots", "googlebot") & F.arrays_overlap(F.transform(F.split(F.lower(attribute(e, "content")), ","), lambda x: F.trim(x)), F.array(F.lit("noindex"), F.lit("none"))))
+    headings = F.filter(F.transform(all_of("h1"), lambda e: spoken(e, "", TITLE)), lambda x: x != "")
+    target = {"a": "href", "form": "action", "button": "formaction"}
+    where = F.filter("elements", lambda e: (e["until"] > e["at"] + 1) & (e["tag"].isin(*LANDMARKS) | F.exists(F.array(*map(F.lit, MARKS)), lambda m: F.map_contains_key(e["has"], m))))
+
+    def link(e: Column) -> Column:
+        around = F.filter("_where", lambda w: (w["at"] < e["at"]) & (w["until"] > e["at"]))
+        kind = F.when(e["tag"] == "a", "anchor").otherwise(e["tag"])
+        href = F.coalesce(*[F.when(e["tag"] == tag, e["has"][name]) for tag, name in target.items()])
+        return F.struct(
+            kind.alias("element"),
+            F.substring(href, 1, HREF).alias("href"),
+            F.when(e["tag"] == "a", spoken(e, " ", LABEL)).otherwise("").alias("label"),
+            e["has"][explicit].alias("explicit"),
+            F.array_sort(F.array_distinct(F.transform(around, lambda w: w["tag"]))).alias("ancestors"),
+            F.array_join(F.transform(around, lambda w: attribute(w, "aria-label")), " ").alias("aria"),
+            F.exists(around, lambda w: F.map_contains_key(w["has"], "data-related-content")).alias("related"),
+            (F.map_contains_key(e["has"], "data-cta") | F.exists(around, lambda w: F.map_contains_key(w["has"], "data-cta"))).alias("action"),
+            words(e, "rel").alias("rel"),
+        )
+
+    linking = F.filter("elements", lambda e: ((e["tag"] == "a") & e["has"]["href"].isNotNull()) | F.coalesce(F.when(e["tag"] == "form", e["has"]["action"] != "").when(e["tag"] == "button", e["has"]["formaction"] != ""), F.lit(False)))
+    return listed(pages).withColumn("_where", where).select(
+        "page_id",
+        last_of(F.transform(all_of("title"), lambda e: spoken(e, "", TITLE))).alias("title"),
+        F.coalesce(F.get(headings, F.lit(0)), F.lit("")).alias("h1"),
+        last_of(F.transform(canonical, lambda e: F.substring(attribute(e, "href"), 1, HREF))).alias("canonical_url"),
+        (~hidden).alias("indexable"),
+        "schema_types",
+        F.transform(linking, link).alias("links"),
+    )
 
 
 def link_occurrences(read: DataFrame, route: Column, hosts: tuple[str, ...]) -> DataFrame:

@@ -336,8 +336,8 @@ def test_pages_are_read_with_what_stands_around_links(spark):
     read = evidence.read_pages(pages)
     facts = {r.page_id: r for r in evidence.page_facts(read).collect()}
     assert facts[1][1:] == ("A & B", "One title", "https://s.example/a/", False, ["Article", "NewsArticle", "Person"], 9, 1, 1)
-    assert facts[2][1:] == ("", "", "", True, [], 0, 0, 0) and facts[3].n_anchors == 0
-    rows = evidence.link_occurrences(read, F.lit("/a/"), ("s.example",)).orderBy("ordinal").collect()
+    assert facts[2][1:] == ("", "", "", True, [], 0, 0, 0) and facts[3].n_anchors == 1
+    rows = evidence.link_occurrences(read.filter("page_id = 1"), F.lit("/a/"), ("s.example",)).orderBy("ordinal").collect()
     assert [(r.destination, r.anchor_text, r.layer, r.landmark) for r in rows] == [
         ("/menu/", "Menu", "menu", "navigation"),
         ("/", "Home", "breadcrumb", "navigation"),
@@ -354,6 +354,22 @@ def test_pages_are_read_with_what_stands_around_links(spark):
     assert [r.repeated_template for r in rows] == [True, False, False, False, False, False, False, True, True]
 
 
+def test_every_anchor_is_found_in_linear_time(spark):
+    import time
+
+    from metriclake.operators import evidence
+
+    page = "<a href=/a>A<a href=/b>B</a></i><nav><p><a href=/c>C<img><br></nav><a href=/d>D"
+    links = evidence.read_pages(spark.createDataFrame([(1, page)], "page_id long, html string")).first().links
+    assert [(x.href, x.label, x.ancestors) for x in links] == [("/a", "A", []), ("/b", "B", []), ("/c", "C", ["nav"]), ("/d", "D", [])]
+    for html in ("<br>" * 12_000 + "<a href=x>y</a>" * 1000, ("<p><a href=x>y</a>") * 3000, "<nav>" * 3000 + "<a href=x>" * 3000, "<b></i>" * 20_000, "<h1><title>" * 3000 + "x" * 3000):
+        began = time.process_time()
+        assert len([e for e in evidence.Listing(html).found if e["tag"] == "a"]) == html.count("<a ")
+        assert time.process_time() - began < 1
+    assert evidence.types_in('{"@type": "A", "x": [{"@type": ["B", 3, null, {"@type": "C"}]}], "\\"@type\\"": "no", "s": "\\"@type\\":\\"no\\""}') == {"A", "B", "C"}
+    assert evidence.types_in("[" * 10**6) == evidence.types_in("no") == set()
+
+
 def test_redirect_lines(spark):
     from metriclake.operators import evidence
 
