@@ -1,8 +1,8 @@
 """Main text of web pages by consensus host paths.
 
 Every page scores its containers and names the best by its generalised path (tags and classes, digits left
-out). Spark counts the votes for each path on each host, and every page is read again with its host's winning
-path, or with its own best container where that path is not on the page.
+out). Spark counts the votes for each path on each host, and every page is read again with the first of its host's
+winning paths that holds the article there, or with its own best container where none does.
 """
 
 from __future__ import annotations
@@ -24,14 +24,18 @@ REST = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+>""")
 CLASS = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 #: Tags by how they are read (fixed values of HTML).
 RAW = frozenset("script style noscript template iframe textarea title svg".split())
+#: Those of them whose content is markup, so that without their end the page goes on.
+MARKUP = frozenset("noscript template svg".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i img ins kbd label mark q s samp small span strong sub sup time tt u var wbr br math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics annotation".split())
 CONTAINERS = frozenset("article main section div td body".split())
-DROPPED = frozenset("nav header footer aside form script style noscript template iframe button select menu dialog figcaption".split())
+DROPPED = frozenset("nav header footer aside form script style noscript template iframe button select menu dialog".split())
 CLOSED_BY = {"p": frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "tr": frozenset(["tr"]), "option": frozenset(["option"])}
 #: Tags that are never left out by their names, and those whose wrapper can be the page's frame.
 NEVER_ASIDE = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
 FRAMES = frozenset("form dialog".split())
+#: Words that mark an advert inside a line; only these leave out inline elements.
+ADVERTS = frozenset("ad ads adv advert advertisement advertising sponsored".split())
 #: Words of class, id or role that mark what is not the article: the whole, or all parts of a hyphenated one
 #: (then with place words beside them, if it isn't a header's).
 ASIDE_WORDS = frozenset(
@@ -128,6 +132,8 @@ class Page:
         pieces: list[str] = []
         linked = links = 0  # characters in links of this block; links open now
         at, n, broken = 0, len(html), False
+        unclosed: set[str] = set()  # of MARKUP, those that have no end from here on
+        advert, muted = "", 0  # the inline element left out here, and how many of its tag are open since
 
         def flush() -> None:
             nonlocal linked
@@ -147,7 +153,7 @@ class Page:
 
         def show(raw: str) -> None:
             nonlocal linked
-            if raw:
+            if raw and not advert:
                 text = unescape(raw)
                 pieces.append(text)
                 if links > 0:
@@ -177,11 +183,15 @@ class Page:
             at = shown = end
             if closing:
                 if tag in INLINE:  # an inline end closes in the nearest block only
+                    if tag == advert:
+                        muted -= 1
+                        advert = advert if muted else ""
                     inline = stack[-1][3]
                     if tag not in VOID and inline.get(tag):
                         inline[tag] -= 1
                         links -= tag == "a"
                     continue
+                advert = ""
                 if tag == "p":
                     flush()
                 if tag in VOID or not opened.get(tag):
@@ -193,9 +203,12 @@ class Page:
                 continue
             ended = attributes.rstrip().endswith("/")
             if tag in RAW:
-                if not ended:
+                if not ended and tag not in unclosed:
                     close = re.compile(rf"</{re.escape(tag)}(?![^\s/>])[^>]*>", re.I).search(html, at)
-                    at = shown = close.end() if close else n
+                    if not close and tag in MARKUP:
+                        unclosed.add(tag)
+                    else:
+                        at = shown = close.end() if close else n
                 continue
             if tag in VOID:
                 if tag == "br":
@@ -204,10 +217,15 @@ class Page:
                     flush()
                 continue
             if tag in INLINE:
+                if not advert and any(w in ADVERTS for _, b, c, d in CLASS.findall(attributes) for w in (b or c or d).lower().split()):
+                    advert = tag
+                    muted = 0
+                muted += tag == advert
                 inline = stack[-1][3]
                 inline[tag] = inline.get(tag, 0) + 1
                 links += tag == "a"
                 continue
+            advert = ""  # it ends with its line at the latest
             flush()
             for depth in (1, 2):  # the elements that a start of this tag ends
                 if len(stack) > depth and tag in CLOSED_BY.get(stack[-depth][0], ()):
@@ -261,21 +279,39 @@ class Page:
             up = self.parents[up]
         return found, scores[best]
 
-    def text(self, path: str | None) -> str:
-        """Blocks of the containers with this path and what is inside them, or of the best container."""
-        chosen = self._with_path(path) or {self.best()[0]}
+    def _inside(self, chosen: set[int]) -> list[bool]:
+        """Of each container, whether it is one of the chosen or inside one."""
         inside = [False] * len(self.parents)
         for i, parent in enumerate(self.parents):  # parents come first
             inside[i] = i in chosen or (parent >= 0 and inside[parent])
+        return inside
+
+    def _worth(self, inside: list[bool]) -> int:
+        return sum(max(0, len(text) - 2 * linked) for container, text, linked in self.blocks if inside[container])
+
+    def text(self, *paths: str | None) -> str:
+        """Blocks of the containers with the first of these paths that holds enough of the page, or of the best container.
+
+        Enough is half of the unlinked text of the page's own best container, or a quarter where all containers of the path are
+        inside that one and so may leave out what doesn't belong to the article."""
+        inside = own = self._inside({self.best()[0]})
+        for path in paths:
+            if chosen := self._with_path(path):
+                found = self._inside(chosen)
+                if (4 if all(own[i] for i in chosen) else 2) * self._worth(found) >= max(1, self._worth(own)):
+                    inside = found
+                    break
         return "\n\n".join(text for container, text, _ in self.blocks if inside[container])
 
 
+#: Paths of a host that its pages are tried with, by votes; pages that none of them fits go by their own best container.
+PATHS = 3
 #: So many hosts at most have their paths broadcast (a row each); more are joined by a shuffle.
 BROADCAST_HOSTS = 100_000
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """(host, path): the path with most votes of each host, then most text, then first by name."""
+    """(host, paths): the PATHS paths with most votes of each host, then most text, then first by name."""
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=4 << 20):
@@ -289,7 +325,8 @@ def host_paths(pages: DataFrame) -> DataFrame:
     found = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).filter("host IS NOT NULL").mapInArrow(votes, "host string, path string, score double")
     counts = found.filter("path IS NOT NULL").groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("score").alias("score"))
     order = Window.partitionBy("host").orderBy(F.desc("n"), F.desc("score"), "path")
-    return counts.withColumn("k", F.row_number().over(order)).filter("k = 1").select("host", "path")
+    best = counts.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= PATHS)
+    return best.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("k", "path"))).alias("found")).select("host", F.col("found.path").alias("paths"))
 
 
 def host_of(url: Column) -> Column:
@@ -305,11 +342,11 @@ def extract(pages: DataFrame) -> DataFrame:
     paths = written(host_paths(pages), "host_paths")
     few = paths.count() <= BROADCAST_HOSTS
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html"), F.col("url").cast("string").alias("url"), host_of(F.col("url")).alias("host"))
-    joined = rows.join(F.broadcast(paths) if few else paths, "host", "left").select("page_id", "html", "url", "path")
+    joined = rows.join(F.broadcast(paths) if few else paths, "host", "left").select("page_id", "html", "url", "paths")
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=4 << 20):
-            found = [Page(html or "").text(path) for html, path in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            found = [Page(html or "").text(*(paths or [])) for html, paths in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.string()), pa.array([len(x) for x in found], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return joined.mapInArrow(texts, "page_id long, url string, text string, n_chars long")

@@ -49,15 +49,10 @@ ADDED = (
     Rule("bearer", either_case("bearer ") + "[A-Za-z0-9._~+/-]{20,}=*"),
     Rule("url_login", r"://[A-Za-z0-9._-]+:[^\x20\x09-\x0D@/]{3,}@"),
 )
-#: What follows the first line of a private key: all to its END line or, without one, header lines and the base64
-#: lines after them (lines may be parted by blanks or a written-out \\n; no key has 1,000 of them).
-_BREAK = r"(?:\s|\\[nr]){0,8}"
-KEY_BODY = (
-    r"(?:(?:[^-]*+-{1,4}+(?!-)){0,40}[^-]*+-----END [A-Z ]{0,20}PRIVATE KEY-----"
-    rf"|(?:(?:{_BREAK}[A-Za-z][A-Za-z-]{{0,30}}:\x20[^\r\n\\]*+){{0,8}}(?:{_BREAK}[A-Za-z0-9+/]{{40,}}+={{0,2}}){{1,1000}}(?:(?:\r?\n|\\n)[A-Za-z0-9+/]++={{0,2}}(?=[\r\n\\]|(?![\s\S])))?)?)"
-)
-#: For redaction a private key is the whole key; the scan reports its first line, as the SQL does.
-REDACTED = tuple(Rule(r.kind, r.pattern + KEY_BODY) if r.kind == "private_key" else r for r in ADDED)
+#: A private key's parts, for redaction: line ends (real or written out), its END line, header lines, base64 text. Words of base64 of under
+#: SHORT characters are no key's, but for the last of a key. None of these expressions repeats a group, so none recurs.
+ENDS, SHORT = r"(?<=\n)|(?<=\\n)", 16
+KEY_END = "-----END [A-Z ]{0,20}PRIVATE KEY-----"
 
 #: A query is True (anything), a trigram, or ("and" | "or", queries).
 Query = bool | str | tuple[str, frozenset]
@@ -302,13 +297,73 @@ def digests(documents: DataFrame) -> DataFrame:
     return scan(documents.select("doc_id", "text")).select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"))
 
 
+def key_length(tail: Column) -> Column:
+    """How many characters after its first line belong to a private key; tail is what stands between that line and the next such line.
+
+    Header lines may come first, then lines of base64, of which the last may be short, then the END line; blank ones count as
+    none, and a line may hold several words of base64. A key without END line ends with its base64. Where there is no base64 nothing belongs to
+    a key, whatever follows. Each line is looked at once, so any number of lines will do.
+    """
+    base64 = "[A-Za-z0-9+/=]"
+
+    def line(piece: Column) -> Column:
+        # trailing line ends by length, as written-out ones are several characters
+        bare = F.regexp_replace(F.regexp_replace(piece, r"(?:\r?\n|(?:\\r)?\\n)$", ""), r"\s++$", "")
+        body = F.regexp_replace(bare, r"^\s++", "")
+        inner = F.regexp_replace(F.regexp_replace(body, f"{KEY_END}[\\s\\S]*+$", ""), r"\s++$", "")
+        only = inner.rlike(r"^[A-Za-z0-9+/=\s]++$")
+        early = inner.rlike(f"(?<![^\\s]){base64}{{1,{SHORT - 1}}}+\\s")
+        long = inner.rlike(f"{base64}{{{SHORT}}}")
+        kind = (
+            F.when(body == "", "blank")
+            .when(F.length(inner) < F.length(body), F.when((inner == "") | (only & ~early), "end").otherwise("other"))
+            .when(only & ~early & inner.rlike(f"{base64}{{{SHORT}}}$"), "full")
+            .when(only & ~early, "short")
+            .when(body.rlike(r"^[A-Za-z][A-Za-z-]*+:\x20"), "header")
+            .otherwise("other")
+        )
+        upto = F.when(kind == "end", F.length(bare) - F.length(F.regexp_replace(body, f"^[\\s\\S]*?{KEY_END}", ""))).otherwise(F.length(bare))
+        return F.struct(F.length(piece).alias("all"), upto.alias("upto"), kind.alias("kind"), (long & only & ~early).alias("long"))
+
+    def whole(lines: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("end"), F.lit("head").alias("state"))
+
+        def step(seen: Column, x: Column) -> Column:
+            """state: head (no base64 yet), body, last (after a short line), done."""
+            state, kind, here = seen["state"], x["kind"], seen["at"] + x["upto"]
+            begun = state.isin("body", "last")
+            reached = (kind == "end") & (begun | (x["long"] & (state == "head")))
+            text = (kind == "full") & state.isin("head", "body") | (kind == "short") & ((state == "body") | x["long"] & (state == "head"))
+            then = (
+                F.when(kind == "blank", state)
+                .when((kind == "header") & (state == "head"), state)
+                .when(text, F.when(kind == "full", F.lit("body")).otherwise(F.lit("last")))
+                .otherwise(F.lit("done"))
+            )
+            end = F.when(state == "done", seen["end"]).when(reached | text, here).otherwise(seen["end"])
+            return F.struct((seen["at"] + x["all"]).alias("at"), end.alias("end"), F.when(state == "done", state).otherwise(then).alias("state"))
+
+        return F.aggregate(lines, start, step, lambda seen: seen["end"])
+
+    return whole(F.transform(F.split(tail, ENDS, -1), line))
+
+
+def with_whole_keys(found: Column, text: Column) -> Column:
+    """found with its private keys to their ends. The text is cut at the keys' first lines, so each character is read once."""
+    begin = next(r for r in ADDED if r.kind == "private_key").pattern
+    keys, others = F.filter(found, lambda m: m["kind"] == "private_key"), F.filter(found, lambda m: m["kind"] != "private_key")
+    tails = F.slice(F.split(text, begin, -1), F.lit(2), F.size(keys))
+    longer = F.zip_with(keys, F.transform(tails, key_length), lambda m, n: F.struct(m["start"].alias("start"), (m["end"] + n).cast("int").alias("end"), m["kind"].alias("kind")))
+    return F.when(F.size(keys) > 0, F.array_sort(F.concat(others, longer))).otherwise(found)
+
+
 #: Characters of the pieces that a text is cut in, so that a place in it is found without walking up to it.
 CUT = 1024
 
 
 def redact(documents: DataFrame) -> DataFrame:
     """The same rows and columns with each run of matched characters in text replaced by [SECRET]; a null
-    text stays null. Overlapping matches are replaced together; a private key is replaced to its end."""
+    text stays null. Overlapping matches are replaced together; a private key is replaced to its end (key_length)."""
     pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0))
     done = running(F.transform("found", lambda x: x["end"]), largest=True)  # what is replaced before each match
 
@@ -328,5 +383,5 @@ def redact(documents: DataFrame) -> DataFrame:
 
     text = F.when(F.size("found") > 0, F.transform(F.array(F.struct(pieces.alias("cut"), done.alias("done"))), replaced)[0]).otherwise(F.col("text"))
     named = {c: f"_scan_in_{c}" if c == "found" else c for c in documents.columns}
-    out = scan(documents.withColumnsRenamed(named), REDACTED)
+    out = scan(documents.withColumnsRenamed(named)).withColumn("found", with_whole_keys(F.col("found"), F.col("text")))
     return out.select(*[(text if c == "text" else F.col(new)).alias(c) for c, new in named.items()])
