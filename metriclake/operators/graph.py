@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,37 +55,79 @@ def goal_distance(nodes: DataFrame, edges: DataFrame, goals: DataFrame) -> DataF
     return nodes.join(distances(edges, goals, reverse=True), "node", "left").na.fill(-1, ["distance"])
 
 
+#: Links of one node that are kept together; a node with more is split.
+HUB = 1_000_000
+
+
+def bucketed_links(edges: DataFrame, name: str) -> DataFrame:
+    """src, part, dst, degree as a table in buckets of (src, part), sorted, so that rounds of joins by these shuffle no link. A node
+    with more than HUB links has several parts."""
+    spark = edges.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    out = edges.groupBy("src").agg(F.count("*").alias("degree"))
+    part = F.pmod(F.xxhash64("dst"), F.ceil(F.col("degree") / HUB)).cast("int")
+    links = edges.join(out, "src").select("src", part.alias("part"), "dst", "degree")
+    dealt = links.repartition(buckets, "src", "part")
+    dealt.write.bucketBy(buckets, "src", "part").sortBy("src", "part").option("path", new_path(spark)).saveAsTable(name)
+    return spark.table(name)
+
+
 def authority(nodes: DataFrame, edges: DataFrame, rounds: int = 30, damping: float = 0.85, write_every: int = 5) -> DataFrame:
-    """(node, score) by rounds of shares along the edges; nodes without any share with all. Scores sum to one."""
+    """(node, score) by rounds of shares along the edges; nodes without any share with all. Scores sum to one.
+
+    Links are put in buckets once; each round shuffles one row a node (a row for each part of a hub) and the sums, whatever
+    the number of links.
+    """
     n = nodes.count()
     if n == 0:
         return nodes.withColumn("score", F.lit(0.0))
-    out = edges.groupBy("src").agg(F.count("*").alias("degree"))
-    links = materialised(edges.join(out, "src"))
-    nodes = materialised(nodes.join(out.select(F.col("src").alias("node"), F.lit(False).alias("dangling")), "node", "left").na.fill({"dangling": True}))
+    spark, name = nodes.sparkSession, f"links_{uuid.uuid4().hex}"
+    links = bucketed_links(edges, name)
+    parts = links.groupBy(F.col("src").alias("node")).agg((F.max("part") + 1).alias("parts"))
+    nodes = materialised(nodes.join(parts, "node", "left").withColumn("parts", F.coalesce("parts", F.lit(0))))
     score = materialised(nodes.withColumn("score", F.lit(1.0 / n)))
     for k in range(1, rounds + 1):
-        lost = score.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("score"))), F.lit(0.0))).scalar()
-        given = score.join(links, F.col("node") == F.col("src")).groupBy("dst").agg(F.sum(F.col("score") / F.col("degree")).alias("got"))
+        lost = score.agg(F.coalesce(F.sum(F.when(F.col("parts") == 0, F.col("score"))), F.lit(0.0))).scalar()
+        giving = score.filter("parts > 0").select(F.col("node").alias("src"), "score", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        given = giving.hint("merge").join(links, ["src", "part"]).groupBy("dst").agg(F.sum(F.col("score") / F.col("degree")).alias("got"))
         new = nodes.join(given, F.col("node") == F.col("dst"), "left").withColumn("lost", lost)
-        score = new.select("node", "dangling", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("score"))
+        score = new.select("node", "parts", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("score"))
         if k % write_every == 0 or k == rounds:
             score = materialised(score)
+    spark.sql(f"DROP TABLE {name}")
     return score.select("node", "score")
 
 
-def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node that is connected, by labels that take two steps a round."""
-    both = materialised(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    label = materialised(nodes.select("node", F.col("node").alias("component")))
-    while True:
-        near = both.join(label, F.col("dst") == F.col("node")).groupBy(F.col("src").alias("node")).agg(F.min("component").alias("near"))
-        nearer = materialised(label.join(near, "node", "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("label")))
-        jump = nearer.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = materialised(nearer.join(jump, "label").select("node", "old", F.least("label", "further").alias("component")))
-        if new.filter("component <> old").isEmpty():
-            return new.select("node", "component")
-        label = new.select("node", "component")
+def weak_components(nodes: DataFrame, edges: DataFrame, report: list[int] | None = None) -> DataFrame:
+    """(node, component): the smallest node that is connected, by contraction.
+
+    In each round every node is merged into that of its neighbours, or itself, which has the least random number of the round; links go on between
+    what is left, without loops and repeats. So nodes fall to half or less in a round (as expected), links with them, and a path of n
+    nodes takes about log2 n rounds. report gets the number of links of each round. Merges are written by round and
+    followed back from the last to the first, over tables that double.
+    """
+    links = materialised(edges.filter("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct())
+    merges: list[DataFrame] = []
+    while n := links.count():
+        if report is not None:
+            report.append(n)
+        chance = F.xxhash64(F.lit(len(merges)), "node")
+        both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other")))
+        near = F.min(F.struct(F.xxhash64(F.lit(len(merges)), "other").alias("chance"), F.col("other").alias("node")))
+        merged = both.groupBy("node").agg(near.alias("near")).select("node", F.least("near", F.struct(chance.alias("chance"), "node"))["node"].alias("into"))
+        merged = materialised(merged)
+        merges.append(merged)
+        ends = links.join(merged.select(F.col("node").alias("a"), F.col("into").alias("x")), "a").join(merged.select(F.col("node").alias("b"), F.col("into").alias("y")), "b")
+        links = materialised(ends.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    roots = nodes.select("node", F.col("node").alias("root"))
+    if merges:
+        found = merges[-1].withColumnRenamed("into", "root")
+        for merged in reversed(merges[:-1]):  # where what a node went into went on, else itself
+            onward = found.select(F.col("node").alias("into"), "root")
+            found = materialised(merged.join(onward, "into", "left").select("node", F.coalesce("root", "into").alias("root")))
+        roots = materialised(nodes.select("node").join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
+    least = roots.groupBy("root").agg(F.min("node").alias("component"))
+    return roots.join(least, "root").select("node", "component")
 
 
 def scc(nodes: DataFrame, edges: DataFrame) -> DataFrame:

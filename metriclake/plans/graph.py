@@ -69,19 +69,18 @@ def _(t: Tables):
     return ops.nodes_of(t.route_edges).filter(F.col("node").isin(GOALS) | F.col("node").rlike("^/s4/.*9$"))
 
 
-PAGERANK = (
-    EDGES
-    + ", "
-    + NODES
-    + ", d AS (SELECT src, COUNT(*) AS degree FROM edges GROUP BY src), n AS (SELECT COUNT(*) AS n FROM nodes), rank AS (SELECT 0 AS k, node, 1.0::DOUBLE / n.n AS score FROM nodes, n UNION ALL"
-    " SELECT * FROM (WITH cur AS (SELECT * FROM rank) SELECT (SELECT MAX(k) FROM cur) + 1 AS k, v.node, 0.15 / n.n + 0.85 * (coalesce((SELECT SUM(c.score / d.degree) FROM edges e JOIN cur c ON c.node = e.src JOIN d ON d.src = e.src WHERE e.dst = v.node), 0)"
-    " + coalesce((SELECT SUM(c.score) FROM cur c WHERE c.node NOT IN (SELECT src FROM d)), 0) / n.n) AS score FROM nodes v, n WHERE (SELECT MAX(k) FROM cur) < 30)) SELECT node, round(score, 6) AS score FROM rank WHERE k = 30"
+#: Thirty rounds of shares.
+PAGERANK = "e AS (SELECT DISTINCT src, dst FROM part_edges), v AS (SELECT src AS node FROM e UNION SELECT dst FROM e), d AS (SELECT src, COUNT(*) AS degree FROM e GROUP BY src), n AS (SELECT COUNT(*) AS n FROM v), r0 AS (SELECT node, 1.0::DOUBLE / n AS score FROM v, n)" + "".join(
+    f", r{k + 1} AS MATERIALIZED (SELECT v.node, 0.15 / n + 0.85 * (coalesce(got, 0) + coalesce(lost, 0) / n) AS score FROM v CROSS JOIN n CROSS JOIN (SELECT SUM(score) AS lost FROM r{k} WHERE node NOT IN (SELECT src FROM d))"
+    f" LEFT JOIN (SELECT dst AS node, SUM(score / degree) AS got FROM e JOIN r{k} ON node = src JOIN d USING (src) GROUP BY dst) USING (node))"
+    for k in range(30)
 )
 
 
-@query("internal_authority", PAGERANK, "route_edges", recursive=True)
+@query("internal_authority", PAGERANK + " SELECT node, round(score, 9) AS score FROM r30", "part_edges")
 def _(t: Tables):
-    return ops.authority(ops.nodes_of(t.route_edges), ops.build_graph(t.route_edges)).withColumn("score", F.round("score", 6))
+    edges = parts(t)
+    return ops.authority(ops.nodes_of(edges), edges).withColumn("score", F.round("score", 9))
 
 
 #: Labels that spread to neighbours; after twelve rounds none changes any more.

@@ -453,3 +453,52 @@ def test_a_repeated_identity_in_one_batch_is_an_error(spark, tmp_path):
     spark.createDataFrame([*rows, ("a", 2)], "k string, at int").coalesce(1).write.parquet(twice)
     with pytest.raises(StreamingQueryException, match="twice"):
         jobs.upsert(jobs.read_files(spark, twice), ["k"], "at", strict=True)
+
+
+def test_components_by_contraction(spark):
+    """A long path in few rounds, links that fall; a random graph against union-find, with names as nodes."""
+    import random
+
+    n, report = 100_000, []
+    mixed = (F.col("id") * 7919) % n  # a path whose neighbours have numbers far apart
+    path = spark.range(n - 1).select(mixed.alias("src"), (((F.col("id") + 1) * 7919) % n).alias("dst"))
+    found = graph.weak_components(graph.nodes_of(path), path, report)
+    assert found.agg(F.count("*"), F.max("component")).first()[:] == (n, 0)
+    assert len(report) <= 24 and report == sorted(report, reverse=True) and report[0] == n - 1
+    rng = random.Random(2)
+    pairs = [(f"n{rng.randrange(300)}", f"n{rng.randrange(300)}") for _ in range(200)] + [("hub", f"n{i}") for i in range(0, 90, 3)]
+    nodes = {x for p in pairs for x in p} | {"alone"}
+    parent = {x: x for x in nodes}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    df = spark.createDataFrame(pairs, "src string, dst string")
+    got = graph.weak_components(spark.createDataFrame([(x,) for x in nodes], "node string"), df)
+    assert {r.node: r.component for r in got.collect()} == {x: root(x) for x in nodes}
+    assert graph.weak_components(graph.nodes_of(df.limit(0)), df.limit(0)).count() == 0
+
+
+def test_authority_shuffles_no_links(spark, monkeypatch, tmp_path):
+    """Hubs in several parts give the same scores; the joined plan has no exchange above the table of links."""
+    rows = [(i % 40, (i * i + 3) % 41) for i in range(400)] + [(0, i) for i in range(1, 41)]
+    edges = graph.build_graph(spark.createDataFrame(rows, "src int, dst int").withColumn("layer", F.lit("menu")))
+    nodes = graph.nodes_of(edges)
+    want = {r.node: round(r.score, 12) for r in graph.authority(nodes, edges, rounds=7).collect()}
+    assert abs(sum(want.values()) - 1) < 1e-9
+    monkeypatch.setattr(graph, "HUB", 7)
+    assert {r.node: round(r.score, 12) for r in graph.authority(nodes, edges, rounds=7).collect()} == want
+    links = graph.bucketed_links(edges, "links_of_test")
+    try:
+        assert links.agg(F.max("part")).first()[0] >= 4
+        joined = spark.range(41).select(F.col("id").cast("int").alias("src"), (F.col("id") % 5).cast("int").alias("part")).repartition(3).hint("merge").join(links, ["src", "part"])
+        joined.collect()
+        plan = joined._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert "Exchange" not in plan[plan.rindex("Range (") : plan.index("links_of_test")], plan
+    finally:
+        spark.sql("DROP TABLE links_of_test")
