@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from metriclake.llm.arrays import LOWER, MULT, SHORT, SPACE, U, content, mix, utf8, words
+from metriclake.llm.arrays import LOWER, MULT, SHORT, SPACE, U, content, give_back, mix, utf8, words
 
 #: White space that the byte-level pattern knows besides the six ASCII characters (fixed values of Unicode).
 OTHER_SPACE = "[\x1c-\x1f\u0085   -     　]"
@@ -36,11 +36,17 @@ class Encoder:
 
     @classmethod
     def of(cls, path: str, leading: bool) -> Encoder:
-        """One encoder per worker process and file, so that its cache serves later tasks too."""
+        """One encoder per worker process and file, whose cache serves later tasks too until it is unloaded."""
         if (path, leading) not in cls._loaded:
             cls._loaded[path, leading] = cls(path, leading)
         return cls._loaded[path, leading]
 
+    @classmethod
+    def unload(cls) -> None:
+        """Drops the worker's encoders and gives their memory back, so that other stages' tasks have it."""
+        cls._loaded.clear()
+        give_back()
+
     def __init__(self, path: str, leading: bool) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker per core already
         os.environ["RAYON_NUM_THREADS"] = "1"

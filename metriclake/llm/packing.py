@@ -50,6 +50,7 @@ def pieces(documents: DataFrame, tokenizer: str, end_id: int, capacity: int, wit
             if with_tokens:
                 out.append(pa.ListArray.from_arrays(pa.array(np.append(at, len(ids)).astype(np.int32)), pa.array(ids.astype(np.int32))))
             yield pa.RecordBatch.from_arrays(out, names=[c.split()[0] for c in schema.split(", ")])
+        Encoder.unload()
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, schema)
 
