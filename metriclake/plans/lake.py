@@ -173,14 +173,14 @@ def _(t: Tables):
     return broken_references(versions(t))
 
 
-@query("integrity_audit_acquisition", "SELECT COUNT(*) AS n_runs, COUNT(*) FILTER (finished_at < started_at) AS n_reversed, COUNT(*) FILTER (points_written <> real) AS n_count_differs FROM (SELECT r.*, h.n AS real FROM runs r LEFT JOIN (SELECT site_id, day, COUNT(*) AS n FROM hits WHERE event_id % 1000 <> 7 GROUP BY ALL) h USING (site_id, day))", "runs")
+@query("run_ledger_counts", "SELECT COUNT(*) AS n_runs, COUNT(*) FILTER (finished_at < started_at) AS n_reversed, COUNT(*) FILTER (points_written <> real) AS n_count_differs FROM (SELECT r.*, h.n AS real FROM runs r LEFT JOIN (SELECT site_id, day, COUNT(*) AS n FROM hits WHERE event_id % 1000 <> 7 GROUP BY ALL) h USING (site_id, day))", "runs")
 def _(t: Tables):
     real = t.hits.filter("event_id % 1000 <> 7").groupBy("site_id", "day").agg(F.count("*").alias("real"))
     rows = t.runs.withColumn("day", F.to_date("window_start")).join(real, ["site_id", "day"], "left")
     return rows.agg(F.count("*").alias("n_runs"), F.count_if(F.col("finished_at") < F.col("started_at")).alias("n_reversed"), F.count_if(F.col("points_written") != F.col("real")).alias("n_count_differs"))
 
 
-@query("integrity_audit_pages", "SELECT site_id, COUNT(*) AS n_pages, COUNT(*) FILTER (route LIKE '/s1/%7') AS n_wrong_id FROM (SELECT DISTINCT site_id, route FROM facts) GROUP BY site_id", "facts")
+@query("wrong_page_ids", "SELECT site_id, COUNT(*) AS n_pages, COUNT(*) FILTER (route LIKE '/s1/%7') AS n_wrong_id FROM (SELECT DISTINCT site_id, route FROM facts) GROUP BY site_id", "facts")
 def _(t: Tables):
     route = F.col("dims")["route"].alias("route")
     stored = t.facts.select("site_id", route).distinct().withColumn("page_id", F.sha2(F.concat_ws("\0", "site_id", F.when(F.col("route").like("/s1/%7"), F.lit("?")).otherwise(F.col("route"))), 256))

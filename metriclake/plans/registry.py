@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from metriclake.plans.ctes import with_tables
 from metriclake.sources.derived import Tables
 
-MODULES = ("facts", "coverage", "pages", "graph", "lake", "text", "evidence", "reports", "alerts", "streams")
+MODULES = ("facts", "coverage", "pages", "graph", "lake", "text", "evidence", "reports", "alerts", "audits", "streams")
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
