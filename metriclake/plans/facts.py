@@ -207,7 +207,7 @@ def _(t: Tables):
     "cells",
 )
 def _(t: Tables):
-    return ops.daily_series(t.facts, "site_id").withColumns({"ctr": F.round("ctr", 9), "position": F.round("position", 6)})
+    return ops.daily_series(t.measured, "site_id").withColumns({"ctr": F.round("ctr", 9), "position": F.round("position", 6)})
 
 
 @query(
