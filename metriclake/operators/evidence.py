@@ -7,8 +7,11 @@ stands around a link, labels, titles and facts are then Spark columns over that
 from __future__ import annotations
 
 import json
+import re
 from collections import defaultdict
 from collections.abc import Iterator
+from html import unescape
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -33,16 +36,27 @@ ELEMENT = "struct<at: int, until: int, tag: string, has: map<string,string>, sai
 _ELEMENT = pa.struct([("at", pa.int32()), ("until", pa.int32()), ("tag", pa.string()), ("has", pa.map_(pa.string(), pa.string())), ("said", pa.list_(pa.string()))])
 
 
+#: Character references, which count only if they are closed: what was cut off inside one, or a query's "&copy=", stays as it is.
+REFERENCE = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
+
+
+def decoded(raw: str) -> str:
+    """raw with its closed character references decoded."""
+    return REFERENCE.sub(lambda m: unescape(m[0]) if m[0][1] == "#" or m[0][1:] in html5 else m[0], raw) if "&" in raw else raw
+
+
 class Tokens(HTMLParser):
     """What a page holds, in order: (tag, attributes), (tag, None) for an end, and texts."""
 
     def __init__(self, html: str) -> None:
         super().__init__(convert_charrefs=True)
         self.found: list = []
-        self.handle_data = self.found.append
+        self.handle_data = lambda text: self.found.append(decoded(text))
         self.handle_endtag = lambda tag: self.found.append((tag, None))
-        self.handle_starttag = self.handle_startendtag = lambda tag, attrs: self.found.append((tag, {k: v or "" for k, v in attrs}))
-        self.feed(html)
+        self.handle_starttag = self.handle_startendtag = lambda tag, attrs: self.found.append((tag, {k: decoded(v or "") for k, v in attrs}))
+        # the parser would decode open references as well; so it gets each "&" as a reference, and gives back the raw text (or, of scripts and
+        # styles, which it doesn't decode, these references, which are decoded to the raw text)
+        self.feed(html.replace("&", "&amp;"))
         self.close()
 
 
