@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from metriclake.llm import decontamination, near_copies, packing, secrets, toxicity
+from metriclake.llm import decontamination, near_copies, packing, secrets, simhash, toxicity
 from metriclake.llm.shared import written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -24,8 +24,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a Jaccard similarity of five-word shingles of 0.8 or more."""
-    return near_copies.one_of_each(docs)
+    """One document of each group that op3's SimHash links, with an exact check behind it: what shares 0.8 of its five-word shingles
+    (Jaccard), which no distance of fingerprints finds whole, is linked as well."""
+    return near_copies.one_of_each(docs, groups=simhash.row_groups)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ then by the sets of their whole texts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -242,16 +242,23 @@ def links(sets: DataFrame, rows: DataFrame) -> DataFrame:
     return found.unionByName(similar(rest, sets, rows))
 
 
-def one_of_each(documents: DataFrame) -> DataFrame:
+def one_of_each(documents: DataFrame, groups: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """documents with one row of each group connected by similar sets: that of the smallest doc_id (a null
     counts as largest; then by a hash of the row). Texts without words are one group. All columns stay; of rows
-    with one doc_id and text one stays."""
+    with one doc_id and text one stays. groups gives (_k1, _k2, group) of documents with row keys: what another method has found to
+    belong together is connected too, and this join adds what it missed."""
     keyed = row_key(documents)
     rows = keyed.select(F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "k1", "k2")
-    prints = prefixes(rows, bucket_counts(rows.select("text")))
+    prints = written(prefixes(rows, bucket_counts(rows.select("text"))), "prefixes")
     each = prints.groupBy("s1", "s2").agg(F.min(order).alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
-    sets = written(each.select(F.monotonically_increasing_id().alias("sid"), "least", "least.k1", "least.k2", "n", "prefix", "bits"), "sets")
-    joined = with_components(sets.select("sid", "least"), links(sets, rows.select("k1", "k2", "text")), "sid")
+    sets = written(each.select(F.monotonically_increasing_id().alias("sid"), "s1", "s2", "least", "least.k1", "least.k2", "n", "prefix", "bits"), "sets")
+    found = links(sets, rows.select("k1", "k2", "text"))
+    if groups is not None:
+        of = prints.select("k1", "k2", "s1", "s2").join(sets.select("s1", "s2", "sid"), ["s1", "s2"])
+        grouped = written(of.join(groups(keyed).withColumnsRenamed({"_k1": "k1", "_k2": "k2"}), ["k1", "k2"]).select("group", "sid").distinct(), "grouped")
+        firsts = grouped.groupBy("group").agg(F.min("sid").alias("a"))
+        found = found.unionByName(grouped.join(firsts, "group").filter("a != sid").select("a", F.col("sid").alias("b")))
+    joined = with_components(sets.select("sid", "least"), found, "sid")
     keep = joined.groupBy("component").agg(F.min("least").alias("least")).select(F.col("least.k1").alias("_k1"), F.col("least.k2").alias("_k2"))
     return keyed.join(keep, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).drop("_k1", "_k2")

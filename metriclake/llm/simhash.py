@@ -187,13 +187,20 @@ def near_duplicates(documents: DataFrame, distance: int = 2, shingle: int = 3) -
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def row_groups(documents: DataFrame, distance: int = 2, shingle: int = 3) -> DataFrame:
+    """_k1, _k2, group of each row of documents (doc_id, text, and these keys): rows of one group are near-duplicates, that is, their
+    fingerprints are connected by links of at most `distance` differing bits."""
+    prints = written(fingerprints(documents.select("doc_id", "text", "_k1", "_k2"), shingle, ("doc_id", "_k1", "_k2")), "fingerprints")
+    each = prints.select("fingerprint").distinct()
+    joined = with_components(each, links(each, distance), "fingerprint")
+    return prints.join(joined, "fingerprint").select("_k1", "_k2", F.col("component").alias("group"))
+
+
 def one_of_each(documents: DataFrame, distance: int = 2, shingle: int = 3) -> DataFrame:
     """documents with one row of each group of near-duplicates: that of the smallest doc_id (a null counts
     as largest; then by a hash of the row). All columns stay; of rows with one doc_id and text one stays."""
     keyed = row_key(documents)
-    prints = fingerprints(keyed.select("doc_id", "text", "_k1", "_k2"), shingle, ("doc_id", "_k1", "_k2"))
-    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "_k1", "_k2")
-    each = written(prints.groupBy("fingerprint").agg(F.min(order).alias("least")), "prints")
-    joined = with_components(each, links(each.select("fingerprint"), distance), "fingerprint")
-    keep = joined.groupBy("component").agg(F.min("least").alias("least")).select("least._k1", "least._k2")
+    order = F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").cast("long").alias("doc_id"), "_k1", "_k2")
+    rows = keyed.select("doc_id", "_k1", "_k2").join(row_groups(keyed, distance, shingle), ["_k1", "_k2"])
+    keep = rows.groupBy("group").agg(F.min(order).alias("least")).select("least._k1", "least._k2")
     return keyed.join(keep, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).drop("_k1", "_k2")

@@ -233,3 +233,21 @@ def test_op13_on_odd_rows(spark, odd):
 @given(st.integers(-5, 10**12), st.text(st.sampled_from("ab\n<>PSM\r é\U0001f600"), max_size=40))
 def test_fill_in_middle_of_any_text(key, text):
     assert fill_in_middle.example(str(key), text, 7, 100, 50) == middle(key, text)
+
+
+def test_the_pipeline_drops_what_simhash_links_and_what_only_the_exact_join_links(spark):
+    import corpus_pipeline
+    from metriclake.llm import simhash
+
+    words = [f"w{i}" for i in range(200)]
+    base, edited = " ".join(words), " ".join("other" if i in (30, 90, 150) else w for i, w in enumerate(words))
+    rows = [
+        (1, "again " * 60 + " ".join(f"a{i}" for i in range(20))), (2, "again " * 60 + " ".join(f"b{i}" for i in range(20))),  # SimHash only
+        (3, base), (4, edited), (5, base),  # sets of shingles that are alike; one is the same text
+        (6, "quite another text that stands alone"), (7, None), (8, " "),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = {r.doc_id: int(r.fingerprint, 16) for r in simhash.near_duplicates(docs).collect()}
+    assert (prints[1] ^ prints[2]).bit_count() <= 2 < (prints[3] ^ prints[4]).bit_count()
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == [1, 3, 6, 7]
+    assert sorted(r.doc_id for r in simhash.one_of_each(docs).collect()) == [1, 3, 4, 6, 7]
