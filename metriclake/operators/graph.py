@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from metriclake.sources.shared import materialised, new_path
+from metriclake.sources.shared import dealt, materialised, new_path
 
 LAYERS = ("menu", "breadcrumb", "contextual", "related", "action", "utility")
 SHELL = ("menu", "utility")
@@ -218,6 +218,22 @@ def findings(nodes: DataFrame, links: DataFrame, root, goals: list, selected: tu
 def snapshot_diff(current: DataFrame, previous: DataFrame, *keys: str) -> DataFrame:
     """Keys with change: added, removed, unchanged."""
     a = current.select(*keys).distinct().withColumn("_a", F.lit(True))
+def neighbour_pairs(edges: DataFrame) -> DataFrame:
+    """src, dst, n: in how many ways two steps along the edges (src, dst, repeated ones counted) lead from src to dst.
+
+    The number of ways over all middles tells into how many parts they are dealt, so a task sums about as many whatever the size.
+    """
+    links = materialised(edges.groupBy("src", "dst").agg(F.count("*").alias("n")))
+    out = links.groupBy(F.col("src").alias("mid")).agg(F.count("*").alias("n_out"))
+    into = links.groupBy(F.col("dst").alias("mid")).agg(F.count("*").alias("n_in"))
+    ways = into.join(out, "mid").agg(F.coalesce(F.sum(F.col("n_in") * F.col("n_out")), F.lit(0))).first()[0]
+    n = links.count()
+    a = dealt(links.select("src", F.col("dst").alias("mid"), "n"), n, "mid")
+    b = dealt(links.select(F.col("src").alias("mid"), "dst", F.col("n").alias("m")), n, "mid")
+    pairs = a.join(b, "mid").select("src", "dst", (F.col("n") * F.col("m")).alias("n"))
+    return dealt(pairs, ways, "src", "dst").groupBy("src", "dst").agg(F.sum("n").alias("n"))
+
+
     b = previous.select(*keys).distinct().withColumn("_b", F.lit(True))
     change = F.when(F.col("_b").isNull(), "added").when(F.col("_a").isNull(), "removed").otherwise("unchanged")
     return a.join(b, list(keys), "full").select(*keys, change.alias("change"))
