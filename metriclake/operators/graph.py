@@ -178,9 +178,10 @@ def component_edges(components: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def two_hop(edges: DataFrame, page) -> DataFrame:
-    """Nodes within two undirected steps of a page."""
-    both = materialised(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    one = both.filter(F.col("src") == F.lit(page)).select(F.col("dst").alias("node"))
+    """Nodes within two undirected steps of a page. Edges, which may repeat, are read twice, and only those that touch the page or its
+    neighbours are looked at for repeats."""
+    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    one = materialised(both.filter(F.col("src") == F.lit(page)).select(F.col("dst").alias("node")).distinct())
     two = both.join(one.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"))
     return one.unionByName(two).distinct().filter(F.col("node") != F.lit(page))
 
