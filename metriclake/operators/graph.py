@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from metriclake.sources.shared import dealt, materialised, new_path
@@ -59,42 +59,74 @@ def goal_distance(nodes: DataFrame, edges: DataFrame, goals: DataFrame) -> DataF
 HUB = 1_000_000
 
 
-def bucketed_links(edges: DataFrame, name: str) -> DataFrame:
-    """src, part, dst, degree as a table in buckets of (src, part), sorted, so that rounds of joins by these shuffle no link. A node
-    with more than HUB links has several parts."""
-    spark = edges.sparkSession
+def node_ranges(nodes: DataFrame, buckets: int) -> DataFrame:
+    """node, range: the nodes in as many ranges of their order as there are buckets; each range's number falls in a bucket of its own."""
+    numbers = nodes.sparkSession.range(64 * buckets).select(F.col("id").cast("int").alias("range")).groupBy(F.pmod(F.hash("range"), F.lit(buckets)).alias("bucket")).agg(F.min("range").alias("range"))
+    return nodes.repartitionByRange(buckets, "node").select("node", F.spark_partition_id().alias("bucket")).join(F.broadcast(numbers), "bucket").select("node", "range")
+
+
+def range_of(node: str, buckets: int) -> Column:
+    """The range in which a part of a node's links is kept: the first in the node's, the others of a hub in any."""
+    return F.when(F.col("part") == 0, F.col("range")).otherwise(F.pmod(F.xxhash64(node, "part"), F.lit(buckets)).cast("int")).alias("range")
+
+
+def bucketed(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """df as a table in buckets."""
+    spark = df.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(buckets, *by).write.bucketBy(buckets, *by).sortBy(*by).option("path", new_path(spark)).saveAsTable(name)
+    return spark.table(name)
+
+
+def bucketed_links(edges: DataFrame, name: str, ranges: DataFrame | None = None) -> DataFrame:
+    """src, part, dst, degree as a table in buckets of (src, part), or, with range, in buckets of the ranges of nodes (node, range), so that
+    rounds of joins by these shuffle no link. A node with more than HUB links has several parts."""
     out = edges.groupBy("src").agg(F.count("*").alias("degree"))
+    if ranges is not None:
+        out = out.join(ranges.withColumnRenamed("node", "src"), "src")
     part = F.pmod(F.xxhash64("dst"), F.ceil(F.col("degree") / HUB)).cast("int")
-    links = edges.join(out, "src").select("src", part.alias("part"), "dst", "degree")
-    dealt = links.repartition(buckets, "src", "part")
-    dealt.write.bucketBy(buckets, "src", "part").sortBy("src", "part").option("path", new_path(spark)).saveAsTable(name)
-    return spark.table(name)
+    links = edges.join(out, "src").withColumn("part", part)
+    if ranges is None:
+        return bucketed(links.select("src", "part", "dst", "degree"), name, "src", "part")
+    buckets = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return bucketed(links.select(range_of("src", buckets), "src", "part", "dst", "degree"), name, "range")
 
 
 def authority(nodes: DataFrame, edges: DataFrame, rounds: int = 30, damping: float = 0.85, write_every: int = 5) -> DataFrame:
     """(node, score) by rounds of shares along the edges; nodes without any share with all. Scores sum to one.
 
-    Links are put in buckets once; each round shuffles one row a node (a row for each part of a hub) and the sums, whatever
-    the number of links.
+    Links are put in buckets by the range of their source once; no round shuffles one. A round shuffles one row a node (a row for each part of a
+    hub) to the links, and from each bucket one row a node that its links lead to: as links mostly lead to near nodes (of one site, of one batch
+    of ids), that is few more rows than nodes; never more than links.
     """
+    spark, stamp = nodes.sparkSession, uuid.uuid4().hex
+    nodes = materialised(nodes.select("node"))
     n = nodes.count()
     if n == 0:
         return nodes.withColumn("score", F.lit(0.0))
-    spark, name = nodes.sparkSession, f"links_{uuid.uuid4().hex}"
-    links = bucketed_links(edges, name)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = materialised(node_ranges(nodes, buckets))
+    links = bucketed_links(edges, f"links_{stamp}", ranges)
     parts = links.groupBy(F.col("src").alias("node")).agg((F.max("part") + 1).alias("parts"))
-    nodes = materialised(nodes.join(parts, "node", "left").withColumn("parts", F.coalesce("parts", F.lit(0))))
-    score = materialised(nodes.withColumn("score", F.lit(1.0 / n)))
-    for k in range(1, rounds + 1):
-        lost = score.agg(F.coalesce(F.sum(F.when(F.col("parts") == 0, F.col("score"))), F.lit(0.0))).scalar()
-        giving = score.filter("parts > 0").select(F.col("node").alias("src"), "score", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-        given = giving.hint("merge").join(links, ["src", "part"]).groupBy("dst").agg(F.sum(F.col("score") / F.col("degree")).alias("got"))
-        new = nodes.join(given, F.col("node") == F.col("dst"), "left").withColumn("lost", lost)
-        score = new.select("node", "parts", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("score"))
-        if k % write_every == 0 or k == rounds:
-            score = materialised(score)
-    spark.sql(f"DROP TABLE {name}")
+    nodes = bucketed(ranges.join(parts, "node", "left").withColumn("parts", F.coalesce("parts", F.lit(0))), f"nodes_{stamp}", "node")
+    score = nodes.withColumn("score", F.lit(1.0 / n))
+    together = "spark.sql.requireAllClusterKeysForCoPartition"  # joins by range, source and part are dealt by the range alone
+    before = spark.conf.get(together)
+    spark.conf.set(together, "false")
+    try:
+        for k in range(1, rounds + 1):
+            lost = score.agg(F.coalesce(F.sum(F.when(F.col("parts") == 0, F.col("score"))), F.lit(0.0))).scalar()
+            giving = score.filter("parts > 0").select(F.col("node").alias("src"), "range", "score", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+            giving = giving.select(range_of("src", buckets), "src", "part", "score")
+            given = giving.hint("merge").join(links, ["range", "src", "part"]).groupBy("dst").agg(F.sum(F.col("score") / F.col("degree")).alias("got"))
+            new = nodes.join(given.hint("merge"), F.col("node") == F.col("dst"), "left").withColumn("lost", lost)
+            score = new.select("node", "range", "parts", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("score"))
+            if k % write_every == 0 or k == rounds:
+                score = materialised(score)
+    finally:
+        spark.conf.set(together, before)
+    for name in ("links", "nodes"):
+        spark.sql(f"DROP TABLE {name}_{stamp}")
     return score.select("node", "score")
 
 
@@ -186,6 +218,22 @@ def two_hop(edges: DataFrame, page) -> DataFrame:
     return one.unionByName(two).distinct().filter(F.col("node") != F.lit(page))
 
 
+def neighbour_pairs(edges: DataFrame) -> DataFrame:
+    """src, dst, n: in how many ways two steps along the edges (src, dst, repeated ones counted) lead from src to dst.
+
+    The number of ways over all middles tells into how many parts they are dealt, so a task sums about as many whatever the size.
+    """
+    links = materialised(edges.groupBy("src", "dst").agg(F.count("*").alias("n")))
+    out = links.groupBy(F.col("src").alias("mid")).agg(F.count("*").alias("n_out"))
+    into = links.groupBy(F.col("dst").alias("mid")).agg(F.count("*").alias("n_in"))
+    ways = into.join(out, "mid").agg(F.coalesce(F.sum(F.col("n_in") * F.col("n_out")), F.lit(0))).first()[0]
+    n = links.count()
+    a = dealt(links.select("src", F.col("dst").alias("mid"), "n"), n, "mid")
+    b = dealt(links.select(F.col("src").alias("mid"), "dst", F.col("n").alias("m")), n, "mid")
+    pairs = a.join(b, "mid").select("src", "dst", (F.col("n") * F.col("m")).alias("n"))
+    return dealt(pairs, ways, "src", "dst").groupBy("src", "dst").agg(F.sum("n").alias("n"))
+
+
 def aggregate_edges(links: DataFrame) -> DataFrame:
     """Occurrences as different edges (src, dst, layer) with their number and first evidence."""
     return links.groupBy("src", "dst", "layer").agg(F.count("*").alias("occurrences"), F.min("link_id").alias("first_link"), F.max("link_id").alias("last_link"))
@@ -219,22 +267,6 @@ def findings(nodes: DataFrame, links: DataFrame, root, goals: list, selected: tu
 def snapshot_diff(current: DataFrame, previous: DataFrame, *keys: str) -> DataFrame:
     """Keys with change: added, removed, unchanged."""
     a = current.select(*keys).distinct().withColumn("_a", F.lit(True))
-def neighbour_pairs(edges: DataFrame) -> DataFrame:
-    """src, dst, n: in how many ways two steps along the edges (src, dst, repeated ones counted) lead from src to dst.
-
-    The number of ways over all middles tells into how many parts they are dealt, so a task sums about as many whatever the size.
-    """
-    links = materialised(edges.groupBy("src", "dst").agg(F.count("*").alias("n")))
-    out = links.groupBy(F.col("src").alias("mid")).agg(F.count("*").alias("n_out"))
-    into = links.groupBy(F.col("dst").alias("mid")).agg(F.count("*").alias("n_in"))
-    ways = into.join(out, "mid").agg(F.coalesce(F.sum(F.col("n_in") * F.col("n_out")), F.lit(0))).first()[0]
-    n = links.count()
-    a = dealt(links.select("src", F.col("dst").alias("mid"), "n"), n, "mid")
-    b = dealt(links.select(F.col("src").alias("mid"), "dst", F.col("n").alias("m")), n, "mid")
-    pairs = a.join(b, "mid").select("src", "dst", (F.col("n") * F.col("m")).alias("n"))
-    return dealt(pairs, ways, "src", "dst").groupBy("src", "dst").agg(F.sum("n").alias("n"))
-
-
     b = previous.select(*keys).distinct().withColumn("_b", F.lit(True))
     change = F.when(F.col("_b").isNull(), "added").when(F.col("_a").isNull(), "removed").otherwise("unchanged")
     return a.join(b, list(keys), "full").select(*keys, change.alias("change"))
