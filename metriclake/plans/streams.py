@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metriclake.plans.registry import query
+from metriclake.sources import shared
 from metriclake.sources.derived import Tables
 from metriclake.streaming import jobs
 from metriclake.streaming.progress import closed_runs
@@ -44,8 +46,12 @@ def _(t: Tables):
 LATE = "CASE WHEN event_id % 50 = 7 THEN 12 WHEN event_id % 10 = 7 THEN 1 ELSE 0 END"
 
 
+#: Rows of a file at least where a batch has several, so that none stays empty.
+LEAST = 1000
+
+
 def told(t: Tables) -> DataFrame:
-    """Runs and facts as they arrive, in files of five days: a run's row when it ends, a fact at its time, some a day later (in time), some twelve days
+    """Runs and facts as they arrive, in batches of five days, each in as many files as its rows need: a run's row when it ends, a fact at its time, some a day later (in time), some twelve days
     later (too late). Facts of one day in 15 never come, so their runs tell nothing; runs of the 9th, 19th and 29th found nothing."""
     run = F.concat_ws("|", "site_id", F.date_format("day", "yyyy-MM-dd"))
     facts = t.hits.filter("dayofmonth(day) % 10 <> 9").select(
@@ -61,11 +67,17 @@ def told(t: Tables) -> DataFrame:
     ticks = t.spark.createDataFrame(clock, "binding_key string, run_id string, kind string, end timestamp_ntz, expected long, arrived timestamp_ntz")
     rows = facts.filter("NOT lost").drop("lost").unionByName(own).unionByName(ticks)
     folder = f"{jobs.work_folder(t.spark)}/landed"
-    rows.withColumn("file", F.expr("least(7, datediff(arrived, DATE'2024-01-01') div 5) + IF(arrived >= '2024-03-02', 1, 0)")).coalesce(1).write.partitionBy("file").parquet(f"{folder}/by")
+    rows.withColumn("file", F.expr("least(7, datediff(arrived, DATE'2024-01-01') div 5) + IF(arrived >= '2024-03-02', 1, 0)")).write.partitionBy("file").parquet(f"{folder}/by")
+    kept = t.spark.read.parquet(f"{folder}/by")
+    sizes = [r.n for r in kept.filter("file < 8").groupBy("file").agg(F.count("*").alias("n")).collect()]  # one row a batch
+    files = max(1, min(math.ceil(max(sizes) / shared.ROWS), min(sizes) // LEAST))  # of a batch, the same number for all but the last
     for n in range(9):
-        part = t.spark.read.parquet(f"{folder}/by").filter(F.col("file") == n).drop("file")
-        part.coalesce(1).write.mode("append").parquet(f"{folder}/files")
-    return jobs.read_files(t.spark, f"{folder}/files")
+        written = f"{folder}/files/{n}"
+        kept.filter(F.col("file") == n).drop("file").repartition(files).write.parquet(written)
+        found = len(t.spark.read.parquet(written).inputFiles())
+        if found != files and n in range(8) and (found > 1 or files > 1):
+            raise RuntimeError(f"batch {n} landed in {found} files, not in {files}")
+    return jobs.read_files(t.spark, f"{folder}/files/*", at_once=files)
 
 
 @query(

@@ -16,10 +16,10 @@ from metriclake.sources.shared import shared_folder
 from metriclake.streaming.deltas import DeltaTable
 
 
-def read_files(spark: SparkSession, folder: str, name: str = "*.parquet") -> DataFrame:
-    """A stream of the Parquet files of a name in a folder, one a batch."""
+def read_files(spark: SparkSession, folder: str, name: str = "*.parquet", at_once: int = 1) -> DataFrame:
+    """A stream of the Parquet files of a name in a folder, so many a batch."""
     schema = spark.read.option("pathGlobFilter", name).parquet(folder).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).option("maxFilesPerTrigger", 1).parquet(folder)
+    return spark.readStream.schema(schema).option("pathGlobFilter", name).option("maxFilesPerTrigger", at_once).parquet(folder)
 
 
 def work_folder(spark: SparkSession) -> str:
