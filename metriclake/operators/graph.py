@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from metriclake.sources.shared import dealt, materialised, new_path
+from metriclake.sources import shared
+from metriclake.sources.shared import dealt, materialised, new_path, parts_of
 
 LAYERS = ("menu", "breadcrumb", "contextual", "related", "action", "utility")
 SHELL = ("menu", "utility")
@@ -218,20 +219,54 @@ def two_hop(edges: DataFrame, page) -> DataFrame:
     return one.unionByName(two).distinct().filter(F.col("node") != F.lit(page))
 
 
-def neighbour_pairs(edges: DataFrame) -> DataFrame:
+#: Nodes that follow a middle and are sent in one row, about.
+CHUNK = 1024
+
+
+def neighbour_pairs(edges: DataFrame, rows: int = 0) -> DataFrame:
     """src, dst, n: in how many ways two steps along the edges (src, dst, repeated ones counted) lead from src to dst.
 
-    The number of ways over all middles tells into how many parts they are dealt, so a task sums about as many whatever the size.
+    Sources are put in ranges of about as many ways each (cells); what follows a middle is sent once to each cell with a source that leads to it, and
+    the pairs are made and summed there. So no pair is shuffled, and what a cell gets is at most a number a way, far less where near nodes share
+    their middles. The number of ways over all middles tells how many parts there are, so a task sums about as many whatever the size. Pairs
+    of a source with more ways than a cell may hold (hubs) are dealt one by one. rows: as many as there are edges, or more, where that is known.
     """
-    links = materialised(edges.groupBy("src", "dst").agg(F.count("*").alias("n")))
+    links = materialised(dealt(edges.select("src", "dst"), rows, "src", "dst").groupBy("src", "dst").agg(F.count("*").alias("n")))
     out = links.groupBy(F.col("src").alias("mid")).agg(F.count("*").alias("n_out"))
     into = links.groupBy(F.col("dst").alias("mid")).agg(F.count("*").alias("n_in"))
     ways = into.join(out, "mid").agg(F.coalesce(F.sum(F.col("n_in") * F.col("n_out")), F.lit(0))).first()[0]
     n = links.count()
-    a = dealt(links.select("src", F.col("dst").alias("mid"), "n"), n, "mid")
+    parts, most = max(parts_of(links.sparkSession, ways), 1), 2 * shared.ROWS
+    first = dealt(links.select("src", F.col("dst").alias("mid"), "n"), n, "mid").join(out, "mid")
+    first = materialised(first.repartitionByRange(parts, "src").select(F.spark_partition_id().alias("range"), "src", "mid", "n", "n_out"))
+    sources = materialised(first.groupBy("range", "src").agg(F.sum("n_out").alias("ways")))
+    hubs = sources.filter(F.col("ways") > most).select("src", "ways")  # at most one in so many ways
+    from_hubs = hubs.agg(F.coalesce(F.sum("ways"), F.lit(0))).first()[0]
+    if from_hubs:
+        hub, is_hub = F.broadcast(hubs.select(F.col("src").alias("hub"))), F.col("src").eqNullSafe(F.col("hub"))
+        first, of_hubs = first.join(hub, is_hub, "left_anti"), first.join(hub, is_hub, "left_semi")
+    # a row for each range, as many as parts at most; those with many ways are split by source
+    ranges = sources.filter(F.col("ways") <= most).groupBy("range").agg(F.ceil(F.sum("ways") / most).alias("cells"))
+    ranges = ranges.withColumn("begin", F.sum("cells").over(Window.orderBy("range")) - F.col("cells"))
+    chunks = F.ceil(F.col("n_out") / CHUNK).cast("int")
+    cell = (F.col("begin") + F.pmod(F.xxhash64("src"), F.col("cells"))).alias("cell")
+    lead = first.join(F.broadcast(ranges), "range").select(cell, "src", "mid", "n", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
+    follow = dealt(links.select(F.col("src").alias("mid"), "dst", "n"), n, "mid").join(out, "mid").withColumn("chunk", F.pmod(F.xxhash64("dst"), chunks).cast("int"))
+    tasks = max(parts_of(links.sparkSession, n), parts_of(links.sparkSession, ways // 8))
+    lead = lead.repartition(tasks, "mid", "chunk").groupBy("mid", "chunk", "cell").agg(F.collect_list(F.struct("src", "n")).alias("a"))
+    follow = follow.repartition(tasks, "mid", "chunk").groupBy("mid", "chunk").agg(F.collect_list(F.struct("dst", "n")).alias("b"))
+    # arrays of numbers are half as large as those of structs
+    lead = lead.select("mid", "chunk", "cell", F.col("a.src").alias("sources"), F.col("a.n").alias("ns"))
+    follow = follow.select("mid", "chunk", F.col("b.dst").alias("targets"), F.col("b.n").alias("ms"))
+    sent = lead.join(follow, ["mid", "chunk"]).select((F.col("cell") % parts).cast("int").alias("part"), "sources", "ns", "targets", "ms").repartitionById(parts, "part")
+    pairs = sent.select("part", "ns", "targets", "ms", F.posexplode("sources").alias("i", "src"))
+    pairs = pairs.select("part", "src", F.col("ns")[F.col("i")].alias("n"), "ms", F.posexplode("targets").alias("j", "dst"))
+    found = pairs.groupBy("part", "src", "dst").agg(F.sum(F.col("n") * F.col("ms")[F.col("j")]).alias("n")).drop("part")
+    if not from_hubs:
+        return found
     b = dealt(links.select(F.col("src").alias("mid"), "dst", F.col("n").alias("m")), n, "mid")
-    pairs = a.join(b, "mid").select("src", "dst", (F.col("n") * F.col("m")).alias("n"))
-    return dealt(pairs, ways, "src", "dst").groupBy("src", "dst").agg(F.sum("n").alias("n"))
+    pairs = dealt(of_hubs, n, "mid").join(b, "mid").select("src", "dst", (F.col("n") * F.col("m")).alias("n"))
+    return found.unionByName(dealt(pairs, from_hubs, "src", "dst").groupBy("src", "dst").agg(F.sum("n").alias("n")))
 
 
 def aggregate_edges(links: DataFrame) -> DataFrame:
