@@ -14,10 +14,11 @@ LAYERS = ("menu", "breadcrumb", "contextual", "related", "action", "utility")
 SHELL = ("menu", "utility")
 
 
-def build_graph(links: DataFrame, layers: tuple[str, ...] | None = None) -> DataFrame:
-    """Different edges (src, dst) of the layers, all by default, without links to themselves."""
+def build_graph(links: DataFrame, layers: tuple[str, ...] | None = None, rows: int = 0) -> DataFrame:
+    """Different edges (src, dst) of the layers, all by default, without links to themselves. rows: as many as there are links, or more, where
+    that is known."""
     some = links if layers is None else links.filter(F.col("layer").isin(*layers))
-    return some.filter("src <> dst").select("src", "dst").distinct()
+    return dealt(some.filter("src <> dst").select("src", "dst"), rows, "src", "dst").distinct()
 
 
 def nodes_of(links: DataFrame) -> DataFrame:
@@ -71,56 +72,68 @@ def range_of(node: str, buckets: int) -> Column:
     return F.when(F.col("part") == 0, F.col("range")).otherwise(F.pmod(F.xxhash64(node, "part"), F.lit(buckets)).cast("int")).alias("range")
 
 
-def bucketed(df: DataFrame, name: str, *by: str) -> DataFrame:
+def bucketed(df: DataFrame, name: str, by: tuple[str, ...], order: tuple[str, ...], buckets: int) -> DataFrame:
     """df as a table in buckets."""
-    spark = df.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.repartition(buckets, *by).write.bucketBy(buckets, *by).sortBy(*by).option("path", new_path(spark)).saveAsTable(name)
-    return spark.table(name)
+    df.repartition(buckets, *by).write.bucketBy(buckets, *by).sortBy(*order).option("path", new_path(df.sparkSession)).saveAsTable(name)
+    return df.sparkSession.table(name)
 
 
-def bucketed_links(edges: DataFrame, name: str, ranges: DataFrame | None = None) -> DataFrame:
-    """src, part, dst, degree as a table in buckets of (src, part), or, with range, in buckets of the ranges of nodes (node, range), so that
-    rounds of joins by these shuffle no link. A node with more than HUB links has several parts."""
+def bucketed_links(edges: DataFrame, name: str, ranges: DataFrame | None = None, buckets: int | None = None, rows: int = 0) -> DataFrame:
+    """src, part, dst, degree as a table in buckets of (src, part), or, with range and the range of dst (to), in buckets of the ranges of nodes
+    (node, range), so that rounds of joins by these shuffle no link. A node with more than HUB links has several parts. rows: the number of
+    edges, where that is known."""
+    buckets = buckets or int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     out = edges.groupBy("src").agg(F.count("*").alias("degree"))
     if ranges is not None:
         out = out.join(ranges.withColumnRenamed("node", "src"), "src")
     part = F.pmod(F.xxhash64("dst"), F.ceil(F.col("degree") / HUB)).cast("int")
-    links = edges.join(out, "src").withColumn("part", part)
+    links = dealt(edges, rows, "src").join(out, "src").withColumn("part", part)
     if ranges is None:
-        return bucketed(links.select("src", "part", "dst", "degree"), name, "src", "part")
-    buckets = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return bucketed(links.select(range_of("src", buckets), "src", "part", "dst", "degree"), name, "range")
+        return bucketed(links.select("src", "part", "dst", "degree"), name, ("src", "part"), ("src", "part"), buckets)
+    links = links.select(range_of("src", buckets), "src", "part", "dst", "degree")
+    links = dealt(links, rows, "dst").join(ranges.select(F.col("node").alias("dst"), F.col("range").alias("to")), "dst")
+    return bucketed(links, name, ("range",), ("range", "src"), buckets)
 
 
 def authority(nodes: DataFrame, edges: DataFrame, rounds: int = 30, damping: float = 0.85, write_every: int = 5) -> DataFrame:
-    """(node, score) by rounds of shares along the edges; nodes without any share with all. Scores sum to one.
+    """(node, score) by rounds of shares along the edges; nodes without any share with all. Scores sum to one. Edges are read several times.
 
-    Links are put in buckets by the range of their source once; no round shuffles one. A round shuffles one row a node (a row for each part of a
-    hub) to the links, and from each bucket one row a node that its links lead to: as links mostly lead to near nodes (of one site, of one batch
-    of ids), that is few more rows than nodes; never more than links.
+    Nodes and the links that leave them are put in buckets by the range of the node once; no round shuffles one, or a score. A round shuffles, from
+    each bucket to the buckets of the nodes that its links lead to, one row a node: as links mostly lead to near nodes (of one site, of one batch
+    of ids), that is few more rows than nodes; never more than links. A hub's links have parts in other buckets too, which get its score by
+    a broadcast: of one row for each HUB links at most.
     """
     spark, stamp = nodes.sparkSession, uuid.uuid4().hex
     nodes = materialised(nodes.select("node"))
     n = nodes.count()
     if n == 0:
         return nodes.withColumn("score", F.lit(0.0))
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_links = edges.count()
+    buckets = parts_of(spark, n_links // 4)  # a round reads a bucket's links as they come and holds its nodes only
     ranges = materialised(node_ranges(nodes, buckets))
-    links = bucketed_links(edges, f"links_{stamp}", ranges)
+    links = bucketed_links(edges, f"links_{stamp}", ranges, buckets, n_links)
     parts = links.groupBy(F.col("src").alias("node")).agg((F.max("part") + 1).alias("parts"))
-    nodes = bucketed(ranges.join(parts, "node", "left").withColumn("parts", F.coalesce("parts", F.lit(0))), f"nodes_{stamp}", "node")
+    nodes = bucketed(ranges.join(parts, "node", "left").withColumn("parts", F.coalesce("parts", F.lit(0))), f"nodes_{stamp}", ("range",), ("range", "node"), buckets)
+    hubs = not nodes.filter("parts > 1").isEmpty()
     score = nodes.withColumn("score", F.lit(1.0 / n))
-    together = "spark.sql.requireAllClusterKeysForCoPartition"  # joins by range, source and part are dealt by the range alone
+    together = "spark.sql.requireAllClusterKeysForCoPartition"  # joins by range and node are dealt by the range alone
     before = spark.conf.get(together)
     spark.conf.set(together, "false")
+
+    def sums(shares: DataFrame) -> DataFrame:
+        return shares.groupBy("range", "to", "dst").agg(F.sum(F.col("score") / F.col("degree")).alias("got"))
+
     try:
         for k in range(1, rounds + 1):
             lost = score.agg(F.coalesce(F.sum(F.when(F.col("parts") == 0, F.col("score"))), F.lit(0.0))).scalar()
-            giving = score.filter("parts > 0").select(F.col("node").alias("src"), "range", "score", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-            giving = giving.select(range_of("src", buckets), "src", "part", "score")
-            given = giving.hint("merge").join(links, ["range", "src", "part"]).groupBy("dst").agg(F.sum(F.col("score") / F.col("degree")).alias("got"))
-            new = nodes.join(given.hint("merge"), F.col("node") == F.col("dst"), "left").withColumn("lost", lost)
+            own = score.filter("parts > 0").select("range", F.col("node").alias("src"), "score")
+            given = sums(links.filter("part = 0").join(own.hint("shuffle_hash"), ["range", "src"]))
+            if hubs:
+                far = F.broadcast(score.filter("parts > 1").select(F.col("node").alias("src"), "score"))
+                given = given.unionByName(sums(links.filter("part > 0").join(far, "src")))
+            got = given.select(F.col("to").alias("range"), F.col("dst").alias("node"), "got").repartition(buckets, "range")
+            got = got.groupBy("range", "node").agg(F.sum("got").alias("got"))
+            new = nodes.join(got.hint("shuffle_hash"), ["range", "node"], "left").withColumn("lost", lost)
             score = new.select("node", "range", "parts", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("score"))
             if k % write_every == 0 or k == rounds:
                 score = materialised(score)
